@@ -1,0 +1,46 @@
+"""A lookup join that spreads the rows of very frequent keys over many tasks."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from runledger.operators.ordered import group_row_limit
+
+_PARTS, _SALT = "__parts", "__salt"
+
+
+def spread_join(
+    facts: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    row_id: Sequence[str],
+    how: str = "left",
+) -> DataFrame:
+    """Join ``facts`` to ``lookup`` (one row per key) on ``keys``.
+
+    A key with more than ``spark.runledger.maxGroupRows`` facts is cut into parts
+    by a hash of ``row_id``, and its one lookup row is copied to each part.  At
+    most rows / limit keys can be that frequent, which bounds the broadcast table.
+    """
+    limit = group_row_limit(facts.sparkSession)
+    frequent = F.broadcast(
+        facts.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .filter(F.col("__n") > limit)
+        .select(*keys, F.ceil(F.col("__n") / limit).cast("int").alias(_PARTS))
+    )
+    parts = F.coalesce(F.col(_PARTS), F.lit(1))
+    salted = (
+        facts.join(frequent, list(keys), "left")
+        .withColumn(_SALT, F.pmod(F.xxhash64(*row_id), parts).cast("int"))
+        .drop(_PARTS)
+    )
+    copies = (
+        lookup.join(frequent, list(keys), "left")
+        .withColumn(_SALT, F.explode(F.sequence(F.lit(0), parts - 1)))
+        .drop(_PARTS)
+    )
+    return salted.join(copies, [*keys, _SALT], how).drop(_SALT)
