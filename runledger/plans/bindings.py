@@ -50,7 +50,7 @@ class Tables:
 
     def store_requests(self) -> DataFrame:
         """The same requests, asking for adapters of the store in ``adapter_files``."""
-        name = F.concat(F.lit("./adapters//Brand#"), F.col("user_id") % 30, F.lit("_"),
+        name = F.concat(F.lit("./adapters//Brand#"), F.col("user_id") % 40, F.lit("_"),
                         F.col("event_id") % 10, F.lit("/./"))
         return _bind_requests(self.events(), F.when(F.col("user_id") % 4 != 0, name))
 
@@ -268,7 +268,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "requests": (("ev",), _request_sql(
         "CASE WHEN user_id % 4 <> 0 THEN './adapters/job_' || (user_id % 4) || '/' END")),
     "store_requests": (("ev",), _request_sql(
-        "CASE WHEN user_id % 4 <> 0 THEN './adapters//Brand#' || (user_id % 30) || '_' "
+        "CASE WHEN user_id % 4 <> 0 THEN './adapters//Brand#' || (user_id % 40) || '_' "
         "|| (event_id % 10) || '/./' END")),
     "batched": (("requests",), f"""
     SELECT *, (no - 1) // 4 AS batch, (no - 1) % 4 AS pos FROM (

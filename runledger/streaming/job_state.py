@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
 
 from runledger import schemas
 from runledger.operators.jobs import FINISHED, JOB
-from runledger.streaming.progress import IDLE_MS, in_order
+from runledger.streaming.progress import in_order, timeout
 
 REGISTERED = "JOB_ADDED"
 
@@ -43,7 +43,7 @@ def apply_event(job: dict | None, event) -> dict | None:
     return after
 
 
-def _update(idle_ms: int):
+def _update(idle_ms: int | None):
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -58,14 +58,16 @@ def _update(idle_ms: int):
             job = after
         if job is not None:
             state.update(tuple(job.values()))
-            state.setTimeoutDuration(idle_ms)
-        out = pd.DataFrame(rows, columns=[*JOB, "ts_us", "event_seq", *_FIELDS])
-        yield out.astype({"end_us": "Int64"})
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        if rows:
+            out = pd.DataFrame(rows, columns=[*JOB, "ts_us", "event_seq", *_FIELDS])
+            yield out.astype({"end_us": "Int64"})
 
     return update
 
 
-def stream_job_state(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+def stream_job_state(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """One row per event that counts, with the job's state after it.
 
     A job begins with its registration event; events of unknown jobs and repeated
@@ -75,7 +77,7 @@ def stream_job_state(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
         *JOB, "ts_us", "event_seq", "event_type",
         F.coalesce("step_increment", F.lit(0)).alias("step_increment"), "status", "error_message")
     return narrow.groupBy(*JOB).applyInPandasWithState(
-        _update(idle_ms), _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _update(idle_ms), _OUT, _STATE, "append", timeout(idle_ms))
 
 
 def latest_state(transitions: DataFrame) -> DataFrame:

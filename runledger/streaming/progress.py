@@ -7,9 +7,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runledger.functions import losses as loss_functions
 from runledger.operators.jobs import JOB
@@ -20,8 +19,11 @@ from runledger.operators.progress import (
 _OUT = "run_id string, job_id string, ts_us bigint, event_seq bigint, losses array<double>"
 _STATE = "losses array<double>"
 
-# A job that sends nothing for this long loses its state.
-IDLE_MS = 7 * 24 * 3600 * 1000
+
+def timeout(idle_ms: int | None) -> str:
+    """Expiry by idle time needs a trigger that keeps running; availableNow never
+    ends with it, so it is off unless asked for."""
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
 def in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -30,7 +32,7 @@ def in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(["ts_us", "event_seq"])
 
 
-def _track(history_window: int, idle_ms: int):
+def _track(history_window: int, idle_ms: int | None):
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -43,9 +45,14 @@ def _track(history_window: int, idle_ms: int):
             else:
                 recent.append(event.loss)
                 rows.append((*key, event.ts_us, event.event_seq, list(recent)))
-        state.update((list(recent),))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=[*JOB, "ts_us", "event_seq", "losses"])
+        if recent:
+            state.update((list(recent),))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        elif state.exists:
+            state.remove()
+        if rows:
+            yield pd.DataFrame(rows, columns=[*JOB, "ts_us", "event_seq", "losses"])
 
     return update
 
@@ -55,17 +62,17 @@ def stream_progress(
     history_window: int = HISTORY_WINDOW,
     stagnation_threshold: float = STAGNATION_THRESHOLD,
     slow_threshold: float = SLOW_THRESHOLD,
-    idle_ms: int = IDLE_MS,
+    idle_ms: int | None = None,
 ) -> DataFrame:
     """One row per usable loss: the job's history size, rate and classes after it.
 
     The state of a job is its last losses; a completion clears it, a failure does
-    not.  Within a trigger events are taken in event order, across triggers as they
-    arrive.
+    not, and an empty history is not kept.  ``idle_ms`` drops the state of jobs that
+    send nothing for so long.  Within a trigger events are taken in event order,
+    across triggers as they arrive.
     """
     histories = history_events(events).groupBy(*JOB).applyInPandasWithState(
-        _track(history_window, idle_ms), _OUT, _STATE, "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        _track(history_window, idle_ms), _OUT, _STATE, "append", timeout(idle_ms))
     rated = histories.select(
         *JOB, "ts_us", "event_seq", F.size("losses").alias("history_size"),
         loss_functions.mean_decrease(F.col("losses")).alias("rate"))
