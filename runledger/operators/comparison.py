@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.operators.jobs import strategy_job_grid
+from runledger.functions.timing import elapsed_s, present
+from runledger.operators.skew import spread_join
 
 # The compared metrics and the labels they are shown under.
 COMPARED = {
@@ -33,19 +34,26 @@ def strategy_comparison(
 def job_durations(
     expected: DataFrame, jobs: DataFrame, strategies: Sequence[str], prefix: str = "",
 ) -> DataFrame:
-    """Duration of each expected job under each strategy; ``prefix`` is cut from the label."""
-    grid = strategy_job_grid(expected, jobs, strategies)
+    """Duration of each expected job under each strategy, 0 where it has none.
+
+    ``prefix`` is cut from the label.
+    """
+    duration = elapsed_s(present(F.col("start_us")), present(F.col("end_us")))
+    timed = jobs.groupBy("job_id").agg(*[
+        F.max(F.when(F.col("strategy") == s, duration)).alias(s) for s in strategies])
     label = F.replace(F.col("job_id"), F.lit(prefix), F.lit("")) if prefix else F.col("job_id")
-    wide = grid.withColumn("job", label).groupBy("job_id", "job").pivot("strategy", list(strategies)).agg(
-        F.first("duration_s", ignorenulls=True))
-    return wide.drop("job_id")
+    joined = expected.select("job_id").distinct().join(timed, "job_id", "left")
+    return joined.select(
+        label.alias("job"), *[F.coalesce(F.col(f"`{s}`"), F.lit(0.0)).alias(s) for s in strategies])
 
 
-def label_lookup(df: DataFrame, code: str, labels: DataFrame, label: str = "label") -> DataFrame:
+def label_lookup(
+    df: DataFrame, code: str, labels: DataFrame, row_id: Sequence[str], label: str = "label",
+) -> DataFrame:
     """Add the display label of ``code``; a code without one stands for itself.
 
     ``labels`` has one row per code: columns ``code`` and ``label``.
     """
     table = labels.select(F.col("code").alias(code), F.col("label").alias(label))
-    return df.join(table, code, "left").withColumn(
+    return spread_join(df, table, [code], row_id).withColumn(
         label, F.coalesce(F.col(label), F.col(code).cast("string")))

@@ -13,6 +13,8 @@ from runledger.operators.skew import spread_join
 MAX_LENGTH = 128
 IGNORED_LABEL = -100
 
+_COPIES = 10_000
+
 
 def encode_samples(
     samples: DataFrame,
@@ -50,10 +52,16 @@ def upsample_cyclic(samples: DataFrame, rows: int) -> DataFrame:
     """
     counts = samples.groupBy("job_id").agg(F.count(F.lit(1)).alias("__n"))
     used = samples.filter(F.col("sample_idx") < rows)
-    positions = F.sequence(F.col("sample_idx"), F.lit(rows - 1).cast("bigint"), F.col("__n"))
+    # Copies are numbered in two steps, so that no array grows with ``rows``.
+    last = F.floor((F.lit(rows - 1) - F.col("sample_idx")) / F.col("__n"))
+    first = F.col("__run") * _COPIES
     return (
         spread_join(used, counts, ["job_id"], ["sample_idx"], "inner")
-        .select("job_id", F.explode(positions).alias("position"), "sample_idx", "text")
+        .withColumn("__last", last)
+        .withColumn("__run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("__last") / _COPIES))))
+        .withColumn("__copy", F.explode(F.sequence(first, F.least(F.col("__last"), first + (_COPIES - 1)))))
+        .select("job_id", (F.col("sample_idx") + F.col("__copy") * F.col("__n")).alias("position"),
+                "sample_idx", "text")
     )
 
 

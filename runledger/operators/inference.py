@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -28,16 +29,21 @@ def batch_infer(
     catalogue: DataFrame,
     generate: Generate,
     batch_size: int = BATCH_SIZE,
+    batches_per_load: int = 64,
+    tasks: int | None = None,
     split: bool | None = None,
 ) -> DataFrame:
     """Answer requests in batches of one adapter each; returns rows like ``results``.
 
     Requests whose adapter cannot be loaded fail at once.  The others are batched in
-    arrival order; each batch is one row with its requests in arrays, so that a task
-    holds only a batch at a time, however many requests one adapter has.  Batches of
-    one adapter lie together in a task, so ``generate`` may keep the adapter it used
-    last.  An exception fails the requests of its batch only.
+    arrival order; each batch is one row with its requests in arrays.  Runs of
+    ``batches_per_load`` batches of one adapter go to the same one of ``tasks`` tasks
+    (as many as shuffle partitions by default), so that ``generate`` may keep the
+    adapter it used last while a much-used adapter still spreads over all tasks.  An
+    exception fails the requests of its batch only.
     """
+    spark = requests.sparkSession
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     routed = route_requests(requests, catalogue)
     now = F.unix_micros(F.current_timestamp())
     refused = routed.filter(F.col("route_error").isNotNull()).select(
@@ -60,6 +66,7 @@ def batch_infer(
             F.col("items.prompt").alias("prompts"),
             F.to_json(F.col("items")[0]["generation_params"]).alias("params"),
         )
+        .repartition(tasks, "run_id", "adapter_id", F.floor(F.col("batch") / batches_per_load))
         .sortWithinPartitions("adapter_id", "run_id", "batch")
     )
     answered = batches.mapInPandas(_answer(generate), _OUT)
@@ -80,8 +87,6 @@ def batch_infer(
 
 def _answer(generate: Generate) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
         for frame in frames:
             done = []
             for batch in frame.itertuples(index=False):

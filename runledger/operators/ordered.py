@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from runledger.session import write_scratch
 
 GROUP_ROWS_CONF = "spark.runledger.maxGroupRows"
-DEFAULT_GROUP_ROWS = 2_000_000
+DEFAULT_GROUP_ROWS = 1_000_000
 
 _CHUNK, _PARTS, _ROW, _BLOCK, _CONTEXT = (
     "__chunk", "__parts", "__row", "__block", "__context",
@@ -69,15 +69,12 @@ def _carry(chunked: DataFrame, keys: Sequence[str], sums: Mapping[str, Column])
     ).filter(F.col(_PARTS) > 1)
 
 
-def _join_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    right = F.broadcast(carry.drop(_PARTS)).alias("__carry")
-    left = local.alias("__local")
-    same = [F.col(f"__local.{k}").eqNullSafe(F.col(f"__carry.{k}")) for k in [*keys, _CHUNK]]
-    condition = same[0]
-    for more in same[1:]:
-        condition = condition & more
-    extra = [c for c in carry.columns if c.startswith(("__before_", "__total_"))]
-    return left.join(right, condition, "left").select("__local.*", *extra)
+def null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on ``keys`` in which nulls match; keeps the left side's keys."""
+    extra = [c for c in right.columns if c not in keys]
+    left, right = left.alias("__left"), right.alias("__right")
+    same = [F.col(f"__left.{k}").eqNullSafe(F.col(f"__right.{k}")) for k in keys]
+    return left.join(right, same, "left").select("__left.*", *extra)
 
 
 def running_sums(
@@ -109,7 +106,8 @@ def running_sums(
         **{name: F.sum(expr).over(running) for name, expr in sums.items()},
         **{totals[name]: F.sum(expr).over(inside) for name, expr in sums.items() if name in totals},
     })
-    joined = _join_carry(local, _carry(chunked, keys, sums), keys)
+    carry = F.broadcast(_carry(chunked, keys, sums).drop(_PARTS))
+    joined = null_safe_left(local, carry, [*keys, _CHUNK])
     return joined.withColumns({
         **{n: F.col(n) + F.coalesce(F.col(f"__before_{n}"), F.lit(0)) for n in sums},
         **{t: F.coalesce(F.col(f"__total_{n}"), F.col(t)) for n, t in totals.items()},

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.operators.ordered import group_row_limit
+from runledger.operators.ordered import group_row_limit, null_safe_left
 
 _PARTS, _SALT = "__parts", "__salt"
 
@@ -22,8 +22,9 @@ def spread_join(
     """Join ``facts`` to ``lookup`` (one row per key) on ``keys``.
 
     A key with more than ``spark.runledger.maxGroupRows`` facts is cut into parts
-    by a hash of ``row_id``, and its one lookup row is copied to each part.  At
-    most rows / limit keys can be that frequent, which bounds the broadcast table.
+    by a hash of ``row_id``, and its one lookup row is copied to each part; facts
+    with a null key match nothing but are spread the same way.  At most rows / limit
+    keys can be that frequent, which bounds the broadcast table.
     """
     limit = group_row_limit(facts.sparkSession)
     frequent = F.broadcast(
@@ -34,7 +35,7 @@ def spread_join(
     )
     parts = F.coalesce(F.col(_PARTS), F.lit(1))
     salted = (
-        facts.join(frequent, list(keys), "left")
+        null_safe_left(facts, frequent, keys)
         .withColumn(_SALT, F.pmod(F.xxhash64(*row_id), parts).cast("int"))
         .drop(_PARTS)
     )

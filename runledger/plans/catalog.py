@@ -178,7 +178,7 @@ def _(t):
     labels = t.raw("nation").select(F.col("n_nationkey").cast("bigint").alias("code"),
                                     F.col("n_name").alias("label"))
     coded = t.raw("events").select("event_id", (F.col("user_id") % 30).alias("code"))
-    return comparison.label_lookup(coded, "code", labels).select("event_id", "code", "label")
+    return comparison.label_lookup(coded, "code", labels, ["event_id"]).select("event_id", "code", "label")
 
 
 @query("correlate_requests", """
