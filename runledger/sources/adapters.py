@@ -35,6 +35,9 @@ def scan_adapter_configs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def list_adapter_files(spark: SparkSession, root: str) -> DataFrame:
-    """Path, size and time of every file below ``root``; contents are not read."""
+    """Path, size and time of every file below ``root``; contents are not read.
+
+    Spark does not list empty files, so an empty config or weight file is absent here.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))

@@ -73,7 +73,8 @@ def read_run_reports(spark: SparkSession, directory: str, multiline: bool = True
         .json(directory)
         .withColumn("file", plain_path(F.col("_metadata.file_path")))
     )
-    bad = F.col(_CORRUPT).isNotNull() | F.col("strategy").isNull()
+    nameless = F.col("strategy").isNull() | (F.col("run_id").isNull() & F.col("run_timestamp").isNull())
+    bad = F.col(_CORRUPT).isNotNull() | nameless
     name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.json$", "")
     good = documents.filter(~bad).withColumn("run_id", F.coalesce("run_id", name))
     runs = good.select(
