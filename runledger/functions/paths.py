@@ -16,6 +16,12 @@ def path_parts(path: Column) -> Column:
 
 def last_component(path: Column) -> Column:
     """Last component of the normalised path; '..' takes back the one before it."""
+    # Only a path that ends in '..', or has no other component, needs the walk.
+    plain = F.substring_index(F.regexp_replace(path, r"(/\.?)+$", ""), "/", -1)
+    return F.when(plain.isin("", ".", ".."), _walked_component(path)).otherwise(plain)
+
+
+def _walked_component(path: Column) -> Column:
     step = F.aggregate(
         F.reverse(path_parts(path)),
         F.struct(F.lit(0).alias("skip"), F.lit(None).cast("string").alias("name")),

@@ -1,4 +1,7 @@
-"""Tokenizers: functions from a text column to a column of array<int>."""
+"""Tokenizers: functions from a text column and a number of tokens to array<int>.
+
+A tokenizer may return more tokens than asked for; the rest is cut off.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +11,23 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Tokenizer = Callable[[Column], Column]
+Tokenizer = Callable[[Column, int], Column]
+
+_SPACE = " \\t\\n\\r\\f"
+
+
+def words(text: Column, limit: int | None = None) -> Column:
+    """Words of a text, split at runs of blanks, tabs and line ends; the first
+    ``limit`` ones if given."""
+    if limit is None:
+        return F.filter(F.split(text, f"[{_SPACE}]+"), lambda word: word != "")
+    # One more piece for a leading separator and one for the unsplit rest.
+    pieces = F.split(text, f"[{_SPACE}]+", limit + 2)
+    return F.slice(F.filter(pieces, lambda word: word != ""), 1, limit)
 
 
-def words(text: Column) -> Column:
-    """Words of a text, split at runs of blanks, tabs and line ends."""
-    return F.filter(F.split(text, "[ \\t\\n\\r\\f]+"), lambda word: word != "")
+def count_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"[^{_SPACE}]+"))
 
 
 def hashed_words(vocabulary: int = 32_000) -> Tokenizer:
@@ -22,7 +36,7 @@ def hashed_words(vocabulary: int = 32_000) -> Tokenizer:
     def number(word: Column) -> Column:
         return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % vocabulary).cast("int")
 
-    return lambda text: F.transform(words(text), number)
+    return lambda text, limit: F.transform(words(text, limit), number)
 
 
 def from_encoder(encode: Callable[[str], Sequence[int]]) -> Tokenizer:
@@ -32,4 +46,4 @@ def from_encoder(encode: Callable[[str], Sequence[int]]) -> Tokenizer:
     def tokenize(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: [int(i) for i in encode(text or "")])
 
-    return tokenize
+    return lambda text, limit: tokenize(text)

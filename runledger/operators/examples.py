@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.functions.tokens import Tokenizer, hashed_words, words
-from runledger.operators.ordered import number_rows
+from runledger.functions.tokens import Tokenizer, count_words, hashed_words
+from runledger.operators.ordered import has_large_group, number_rows
 from runledger.operators.skew import spread_join
 
 # Example length, and the label that marks padding.
@@ -30,7 +32,7 @@ def encode_samples(
     if pad_side not in ("left", "right"):
         raise ValueError("pad_side must be left or right")
     tokenizer = tokenizer or hashed_words()
-    tokens = samples.withColumn("__ids", F.slice(tokenizer(F.col("text")), 1, max_length))
+    tokens = samples.withColumn("__ids", F.slice(tokenizer(F.col("text"), max_length), 1, max_length))
     gap = F.lit(max_length) - F.size("__ids")
 
     def padded(values: Column, fill: int) -> Column:
@@ -69,6 +71,8 @@ def shuffle_batches(
     samples: DataFrame, epochs: int, batch_size: int, seed: int = 0, split: bool | None = None,
 ) -> DataFrame:
     """A repeatable order of each job's samples for every epoch, cut into batches."""
+    if split is None:
+        split = has_large_group(samples, ["job_id"])
     tickets = samples.select("job_id", "sample_idx", F.explode(
         F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")).withColumn(
         "__draw", F.md5(F.concat_ws("|", "job_id", "epoch", "sample_idx", F.lit(seed))))
@@ -99,10 +103,11 @@ def sample_stats(samples: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def truncation_report(
-    samples: DataFrame, max_length: int = MAX_LENGTH, tokenizer: Tokenizer | None = None,
+    samples: DataFrame, max_length: int = MAX_LENGTH,
+    count_tokens: Callable[[Column], Column] = count_words,
 ) -> DataFrame:
     """Tokens kept, cut and padded per job at ``max_length``."""
-    n = F.size((tokenizer or words)(F.col("text")))
+    n = F.coalesce(count_tokens(F.col("text")), F.lit(0))
     counted = samples.select("job_id", n.cast("bigint").alias("n"))
     zero = F.lit(0).cast("bigint")
     return counted.groupBy("job_id").agg(

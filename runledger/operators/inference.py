@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.text import strip_prompt
+from runledger.operators.ordered import has_large_group
 from runledger.operators.requests import (
-    BATCH_KEYS, BATCH_SIZE, fifo_batches, fill_request_params, route_requests,
+    BATCH_KEYS, BATCH_SIZE, adapter_id_from_path, fifo_batches, fill_request_params, route_requests,
 )
 
 # generate(adapter_id, prompts, params) -> one decoded text per prompt
@@ -44,6 +45,8 @@ def batch_infer(
     """
     spark = requests.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if split is None:  # before routing: more rows, but no join to run twice
+        split = has_large_group(adapter_id_from_path(requests), ["run_id", "adapter_id"])
     routed = route_requests(requests, catalogue)
     now = F.unix_micros(F.current_timestamp())
     refused = routed.filter(F.col("route_error").isNotNull()).select(

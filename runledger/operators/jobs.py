@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runledger import schemas
 from runledger.functions.losses import parse_loss
 from runledger.functions.timing import elapsed_s, present
-from runledger.operators.ordered import number_rows, running_sums
+from runledger.operators.ordered import has_large_group, number_rows, running_sums
 from runledger.operators.skew import spread_join
 
 JOB = ["run_id", "job_id"]
@@ -99,6 +99,8 @@ def relative_timeline(jobs: DataFrame, per_run: bool = False) -> DataFrame:
 
 def job_gantt(jobs: DataFrame, split: bool | None = None) -> DataFrame:
     """Lane numbers (from 0) per run by relative start; ties by registration."""
+    if split is None:
+        split = has_large_group(jobs, ["run_id"])
     timeline = relative_timeline(jobs)
     numbered = number_rows(timeline, ["run_id"], ["start_s", "reg_seq"], "__no", split)
     return numbered.select(
@@ -219,6 +221,8 @@ def loss_history(events: DataFrame, block: int = 1000, split: bool | None = None
     Block 0 holds the first ``block`` losses of the job, block 1 the next, and so
     on, so that a long history never has to fit one row.
     """
+    if split is None:
+        split = has_large_group(events, JOB)
     losses = events.select(*JOB, *EVENT_ORDER, parse_loss(F.col("loss_raw")).alias("loss")).filter(
         F.col("loss").isNotNull())
     numbered = number_rows(losses, JOB, EVENT_ORDER, "__no", split)

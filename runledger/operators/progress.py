@@ -54,9 +54,9 @@ def rolling_progress(
     the job's latest completion."""
     if history_window < 2:
         raise ValueError("history_window must be at least 2")
-    changes = history_events(events)
     if split is None:
-        split = has_large_group(changes, JOB)
+        split = has_large_group(events, JOB)
+    changes = history_events(events)
     marked = running_sums(
         changes, JOB, EVENT_ORDER, {"segment": F.col("done").cast("bigint")}, split=split)
     losses = marked.filter(~F.col("done")).drop("done")

@@ -8,7 +8,7 @@ is_fallback.  Ties go to the job registered first.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,24 +20,24 @@ from runledger.operators.progress import (
 Policy = Callable[..., DataFrame]
 
 
-def _top(candidates: DataFrame, score: Column, order: list[Column], k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(*order))
-    return (
-        candidates.withColumns({"score": score.cast("double"), "rank": rank})
-        .filter(F.col("rank") <= k)
-        .select("run_id", F.col("rank").cast("bigint").alias("rank"), "job_id", "score",
-                F.lit(False).alias("is_fallback"))
-    )
-
-
-def _first_id_where_none(jobs: DataFrame, wanted: Column, fallback: Column) -> DataFrame:
-    """The smallest fallback job id of each run that has no wanted job."""
+def _top(
+    jobs: DataFrame, score: Column, order: Sequence[Column], k: int, wanted: Column | None = None,
+) -> DataFrame:
+    """The first ``k`` wanted jobs per run; where a run has none, its smallest job id.
+
+    Unwanted jobs are ordered by id behind the wanted ones, so that one of them ranks
+    first only in a run without wanted jobs.
+    """
+    wanted = F.lit(True) if wanted is None else wanted
+    by_run = Window.partitionBy("run_id").orderBy(wanted.desc(), *order, F.col("job_id"))
+    flagged = jobs.withColumns({
+        "score": F.when(wanted, score.cast("double")),
+        "is_fallback": ~wanted,
+        "rank": F.row_number().over(by_run),
+    })
     return (
-        jobs.groupBy("run_id")
-        .agg(F.bool_or(wanted).alias("any"), F.min(F.when(fallback, F.col("job_id"))).alias("job_id"))
-        .filter(~F.col("any") & F.col("job_id").isNotNull())
-        .select("run_id", F.lit(1).cast("bigint").alias("rank"), "job_id",
-                F.lit(None).cast("double").alias("score"), F.lit(True).alias("is_fallback"))
+        flagged.filter((F.col("rank") <= k) & (~F.col("is_fallback") | (F.col("rank") == 1)))
+        .select("run_id", F.col("rank").cast("bigint").alias("rank"), "job_id", "score", "is_fallback")
     )
 
 
@@ -54,9 +54,8 @@ def rank_forward(
     """Fastest improving first; the smallest job id where no job improves enough."""
     rated = classify_progress(jobs, progress, stagnation_threshold=threshold)
     good = F.col("forward_class") == "progressing"
-    rate = F.coalesce("rate", F.lit(0.0))
-    best = _top(rated.filter(good), rate, [rate.desc(), F.col("reg_seq")], k)
-    return best.unionByName(_first_id_where_none(rated, good, F.lit(True)))
+    rate = F.when(good, F.coalesce("rate", F.lit(0.0)))
+    return _top(rated, rate, [rate.desc(), F.when(good, F.col("reg_seq"))], k, good)
 
 
 def rank_reverse(
@@ -65,8 +64,8 @@ def rank_reverse(
     """Slowest improving first; the smallest other job id where none is slow."""
     rated = classify_progress(jobs, progress, slow_threshold=threshold)
     slow = F.col("reverse_class") == "struggling"
-    worst = _top(rated.filter(slow), F.col("rate"), [F.col("rate"), F.col("reg_seq")], k)
-    return worst.unionByName(_first_id_where_none(rated, slow, ~slow))
+    rate = F.when(slow, F.col("rate"))
+    return _top(rated, rate, [rate, F.when(slow, F.col("reg_seq"))], k, slow)
 
 
 def first_by_id(jobs: DataFrame, progress: DataFrame | None = None, k: int = 1) -> DataFrame:

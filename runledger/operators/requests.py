@@ -241,7 +241,7 @@ def queue_depth(results: DataFrame, split: bool | None = None) -> DataFrame:
         F.struct(leaves.alias("ts_us"), F.lit(-1).cast("bigint").alias("change")),
     )).alias("step")).select("run_id", "request_id", "step.*").filter(F.col("ts_us").isNotNull())
     if split is None:
-        split = has_large_group(changes, ["run_id"])
+        split = has_large_group(results, ["run_id"])
     return running_sums(
         changes, ["run_id"], ["ts_us", F.col("change").desc(), "request_id"],
         {"depth": F.col("change")}, split=split)

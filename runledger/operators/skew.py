@@ -40,7 +40,7 @@ def spread_join(
         .drop(_PARTS)
     )
     copies = (
-        lookup.join(frequent, list(keys), "left")
+        null_safe_left(lookup, frequent, keys)  # the same condition, so the broadcast is shared
         .withColumn(_SALT, F.explode(F.sequence(F.lit(0), parts - 1)))
         .drop(_PARTS)
     )

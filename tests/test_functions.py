@@ -16,7 +16,7 @@ def evaluate(spark, schema, data, column):
 def test_adapter_id_equals_normalised_basename(spark):
     given_paths = [
         "./adapters/job_1", "./adapters/job_1/", "adapters//job_1/./", "/srv/a/b/", "a/b/..", "a/b/../c",
-        "a/./b/../../d/", "..", "../..", "a/..", "/", "/a/..", ".", "x", "./../y/../z", "a/../..",
+        "a/./b/../../d/", "..", "../..", "a/..", "/", "/a/..", ".", "x", "a/.hidden", "a/b./", "./", "//", "a/b/././/.", "/..", "./../y/../z", "a/../..",
     ]
     got = evaluate(spark, "i int, p string", list(enumerate(given_paths)), paths.adapter_id(F.col("p")))
     assert got == [os.path.basename(os.path.normpath(p)) for p in given_paths]
@@ -75,5 +75,8 @@ def test_micros_do_not_depend_on_the_session_zone(spark):
 def test_tokenizers(spark):
     df = spark.createDataFrame([("  a b\ta\n",), ("",), (None,)], "text string")
     assert [r[0] for r in df.select(tokens.words(F.col("text"))).collect()] == [["a", "b", "a"], [], None]
+    for limit in (1, 2, 3, 4):
+        assert df.select(tokens.words(F.col("text"), limit)).first()[0] == ["a", "b", "a"][:limit]
+    assert [r[0] for r in df.select(tokens.count_words(F.col("text"))).collect()] == [3, 0, None]
     encode = tokens.from_encoder(lambda s: [len(w) for w in s.split()])
-    assert [r[0] for r in df.select(encode(F.col("text"))).collect()] == [[1, 1, 1], [], []]
+    assert [r[0] for r in df.select(encode(F.col("text"), 9)).collect()] == [[1, 1, 1], [], []]
