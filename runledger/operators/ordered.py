@@ -22,6 +22,9 @@ from runledger.session import write_scratch
 GROUP_ROWS_CONF = "spark.runledger.maxGroupRows"
 DEFAULT_GROUP_ROWS = 1_000_000
 
+# More chunks than this cost more to schedule than larger chunks cost to sort.
+MAX_CHUNKS = 20_000
+
 _CHUNK, _PARTS, _ROW, _BLOCK, _CONTEXT = (
     "__chunk", "__parts", "__row", "__block", "__context",
 )
@@ -49,7 +52,7 @@ def _ordering(order: Sequence[str | Column]) -> list[Column]:
 def _range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     # Written once: the carry table and the rows must agree on the chunk borders.
     limit = group_row_limit(df.sparkSession)
-    chunks = max(2, -(-2 * df.count() // limit))
+    chunks = min(max(2, -(-2 * df.count() // limit)), MAX_CHUNKS)
     ranged = df.repartitionByRange(chunks, *[F.col(k) for k in keys], *_ordering(order))
     return write_scratch(ranged.withColumn(_CHUNK, F.spark_partition_id()))
 
@@ -120,12 +123,23 @@ def number_rows(
     order: Sequence[str | Column],
     name: str,
     split: bool | None = None,
+    row_id: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add the row's position (bigint, from 1) in its group."""
+    """Add the row's position (bigint, from 1) in its group.
+
+    ``row_id`` names columns (never null) that identify a row.  With it, only the
+    keys and order columns of large groups are chunked, and wide rows are joined to
+    their numbers once.
+    """
     if split is None:
         split = has_large_group(df, keys)
     if split:
-        return running_sums(df, keys, order, {name: F.lit(1).cast("bigint")}, split=True)
+        one = {name: F.lit(1).cast("bigint")}
+        if row_id is None:
+            return running_sums(df, keys, order, one, split=True)
+        narrow = df.select(*dict.fromkeys([*keys, *order, *row_id]))
+        numbers = running_sums(narrow, keys, order, one, split=True).select(*row_id, name)
+        return df.join(numbers, list(row_id))
     window = Window.partitionBy(*keys).orderBy(*_ordering(order))
     return df.withColumn(name, F.row_number().over(window).cast("bigint"))
 

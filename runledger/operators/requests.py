@@ -172,7 +172,7 @@ def fifo_batches(
     """Number requests into batches of at most ``batch_size`` per (run, adapter), in arrival order."""
     numbered = number_rows(
         adapter_id_from_path(requests), ["run_id", "adapter_id"], ["submission_us", "request_id"],
-        "__no", split)
+        "__no", split, row_id=["run_id", "request_id"])
     return numbered.withColumns({
         "batch": F.floor((F.col("__no") - 1) / batch_size),
         "pos": (F.col("__no") - 1) % batch_size,

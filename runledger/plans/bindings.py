@@ -121,7 +121,8 @@ class Tables:
 
     def samples(self) -> DataFrame:
         numbered = number_rows(
-            self.raw("documents").select("source", "doc_id", "text"), ["source"], ["doc_id"], "no")
+            self.raw("documents").select("source", "doc_id", "text"), ["source"], ["doc_id"], "no",
+            row_id=["doc_id"])
         return numbered.select(
             F.col("source").alias("job_id"), (F.col("no") - 1).alias("sample_idx"), "text")
 

@@ -49,6 +49,15 @@ def test_numbers_and_sums(frame, data, small_groups, limit):
     assert rows(summed.select("id", "s", "all")) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("limit", [20, 10_000])
+def test_numbers_of_identified_rows(frame, data, small_groups, limit):
+    small_groups(limit)
+    numbered = number_rows(frame, ["k"], ["ts", "id"], "no", row_id=["id"])
+    assert sorted(numbered.columns) == sorted([*frame.columns, "no"])
+    assert rows(numbered.select("id", "v", "no")) == sorted(
+        ((r[2], r[3], i) for g in grouped(data).values() for i, r in enumerate(g, 1)), key=repr)
+
+
 def test_descending_order(frame, data, small_groups):
     small_groups(20)
     numbered = number_rows(frame, ["k"], [F.col("ts").desc(), "id"], "no")
