@@ -2,10 +2,11 @@
 
 A plain window puts each group on one task.  That is the plan used while the
 largest group stays under ``spark.runledger.maxGroupRows`` rows.  Beyond it the
-rows are range-partitioned by (keys, order), so that a large group covers many
-chunks; each chunk is windowed alone and gets what the earlier chunks of its
-group add up to.  Only groups that cover several chunks need that carry, so the
-carry table has at most two rows per chunk and may be broadcast.
+rows are range-partitioned by (keys, order) into as many chunks as there are
+shuffle partitions, so that a large group covers many chunks; each chunk is
+windowed alone and gets what the earlier chunks of its group add up to.  Only
+groups that cover several chunks need that carry, so the carry table has at most
+two rows per chunk and may be broadcast.
 
 ``order`` must be unique inside a group; add an id column where it is not.
 """
@@ -20,10 +21,7 @@ from pyspark.sql import functions as F
 from runledger.session import write_scratch
 
 GROUP_ROWS_CONF = "spark.runledger.maxGroupRows"
-DEFAULT_GROUP_ROWS = 1_000_000
-
-# More chunks than this cost more to schedule than larger chunks cost to sort.
-MAX_CHUNKS = 20_000
+DEFAULT_GROUP_ROWS = 4_000_000
 
 _CHUNK, _PARTS, _ROW, _BLOCK, _CONTEXT = (
     "__chunk", "__parts", "__row", "__block", "__context",
@@ -34,15 +32,15 @@ def group_row_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_ROWS_CONF, str(DEFAULT_GROUP_ROWS)))
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows of the largest group, rows in all); reads the key columns only."""
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group; reads the key columns only."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
-    return largest or 0, total or 0
+    return sizes.agg(F.max("n")).first()[0] or 0
 
 
-def has_large_group(df: DataFrame, keys: Sequence[str]) -> bool:
-    return group_sizes(df, keys)[0] > group_row_limit(df.sparkSession)
+def has_large_group(df: DataFrame, keys: Sequence[str], at_most: int | None = None) -> bool:
+    limit = group_row_limit(df.sparkSession)
+    return largest_group(df, keys) > (limit if at_most is None else min(limit, at_most))
 
 
 def _ordering(order: Sequence[str | Column]) -> list[Column]:
@@ -51,8 +49,7 @@ def _ordering(order: Sequence[str | Column]) -> list[Column]:
 
 def _range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     # Written once: the carry table and the rows must agree on the chunk borders.
-    limit = group_row_limit(df.sparkSession)
-    chunks = min(max(2, -(-2 * df.count() // limit)), MAX_CHUNKS)
+    chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(chunks, *[F.col(k) for k in keys], *_ordering(order))
     return write_scratch(ranged.withColumn(_CHUNK, F.spark_partition_id()))
 

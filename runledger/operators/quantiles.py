@@ -9,28 +9,39 @@ from pyspark.sql import functions as F
 
 from runledger.operators.ordered import has_large_group, running_sums
 
+# The built-in exact percentile keeps the distinct values of a group in memory.
+_VALUES_IN_MEMORY = 1_000_000
 
-def _picked(df: DataFrame, keys: Sequence[str], value: str, percents: Mapping[str, float]) -> DataFrame:
-    # Distinct values with their counts, in order: value v covers the 0-based
-    # positions from __upto - __n to __upto - 1.
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    placed = running_sums(counts, keys, [value], {"__upto": F.col("__n")}, {"__upto": "__all"})
 
-    def at(position: Column) -> Column:
+def _ranked_percentiles(
+    df: DataFrame, keys: Sequence[str], columns: Mapping[str, Mapping[str, float]],
+) -> DataFrame:
+    # Distinct values of all columns with their counts, in order: value v covers the
+    # 0-based positions from __upto - __n to __upto - 1 of its group and column.
+    tall = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("__which"), F.col(c).cast("double").alias("__value"))
+        for i, c in enumerate(columns)])).alias("__item")).select(*keys, "__item.*")
+    counts = (
+        tall.filter(F.col("__value").isNotNull())
+        .groupBy(*keys, "__which", "__value").agg(F.count(F.lit(1)).alias("__n"))
+    )
+    group = [*keys, "__which"]
+    placed = running_sums(counts, group, ["__value"], {"__upto": F.col("__n")}, {"__upto": "__all"})
+
+    def at(which: int, position: Column) -> Column:
         covers = (position >= F.col("__upto") - F.col("__n")) & (position < F.col("__upto"))
-        return F.max(F.when(covers, F.col(value)))
+        return F.max(F.when((F.col("__which") == which) & covers, F.col("__value")))
 
-    picks = []
-    for name, p in percents.items():
-        position = F.lit(p) * (F.col("__all") - 1)
-        picks += [at(F.floor(position)).alias(f"__lo_{name}"), at(F.ceil(position)).alias(f"__hi_{name}")]
-    found = placed.groupBy(*keys).agg(F.max("__all").alias("__all"), *picks)
-    out = []
-    for name, p in percents.items():
-        position = F.lit(p) * (F.col("__all") - 1)
-        low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        out.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return found.select(*keys, *out)
+    aggs, out = [], []
+    for i, wanted in enumerate(columns.values()):
+        aggs.append(F.max(F.when(F.col("__which") == i, F.col("__all"))).alias(f"__all{i}"))
+        for name, p in wanted.items():
+            position = F.lit(float(p)) * (F.col("__all") - 1)
+            aggs += [at(i, F.floor(position)).alias(f"__lo_{name}"), at(i, F.ceil(position)).alias(f"__hi_{name}")]
+            low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+            place = F.lit(float(p)) * (F.col(f"__all{i}") - 1)
+            out.append((low + (high - low) * (place - F.floor(place))).alias(name))
+    return placed.groupBy(*keys).agg(*aggs).select(*keys, *out)
 
 
 def percentiles(
@@ -44,13 +55,12 @@ def percentiles(
 ) -> DataFrame:
     """Percentiles per group: ``columns`` maps a value column to {output name: fraction}.
 
-    Exact unless ``approx``.  The built-in exact aggregate keeps a group's distinct
-    values in one task, so groups over the row limit are ranked over many tasks
-    instead.  ``extra`` aggregates ride along.
+    Exact unless ``approx``.  Where a group is too large for the built-in exact
+    aggregate, its distinct values are counted and ranked over many tasks instead.
+    ``extra`` aggregates ride along.
     """
     if split is None:
-        split = not approx and has_large_group(df, keys)
-    names = [name for wanted in columns.values() for name in wanted]
+        split = not approx and has_large_group(df, keys, _VALUES_IN_MEMORY)
     if not split:
         aggs, picks = [], []
         for i, (value, wanted) in enumerate(columns.items()):
@@ -64,8 +74,5 @@ def percentiles(
         grouped = df.groupBy(*keys).agg(*extra, *aggs)
         kept = [c for c in grouped.columns if not c.startswith("__p")]
         return grouped.select(*kept, *picks)
-    out = df.groupBy(*keys).agg(*extra) if extra else df.select(*keys).distinct()
-    for value, wanted in columns.items():
-        out = out.join(_picked(df, keys, value, wanted), list(keys), "left")
-    kept = [c for c in out.columns if c not in names]
-    return out.select(*kept, *[F.col(n).cast("double").alias(n) for n in names])
+    groups = df.groupBy(*keys).agg(*extra) if extra else df.select(*keys).distinct()
+    return groups.join(_ranked_percentiles(df, keys, columns), list(keys), "left")
