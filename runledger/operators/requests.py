@@ -20,6 +20,9 @@ BATCH_SIZE = 4
 REPORTED = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 WHISKER = 1.5
 
+# Fixed value: the error of requests whose adapter cannot be loaded.
+NOT_LOADED = "Failed to load adapter '%s'"
+
 def success() -> Column:
     return F.col("error").isNull() & F.col("output").isNotNull()
 
@@ -89,7 +92,7 @@ def route_requests(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     routed = spread_join(adapter_id_from_path(requests), stored, ["adapter_id"], ["run_id", "request_id"])
     on_base = F.col("adapter_path").isNull() | (F.col("adapter_path") == "")
     fails = ~on_base & ~F.coalesce("loadable", F.lit(False))
-    message = F.concat(F.lit("Failed to load adapter '"), F.col("adapter_id"), F.lit("'"))
+    message = F.format_string(NOT_LOADED, "adapter_id")
     return routed.withColumn("route_error", F.when(fails, message)).drop("loadable")
 
 

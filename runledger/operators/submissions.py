@@ -15,6 +15,7 @@ from runledger.operators.skew import spread_join
 TRAIN_JOB, INFERENCE_REQ = "TRAIN_JOB", "INFERENCE_REQ"
 MISSING_JOB_ID = "job_id missing"
 MISSING_SAMPLES = "Missing or invalid dataset_samples"
+DEFAULT_SAVE_PATH = "./adapters/job_"
 DEFAULT_BATCH_SIZE = 1
 DEFAULT_LEARNING_RATE = 5e-5
 REQUEST_QUOTA, JOB_QUOTA = 100, 10
@@ -67,7 +68,7 @@ def validate_submissions(job_subs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fill_job_defaults(job_subs: DataFrame, batch_size: int | None = None) -> DataFrame:
     path = F.nullif(F.col("adapter_save_path"), F.lit(""))
     return job_subs.withColumns({
-        "adapter_save_path": F.coalesce(path, F.concat(F.lit("./adapters/job_"), F.col("job_id"))),
+        "adapter_save_path": F.coalesce(path, F.concat(F.lit(DEFAULT_SAVE_PATH), F.col("job_id"))),
         "batch_size": F.coalesce("batch_size", F.lit(batch_size or DEFAULT_BATCH_SIZE)),
         "lr": F.coalesce("lr", F.lit(DEFAULT_LEARNING_RATE)),
     })

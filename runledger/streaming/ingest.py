@@ -32,16 +32,19 @@ def sort_submissions(events: DataFrame) -> DataFrame:
     }).drop("kind")
 
 
-def stream_ingest(submissions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_ingest(
+    submissions: DataFrame, path: str, checkpoint: str, **trigger,
+) -> StreamingQuery:
     """Write each trigger's submissions below ``path``, one folder per sink.
 
     All sinks of a trigger are one write, and a trigger that is run again overwrites
-    its own folder, so no submission is lost or doubled.
+    its own folder, so no submission is lost or doubled.  ``trigger``: as for
+    DataStreamWriter.trigger; all available data if not given.
     """
     def save(batch: DataFrame, epoch: int) -> None:
         sort_submissions(batch).write.mode("overwrite").partitionBy("sink").parquet(f"{path}/epoch={epoch}")
 
     return (
         submissions.writeStream.foreachBatch(save)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )

@@ -14,17 +14,20 @@ def stream_outcomes(results: DataFrame) -> DataFrame:
     return results.groupBy("run_id").agg(*outcome_counts())
 
 
-def write_outcomes(outcomes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_outcomes(
+    outcomes: DataFrame, path: str, checkpoint: str, **trigger,
+) -> StreamingQuery:
     """Write the runs that changed in each trigger to a folder of that trigger.
 
     A trigger that is run again after a failure overwrites its own folder.
+    ``trigger``: as for DataStreamWriter.trigger; all available data if not given.
     """
     def save(changed: DataFrame, epoch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return (
         outcomes.writeStream.outputMode("update").foreachBatch(save)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 

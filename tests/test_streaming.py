@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,34 @@ def test_progress_equals_batch(spark, tmp_path, log):
     assert all(final[r["job_id"]] == r["rate"] for r in current.collect())
 
 
+def test_silent_jobs_lose_their_state(spark, tmp_path):
+    def event(i, job):
+        return ("r", job, i, "STEP_COMPLETED", i, 1, str(i), None, None)
+
+    def wait_for(count):
+        for _ in range(200):
+            time.sleep(0.2)
+            assert query.exception() is None
+            if any((tmp_path / "out").glob("*.parquet")):
+                seen = spark.read.schema(frame.schema).parquet(str(tmp_path / "out"))
+                if seen.count() >= count:
+                    return {r["event_seq"]: r["history_size"] for r in seen.collect()}
+        raise AssertionError("the stream stands still")
+
+    write_files(tmp_path / "in", schemas.JOB_EVENTS, [event(1, "a"), event(2, "a"), event(3, "b")], 1)
+    frame = stream.stream_progress(stream_of(spark, tmp_path / "in", schemas.JOB_EVENTS), idle_ms=500)
+    query = (frame.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="200 milliseconds").start())
+    try:
+        wait_for(3)
+        time.sleep(4)
+        write_files(tmp_path / "later", schemas.JOB_EVENTS, [event(4, "a")], 1)
+        (tmp_path / "in" / "part9.json").write_text((tmp_path / "later" / "part0.json").read_text())
+        assert wait_for(4) == {1: 1, 2: 2, 3: 1, 4: 1}
+    finally:
+        query.stop()
+
+
 def test_job_state_equals_rollup(spark, tmp_path, log):
     write_files(tmp_path / "in", schemas.JOB_EVENTS, log, 3)
     frame = job_state.stream_job_state(stream_of(spark, tmp_path / "in", schemas.JOB_EVENTS))
