@@ -34,7 +34,7 @@ def scratch_dir(spark: SparkSession) -> str:
     Only a local session may go without that setting; it gets a temporary folder.
     """
     context = spark.sparkContext
-    root = context.getConf().get(CHECKPOINT_CONF) or context.getCheckpointDir()
+    root = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if not root:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")

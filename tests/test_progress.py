@@ -143,7 +143,7 @@ def random_events(seed, n=400):
 
 
 def replay(data, window):
-    """The reference semantics one event at a time: rate after each usable loss."""
+    """One event at a time: rate after each usable loss."""
     kept, out = {}, {}
     for _, job, seq, kind, ts, loss, status in sorted(data, key=lambda r: (r[4], r[2])):
         if kind in progress.COMPLETION_EVENTS and status == "COMPLETED":
