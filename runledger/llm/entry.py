@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import va_file, vp_simhash
+from runledger.llm import bpe, compression, pii, secret_ledger, va_file, vp_simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +21,43 @@ def op2_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_va_file_top_k, op2_simhash_vp_tree)}
+def op5_bpe_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.quality(_table(spark, sf_dir, "documents"))
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+def _listed(spans: Column | str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    versions = docs.select(F.col("source").alias("path"), F.col("doc_id").alias("version"), "text")
+    base = F.filter("found", lambda s: s["kind"].isin(*secret_ledger.BASE))
+    return secret_ledger.scan_versions(versions).select(
+        F.col("version").alias("doc_id"), *[_count("found", k) for k in secret_ledger.BASE],
+        F.sha2(_listed(base), 256).alias("base_sha256"), _listed("found").alias("spans"))
+
+
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_pii(_table(spark, sf_dir, "documents")).select(
+        "doc_id", *[_count("base", k) for k in pii.KINDS],
+        F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("found").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_va_file_top_k, op2_simhash_vp_tree, op5_bpe_tree_join, op6_compression_bands, op7_secret_ledger,
+    op9_pii_spans,
+)}
 
 ORACLES = {
     "op1_va_file_top_k": """
