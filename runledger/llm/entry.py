@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import bpe, compression, pii, secret_ledger, va_file, vp_simhash
+from runledger.llm import (
+    bpe, compression, langid, line_winnow, mixing, pii, secret_ledger, va_file, vp_simhash,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,33 @@ def op2_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_winnow.drop_copied_lines(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_deleted", "text")
+
+
+def domain(source: Column) -> Column:
+    """The domain of a source, by its number; sources without one are in ``web``."""
+    number = F.regexp_extract(source, "([0-9]+)$", 1).try_cast("bigint") % 3
+    return F.when(number == 1, "books").when(number == 2, "reference").otherwise("web")
+
+
+#: Weights of domains and of languages in a domain; sources in a language weigh alike.
+MIX_WEIGHTS = {("web",): 5, ("books",): 3, ("reference",): 2} | {
+    (d, lang): w for d in ("web", "books", "reference") for lang, w in (("en", 5), ("de", 2), ("fr", 2), ("es", 1))}
+
+
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    return mixing.mix(docs, [domain(F.col("source")), F.col("lang"), F.col("source")], MIX_WEIGHTS, **options)
+
+
+def op4_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mix_documents(docs, share=0.6, max_epochs=2, seed=17).select(
+        "doc_id", domain(F.col("source")).alias("domain"), "lang", "source",
+        mixing.word_tokens().alias("n_tokens"), "copies")
+
+
 def op5_bpe_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
@@ -54,26 +83,114 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("found").alias("spans"))
 
 
+def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_va_file_top_k, op2_simhash_vp_tree, op5_bpe_tree_join, op6_compression_bands, op7_secret_ledger,
-    op9_pii_spans,
+    op1_va_file_top_k, op2_simhash_vp_tree, op3_line_winnowing, op4_hierarchical_budgets, op5_bpe_tree_join,
+    op6_compression_bands, op7_secret_ledger, op9_pii_spans, op10_string_kernel_language,
 )}
 
 ORACLES = {
     "op1_va_file_top_k": """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
   GROUP BY vec_id
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 )
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
 WHERE place <= 20
+""",
+    "op3_line_winnowing": r"""
+WITH plain AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
+), l AS (
+  SELECT doc_id, lines, list_transform(lines, lambda x: CASE WHEN regexp_full_match(x, '[\x20\x09-\x0D]*') THEN '' ELSE x END) AS h
+  FROM plain
+), starts AS (
+  SELECT doc_id, lines, h, unnest(range(0, len(lines))) AS start FROM l
+), windows AS (
+  SELECT doc_id, start, 3 AS size, list_slice(h, start + 1, start + 3) AS content FROM starts
+  WHERE start + 3 <= len(lines) AND len(list_filter(list_slice(h, start + 1, start + 3), lambda x: x <> '')) > 0
+  UNION ALL
+  SELECT doc_id, start, 1, [h[start + 1]] FROM starts
+  WHERE len(regexp_extract_all(lines[start + 1], '[^\x20\x09-\x0D]+')) >= 50
+), copied AS (
+  SELECT doc_id, start, size
+  FROM (SELECT *, row_number() OVER (PARTITION BY size, content ORDER BY doc_id, start) AS place FROM windows)
+  WHERE place > 1
+), cut AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + size)) AS line FROM copied
+), kept AS (
+  SELECT s.doc_id, string_agg(s.lines[s.start + 1], chr(10) ORDER BY s.start) AS text
+  FROM starts s LEFT JOIN cut c ON s.doc_id = c.doc_id AND s.start = c.line WHERE c.line IS NULL GROUP BY s.doc_id
+), n AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(p.lines), 0) AS BIGINT) AS n_lines, coalesce(n.n, 0) AS n_deleted,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN plain p ON d.doc_id = p.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+LEFT JOIN n ON d.doc_id = n.doc_id
+""",
+    "op4_hierarchical_budgets": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
+         CASE CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 3 WHEN 1 THEN 'books' WHEN 2 THEN 'reference' ELSE 'web' END AS domain
+  FROM documents
+), leaf AS (
+  SELECT domain, lang, source, sum(n_tokens) AS tokens, 2 * sum(n_tokens) AS cap FROM d GROUP BY ALL
+),
+-- each level: children in the order in which they fill up
+a AS (
+  SELECT domain, sum(cap) AS cap, CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 3 ELSE 2 END AS w,
+         CAST(floor((SELECT sum(tokens) FROM leaf) * 0.6) AS HUGEINT) AS b FROM leaf GROUP BY domain
+), a1 AS (
+  SELECT *, cap * sum(w) OVER (ORDER BY CAST(cap AS DOUBLE) / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= w * (b - coalesce(sum(cap) OVER (ORDER BY CAST(cap AS DOUBLE) / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS f FROM a
+), a2 AS (
+  SELECT *, sum(w) FILTER (NOT f) OVER () AS ow, b - coalesce(sum(cap) FILTER (f) OVER (), 0) AS r FROM a1
+), a3 AS (
+  SELECT *, CASE WHEN f THEN cap ELSE w * r // ow + CASE WHEN row_number() OVER (PARTITION BY f ORDER BY domain)
+    <= r - sum(w * r // ow) FILTER (NOT f) OVER () THEN 1 ELSE 0 END END AS g FROM a2
+),
+b AS (
+  SELECT l.domain, l.lang, sum(l.cap) AS cap, CASE l.lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS w, max(a3.g) AS b
+  FROM leaf l JOIN a3 ON l.domain = a3.domain GROUP BY l.domain, l.lang
+), b1 AS (
+  SELECT *, cap * sum(w) OVER (PARTITION BY domain ORDER BY CAST(cap AS DOUBLE) / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= w * (b - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY CAST(cap AS DOUBLE) / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS f FROM b
+), b2 AS (
+  SELECT *, sum(w) FILTER (NOT f) OVER (PARTITION BY domain) AS ow, b - coalesce(sum(cap) FILTER (f) OVER (PARTITION BY domain), 0) AS r FROM b1
+), b3 AS (
+  SELECT *, CASE WHEN f THEN cap ELSE w * r // ow + CASE WHEN row_number() OVER (PARTITION BY domain, f ORDER BY lang)
+    <= r - sum(w * r // ow) FILTER (NOT f) OVER (PARTITION BY domain) THEN 1 ELSE 0 END END AS g FROM b2
+),
+c AS (
+  SELECT l.domain, l.lang, l.source, l.tokens, l.cap, 1 AS w, b3.g AS b
+  FROM leaf l JOIN b3 ON l.domain = b3.domain AND l.lang = b3.lang
+), c1 AS (
+  SELECT *, cap * sum(w) OVER (PARTITION BY domain, lang ORDER BY CAST(cap AS DOUBLE) / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= w * (b - coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY CAST(cap AS DOUBLE) / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS f FROM c
+), c2 AS (
+  SELECT *, sum(w) FILTER (NOT f) OVER (PARTITION BY domain, lang) AS ow, b - coalesce(sum(cap) FILTER (f) OVER (PARTITION BY domain, lang), 0) AS r FROM c1
+), c3 AS (
+  SELECT *, CASE WHEN f THEN cap ELSE w * r // ow + CASE WHEN row_number() OVER (PARTITION BY domain, lang, f ORDER BY source)
+    <= r - sum(w * r // ow) FILTER (NOT f) OVER (PARTITION BY domain, lang) THEN 1 ELSE 0 END END AS g FROM c2
+), e AS (
+  SELECT domain, lang, source, CASE WHEN tokens > 0 THEN g // tokens ELSE 0 END AS whole, g - CASE WHEN tokens > 0 THEN g // tokens ELSE 0 END * tokens AS rest FROM c3
+), keyed AS (
+  SELECT d.*, e.whole, e.rest, md5('17:' || e.whole || ':' || d.doc_id) AS k
+  FROM d JOIN e ON d.domain = e.domain AND d.lang = e.lang AND d.source = e.source
+), placed AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k) - n_tokens AS before FROM keyed
+)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN before < rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM placed WHERE whole + CASE WHEN before < rest THEN 1 ELSE 0 END > 0
 """,
 }
