@@ -1,21 +1,73 @@
-"""From raw documents to a mixed, encoded corpus: stages that each write what they keep."""
+"""From raw documents to a mixed, encoded corpus.
+
+Every stage takes all rows that the one before it kept, written as Parquet.  All but the
+last return the columns of the documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runledger.llm.vp_simhash import drop_near_duplicates
+from runledger.llm import bpe, langid, line_winnow, vp_simhash
+from runledger.llm.entry import mix_documents
 from runledger.session import scratch_dir
 
+#: Texts whose best language scores less are rejected; a text of that language lies far above.
+LEAST_SCORE = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach.
+
+    Texts that are null or without a letter go, and those whose best score is under
+    ``LEAST_SCORE``.  A missing language is filled in; a given one stays.
+    """
+    found = docs.select(F.struct(*docs.columns).alias("row"), langid.classify(
+        langid.train(docs), docs, F.col("text")).alias("found"))
+    kept = found.filter((F.col("found.lang") != langid.UNKNOWN) & (F.col("found.score") >= LEAST_SCORE))
+    return kept.select(*[
+        F.coalesce(f"row.{c}", "found.lang").alias(c) if c == "lang" else F.col(f"row.{c}") for c in docs.columns])
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the runs of lines that an earlier one has; n_chars follows.
+
+    A document that is left without a word goes, if it lost lines.
+    """
+    cut = line_winnow.drop_copied_lines(docs)
+    emptied = (F.col("n_deleted") > 0) & ~F.col("text").rlike(line_winnow.WORD)
+    return cut.filter(~F.coalesce(emptied, F.lit(False))).select(*[
+        F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col(c)).cast("bigint").alias(c) if c == "n_chars"
+        else F.col(c) for c in docs.columns])
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return drop_near_duplicates(docs)
+    return vp_simhash.drop_near_duplicates(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many tokens as there are, by target weights: what is over its target is cut, what
+    is under it is read up to twice, as one row for each epoch."""
+    mixed = mix_documents(docs, share=1.0, max_epochs=2, seed=17)
+    return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(docs.columns)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, with digests of the ids and of the text they decode to."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"),
+                                ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates),
+    ("mixing", mixing), ("bpe_encoding", bpe_encoding),
+]
 
-#: SQL can't express the SimHash shingles and the trained language model.
+#: SQL can't express a trained language model or SimHash; tests hold the stages against
+#: brute force.
 ORACLE_SQL = None
 
 

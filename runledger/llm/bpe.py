@@ -231,7 +231,7 @@ def encode_documents(
         text = t.decode(ids) if any(w.startswith("decoded") for w in wanted) else ""
         for w in wanted:
             out.append({
-                "n_tokens": lambda: len(ids), "ids": lambda: ids, "decoded": lambda: text,
+                "n_tokens": lambda: len(ids), "ids": lambda: np.asarray(ids, np.int32), "decoded": lambda: text,
                 "ids_sha256": lambda: hashlib.sha256(t.ids_text(ids).encode()).hexdigest(),
                 "decoded_sha256": lambda: hashlib.sha256(text.encode()).hexdigest(),
             }[w]())

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.llm import (
-    bpe, compression, langid, line_winnow, mixing, pii, secret_ledger, va_file, vp_simhash,
+    bpe, compression, langid, license_tfidf, line_winnow, mixing, pii, secret_ledger, va_file, vp_simhash,
 )
 
 
@@ -77,6 +77,14 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_listed(base), 256).alias("base_sha256"), _listed("found").alias("spans"))
 
 
+def op8_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return license_tfidf.scan_licenses(files).select(
+        F.regexp_extract("path", "([^/]*)$", 1).cast("bigint").alias("doc_id"), "path", "license", "cosine", "origin",
+        "license_path")
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_pii(_table(spark, sf_dir, "documents")).select(
         "doc_id", *[_count("base", k) for k in pii.KINDS],
@@ -89,7 +97,7 @@ def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_va_file_top_k, op2_simhash_vp_tree, op3_line_winnowing, op4_hierarchical_budgets, op5_bpe_tree_join,
-    op6_compression_bands, op7_secret_ledger, op9_pii_spans, op10_string_kernel_language,
+    op6_compression_bands, op7_secret_ledger, op8_license_tfidf, op9_pii_spans, op10_string_kernel_language,
 )}
 
 ORACLES = {

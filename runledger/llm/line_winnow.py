@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from runledger.session import write_scratch
 
 _BLANK = r"[\x20\x09-\x0D]*"
-_WORD = r"[^\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _lines() -> Column:
@@ -42,7 +42,7 @@ def copied_windows(docs: DataFrame, run_lines: int = 3, long_words: int = 50) ->
                             .otherwise(F.xxhash64(x)))
     # a long line is marked, so that no text is needed later
     long_at = F.transform(_lines(), lambda x: (F.length(x) >= 2 * long_words - 1)
-                          & (F.regexp_count(x, F.lit(_WORD)) >= long_words))
+                          & (F.regexp_count(x, F.lit(WORD)) >= long_words))
     hashed = docs.select(*_key(docs), line_hash.alias("h"), long_at.alias("long"))
     spots = write_scratch(hashed.select(
         "doc_id", "text_hash", "h",
