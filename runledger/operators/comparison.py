@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.timing import elapsed_s, present
-from runledger.operators.skew import spread_join
+from runledger.operators.ordered import null_safe_join
 
 # The compared metrics and the labels they are shown under.
 COMPARED = {
@@ -48,12 +48,12 @@ def job_durations(
 
 
 def label_lookup(
-    df: DataFrame, code: str, labels: DataFrame, row_id: Sequence[str], label: str = "label",
+    df: DataFrame, code: str, labels: DataFrame, label: str = "label",
 ) -> DataFrame:
     """Add the display label of ``code``; a code without one stands for itself.
 
     ``labels`` has one row per code: columns ``code`` and ``label``.
     """
     table = labels.select(F.col("code").alias(code), F.col("label").alias(label))
-    return spread_join(df, table, [code], row_id).withColumn(
+    return null_safe_join(df, table, [code]).withColumn(
         label, F.coalesce(F.col(label), F.col(code).cast("string")))

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.tokens import Tokenizer, count_words, hashed_words
-from runledger.operators.ordered import has_large_group, number_rows
-from runledger.operators.skew import spread_join
+from runledger.operators.ordered import by_digits, by_index, null_safe_join, number_rows
 
 # Example length, and the label that marks padding.
 MAX_LENGTH = 128
@@ -50,33 +49,32 @@ def encode_samples(
 def upsample_cyclic(samples: DataFrame, rows: int) -> DataFrame:
     """Exactly ``rows`` samples per job: position i takes sample i mod count.
 
-    ``sample_idx`` runs from 0 without gaps.
+    Samples are numbered anew from 0 in the order of ``sample_idx``, which may have gaps.
     """
+    numbered = number_rows(samples, ["job_id"], ["sample_idx"], by_index("sample_idx"), "__no")
+    renumbered = numbered.withColumn("sample_idx", F.col("__no") - 1).drop("__no")
     counts = samples.groupBy("job_id").agg(F.count(F.lit(1)).alias("__n"))
-    used = samples.filter(F.col("sample_idx") < rows)
+    used = renumbered.filter(F.col("sample_idx") < rows)
     # Copies are numbered in two steps, so that no array grows with ``rows``.
     last = F.floor((F.lit(rows - 1) - F.col("sample_idx")) / F.col("__n"))
     first = F.col("__run") * _COPIES
     return (
-        spread_join(used, counts, ["job_id"], ["sample_idx"], "inner")
+        null_safe_join(used, counts, ["job_id"], "inner")
         .withColumn("__last", last)
         .withColumn("__run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("__last") / _COPIES))))
+        .repartition("job_id", "sample_idx", "__run")  # copies of one sample are made on many tasks
         .withColumn("__copy", F.explode(F.sequence(first, F.least(F.col("__last"), first + (_COPIES - 1)))))
         .select("job_id", (F.col("sample_idx") + F.col("__copy") * F.col("__n")).alias("position"),
                 "sample_idx", "text")
     )
 
 
-def shuffle_batches(
-    samples: DataFrame, epochs: int, batch_size: int, seed: int = 0, split: bool | None = None,
-) -> DataFrame:
+def shuffle_batches(samples: DataFrame, epochs: int, batch_size: int, seed: int = 0) -> DataFrame:
     """A repeatable order of each job's samples for every epoch, cut into batches."""
-    if split is None:
-        split = has_large_group(samples, ["job_id"])
     tickets = samples.select("job_id", "sample_idx", F.explode(
         F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")).withColumn(
         "__draw", F.md5(F.concat_ws("|", "job_id", "epoch", "sample_idx", F.lit(seed))))
-    numbered = number_rows(tickets, ["job_id", "epoch"], ["__draw", "sample_idx"], "__no", split)
+    numbered = number_rows(tickets, ["job_id", "epoch"], ["__draw", "sample_idx"], by_digits("__draw"), "__no")
     place = F.col("__no") - 1
     return numbered.select(
         "job_id", "epoch", F.floor(place / batch_size).alias("batch"),

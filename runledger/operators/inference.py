@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.text import strip_prompt
-from runledger.operators.ordered import has_large_group
 from runledger.operators.requests import (
-    BATCH_KEYS, BATCH_SIZE, adapter_id_from_path, fifo_batches, fill_request_params, route_requests,
+    BATCH_KEYS, BATCH_SIZE, fifo_batches, fill_request_params, route_requests,
 )
 
 # generate(adapter_id, prompts, params) -> one decoded text per prompt
@@ -32,7 +31,6 @@ def batch_infer(
     batch_size: int = BATCH_SIZE,
     batches_per_load: int = 64,
     tasks: int | None = None,
-    split: bool | None = None,
 ) -> DataFrame:
     """Answer requests in batches of one adapter each; returns rows like ``results``.
 
@@ -45,8 +43,6 @@ def batch_infer(
     """
     spark = requests.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if split is None:  # before routing: more rows, but no join to run twice
-        split = has_large_group(adapter_id_from_path(requests), ["run_id", "adapter_id"])
     routed = route_requests(requests, catalogue)
     now = F.unix_micros(F.current_timestamp())
     refused = routed.filter(F.col("route_error").isNotNull()).select(
@@ -57,7 +53,7 @@ def batch_infer(
         F.col("route_error").alias("error"),
     )
     batched = fifo_batches(
-        fill_request_params(routed.filter(F.col("route_error").isNull())), batch_size, split)
+        fill_request_params(routed.filter(F.col("route_error").isNull())), batch_size)
     item = F.struct("pos", "request_id", "submission_us", "prompt", "generation_params")
     batches = (
         batched.groupBy(*BATCH_KEYS)

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from runledger import schemas
 from runledger.functions.losses import parse_loss
 from runledger.functions.timing import elapsed_s, present
-from runledger.operators.ordered import has_large_group, number_rows, running_sums
-from runledger.operators.skew import spread_join
+from runledger.operators.ordered import by_index, by_time, null_safe_join, number_rows, running_sums
 
 JOB = ["run_id", "job_id"]
 EVENT_ORDER = ["ts_us", "event_seq"]
@@ -75,17 +74,22 @@ def earliest_start(jobs: DataFrame) -> Column:
     return valid.agg(F.min("start_us")).scalar()
 
 
-def relative_timeline(jobs: DataFrame, per_run: bool = False) -> DataFrame:
+def relative_timeline(
+    jobs: DataFrame, per_run: bool = False, expected: DataFrame | None = None,
+) -> DataFrame:
     """Start and end of valid jobs in seconds since the earliest valid start.
 
-    The origin is shared by all runs unless ``per_run``.
+    The origin is shared by all runs unless ``per_run``.  With ``expected`` other jobs
+    are left out, of the origin too.
     """
+    if expected is not None:
+        jobs = jobs.join(expected.select(*JOB), JOB, "left_semi")
     _, duration = _start_and_duration()
     timed = jobs.withColumn("duration_s", duration).filter(
         present(F.col("start_us")).isNotNull() & F.nullif(F.col("duration_s"), F.lit(0.0)).isNotNull())
     if per_run:
         origins = timed.groupBy("run_id").agg(F.min("start_us").alias("__origin"))
-        timed = spread_join(timed, origins, ["run_id"], ["job_id"])
+        timed = null_safe_join(timed, origins, ["run_id"])
         origin = F.col("__origin")
     else:
         origin = earliest_start(jobs)
@@ -97,12 +101,10 @@ def relative_timeline(jobs: DataFrame, per_run: bool = False) -> DataFrame:
     )
 
 
-def job_gantt(jobs: DataFrame, split: bool | None = None) -> DataFrame:
+def job_gantt(jobs: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Lane numbers (from 0) per run by relative start; ties by registration."""
-    if split is None:
-        split = has_large_group(jobs, ["run_id"])
-    timeline = relative_timeline(jobs)
-    numbered = number_rows(timeline, ["run_id"], ["start_s", "reg_seq"], "__no", split)
+    timeline = relative_timeline(jobs, expected=expected)
+    numbered = number_rows(timeline, ["run_id"], ["start_s", "reg_seq"], by_index("start_s", 3600), "__no")
     return numbered.select(
         "run_id", (F.col("__no") - 1).alias("lane"), "job_id", "start_s", "end_s", "duration_s")
 
@@ -152,51 +154,78 @@ def run_finished(expected: DataFrame, jobs: DataFrame) -> DataFrame:
 
 # Event log to state
 
-def job_rollup(registrations: DataFrame, events: DataFrame) -> DataFrame:
-    """Current state per registered job from its event log.
+def registered_events(registrations: DataFrame, events: DataFrame) -> DataFrame:
+    """Events of registered jobs after their registration, with reg_seq and start_us.
 
     ``registrations`` has one row per job (first_registration): run_id, job_id,
     reg_seq and start_us.  Events of unknown jobs, and events before registration
-    (ts_us, event_seq) < (start_us, reg_seq), are ignored.
+    (ts_us, event_seq) < (start_us, reg_seq), are left out.
     """
     known = registrations.select(*JOB, "reg_seq", "start_us")
-    at = F.struct("ts_us", "event_seq")
-    own = spread_join(events, known, JOB, ["event_seq"], "inner").filter(
-        at > F.struct("start_us", "reg_seq"))
+    return null_safe_join(events, known, JOB, "inner").filter(
+        F.struct("ts_us", "event_seq") > F.struct("start_us", "reg_seq"))
+
+
+#: Columns of partial states, which may be merged in any order: {name: SQL type}.
+STATE = {
+    "steps": "bigint", "last_status": "struct<ts_us:bigint,event_seq:bigint,status:string>", "last_end": "bigint",
+    "first_error": "bigint", "last_error": "struct<ts_us:bigint,event_seq:bigint,message:string>", "n_losses": "bigint",
+}
+
+
+def event_state() -> list[Column]:
+    """What one event adds to its job's state."""
     is_error = F.col("error_message").isNotNull()
     new_status = F.when(is_error, schemas.FAILED).otherwise(F.col("status"))
-    ends = F.col("status").isin(*FINISHED)
-    loss = parse_loss(F.col("loss_raw"))
-    state = own.groupBy(*JOB).agg(
-        F.sum(F.when(F.col("step_increment") > 0, F.col("step_increment"))).alias("steps"),
-        F.max_by(new_status, F.when(new_status.isNotNull(), at)).alias("last_status"),
-        F.max(F.when(ends, F.col("ts_us"))).alias("last_end"),
-        F.min(F.when(is_error, F.col("ts_us"))).alias("first_error"),
-        F.max_by("error_message", F.when(is_error, at)).alias("error_message"),
-        F.count(loss).alias("n_losses"),
-    )
-    return known.join(state, JOB, "left").select(
+    at = [F.col("ts_us"), F.col("event_seq")]
+    columns = {
+        "steps": F.when(F.col("step_increment") > 0, F.col("step_increment")),
+        "last_status": F.when(new_status.isNotNull(), F.struct(*at, new_status.alias("status"))),
+        "last_end": F.when(F.col("status").isin(*FINISHED), F.col("ts_us")),
+        "first_error": F.when(is_error, F.col("ts_us")),
+        "last_error": F.when(is_error, F.struct(*at, F.col("error_message").alias("message"))),
+        "n_losses": F.when(parse_loss(F.col("loss_raw")).isNotNull(), 1),
+    }
+    return [column.cast(STATE[name]).alias(name) for name, column in columns.items()]
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state per job from any number of partial ones."""
+    how = {"steps": F.sum, "n_losses": F.sum, "first_error": F.min}
+    return states.groupBy(*JOB).agg(*[how.get(name, F.max)(name).alias(name) for name in STATE])
+
+
+def finished_states(registrations: DataFrame, states: DataFrame) -> DataFrame:
+    """The job's row from its registration and its merged state, if it has one."""
+    known = registrations.select(*JOB, "reg_seq", "start_us")
+    return null_safe_join(known, states, JOB).select(
         *JOB, "reg_seq",
-        F.coalesce("last_status", F.lit(schemas.ACTIVE)).alias("status"),
+        F.coalesce("last_status.status", F.lit(schemas.ACTIVE)).alias("status"),
         "start_us",
         F.coalesce("last_end", "first_error").alias("end_us"),
         F.coalesce("steps", F.lit(0)).cast("bigint").alias("current_step"),
-        F.coalesce("n_losses", F.lit(0)).alias("n_losses"),
-        "error_message",
+        F.coalesce("n_losses", F.lit(0)).cast("bigint").alias("n_losses"),
+        F.col("last_error.message").alias("error_message"),
     )
 
 
-def step_progress(events: DataFrame, jobs: DataFrame, split: bool | None = None) -> DataFrame:
-    """Cumulative step after each step event, with its epoch (from 0).
+def job_rollup(registrations: DataFrame, events: DataFrame) -> DataFrame:
+    """Current state per registered job from its event log (registered_events)."""
+    states = registered_events(registrations, events).select(*JOB, *event_state())
+    return finished_states(registrations, merge_states(states))
+
+
+def step_progress(events: DataFrame, jobs: DataFrame, registrations: DataFrame) -> DataFrame:
+    """Cumulative step after each step event of a registered job, with its epoch (from 0).
 
     ``jobs`` gives max_steps, n_samples and batch_size.  ``is_completion`` marks the
     step that reaches max_steps, ``is_surplus`` the ones after it.
     """
-    steps = events.filter(F.col("step_increment") > 0).select(*JOB, *EVENT_ORDER, "step_increment")
-    counted = running_sums(steps, JOB, EVENT_ORDER, {"step": F.col("step_increment").cast("bigint")},
-                           split=split)
+    steps = registered_events(registrations, events.filter(F.col("step_increment") > 0)).select(
+        *JOB, *EVENT_ORDER, "step_increment")
+    counted = running_sums(steps, JOB, EVENT_ORDER, by_time("ts_us"), {"step": F.col("step_increment").cast("bigint")})
     limits = jobs.select(*JOB, "max_steps", "n_samples", "batch_size")
-    joined = spread_join(counted, limits, JOB, ["event_seq"], "inner")
+    joined = null_safe_join(counted, limits, JOB, "inner")
     before = F.col("step") - F.col("step_increment")
     per_epoch = F.ceil(F.col("n_samples") / F.col("batch_size"))
     limit = F.col("max_steps")
@@ -209,23 +238,22 @@ def step_progress(events: DataFrame, jobs: DataFrame, split: bool | None = None)
     )
 
 
-def step_completion(events: DataFrame, jobs: DataFrame, split: bool | None = None) -> DataFrame:
+def step_completion(events: DataFrame, jobs: DataFrame, registrations: DataFrame) -> DataFrame:
     """Time of the step that reaches max_steps, per job."""
-    done = step_progress(events, jobs, split).filter("is_completion")
+    done = step_progress(events, jobs, registrations).filter("is_completion")
     return done.select(*JOB, F.col("ts_us").alias("completed_us"), F.col("step").alias("final_step"))
 
 
-def loss_history(events: DataFrame, block: int = 1000, split: bool | None = None) -> DataFrame:
-    """All losses per job in event order, in arrays of at most ``block`` values.
+def loss_history(events: DataFrame, registrations: DataFrame, block: int = 1000) -> DataFrame:
+    """All losses per registered job in event order, in arrays of at most ``block`` values.
 
     Block 0 holds the first ``block`` losses of the job, block 1 the next, and so
     on, so that a long history never has to fit one row.
     """
-    if split is None:
-        split = has_large_group(events, JOB)
-    losses = events.select(*JOB, *EVENT_ORDER, parse_loss(F.col("loss_raw")).alias("loss")).filter(
+    parsed = events.select(*JOB, *EVENT_ORDER, parse_loss(F.col("loss_raw")).alias("loss")).filter(
         F.col("loss").isNotNull())
-    numbered = number_rows(losses, JOB, EVENT_ORDER, "__no", split)
+    losses = registered_events(registrations, parsed).select(*JOB, *EVENT_ORDER, "loss")
+    numbered = number_rows(losses, JOB, EVENT_ORDER, by_time("ts_us"), "__no")
     blocks = numbered.withColumn("block", F.floor((F.col("__no") - 1) / block))
     ordered = F.array_sort(F.collect_list(F.struct("__no", "loss")))
     return blocks.groupBy(*JOB, "block").agg(

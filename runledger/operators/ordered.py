@@ -1,179 +1,143 @@
 """Row numbers, running sums and look-back windows inside ordered groups.
 
-A plain window puts each group on one task.  That is the plan used while the
-largest group stays under ``spark.runledger.maxGroupRows`` rows.  Beyond it the
-rows are range-partitioned by (keys, order) into as many chunks as there are
-shuffle partitions, so that a large group covers many chunks; each chunk is
-windowed alone and gets what the earlier chunks of its group add up to.  Only
-groups that cover several chunks need that carry, so the carry table has at most
-two rows per chunk and may be broadcast.
-
-``order`` must be unique inside a group; add an id column where it is not.
+A group may hold a third of all rows, so no window ever covers a whole group.  The rows
+are cut into chunks of neighbouring order values (an hour, a range of indexes, a range
+of magnitudes); each chunk is windowed alone and gets what the earlier chunks of its
+group add up to, from a table of one row for each chunk.  There is one plan for every
+size, nothing runs while a query is built, and a rerun task cuts the same chunks.
+
+Null keys are a group like any other.  ``order`` should be unique inside a group; rows
+that tie get their places in any order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from runledger.session import write_scratch
+#: Default size of chunks, and rows of a block in look-back windows.
+CHUNK_SECONDS, CHUNK_ROWS, BLOCK_ROWS = 3600, 100_000, 100_000
 
-GROUP_ROWS_CONF = "spark.runledger.maxGroupRows"
-DEFAULT_GROUP_ROWS = 4_000_000
+_CHUNK, _ROW, _BLOCK, _HOME, _CONTEXT = "__chunk", "__row", "__block", "__home", "__context"
 
-_CHUNK, _PARTS, _ROW, _BLOCK, _CONTEXT = (
-    "__chunk", "__parts", "__row", "__block", "__context",
-)
 
+# Chunks: expressions that never fall as the order rises.
 
-def group_row_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(GROUP_ROWS_CONF, str(DEFAULT_GROUP_ROWS)))
+def by_time(column: str, seconds: float | None = None) -> Column:
+    """Chunks of a time in microseconds."""
+    return F.floor(F.col(column) / ((seconds or CHUNK_SECONDS) * 1e6))
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group; reads the key columns only."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+def by_index(column: str, rows: int | None = None) -> Column:
+    """Chunks of a running number."""
+    return F.floor(F.col(column) / (rows or CHUNK_ROWS))
 
 
-def has_large_group(df: DataFrame, keys: Sequence[str], at_most: int | None = None) -> bool:
-    limit = group_row_limit(df.sparkSession)
-    return largest_group(df, keys) > (limit if at_most is None else min(limit, at_most))
+def by_digits(column: str, digits: int = 3) -> Column:
+    """Chunks of a hexadecimal digest."""
+    return F.conv(F.substring(column, 1, digits), 16, 10).cast("bigint")
 
 
-def _ordering(order: Sequence[str | Column]) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in order]
-
+def by_value(column: str) -> Column:
+    """Chunks of a double: 64 for each power of two, NaN after all others."""
+    x = F.col(column)
+    # logarithms of doubles lie between -1075 and 1024
+    size = F.floor(F.log2(F.abs(x)) * 64) + 70_000
+    return (
+        F.when(F.isnan(x), 200_000).when(F.abs(x) == float("inf"), F.signum(x) * 199_999)
+        .when(x == 0, 0).otherwise(F.signum(x) * size).cast("bigint")
+    )
 
-def _range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    # Written once: the carry table and the rows must agree on the chunk borders.
-    chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(chunks, *[F.col(k) for k in keys], *_ordering(order))
-    return write_scratch(ranged.withColumn(_CHUNK, F.spark_partition_id()))
 
+def _ordering(order: Sequence[str | Column]) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in order]
 
-def _carry(chunked: DataFrame, keys: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
-    per_chunk = chunked.groupBy(*keys, _CHUNK).agg(
-        *[F.sum(expr).alias(name) for name, expr in sums.items()]
-    )
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    return per_chunk.select(
-        *keys,
-        _CHUNK,
-        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__before_{n}") for n in sums],
-        *[F.sum(n).over(group).alias(f"__total_{n}") for n in sums],
-        F.count(F.lit(1)).over(group).alias(_PARTS),
-    ).filter(F.col(_PARTS) > 1)
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on ``keys`` in which nulls match; keeps the left side's keys.
 
-def null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on ``keys`` in which nulls match; keeps the left side's keys."""
+    A very frequent key on the left is split at run time by Spark's adaptive skew join;
+    a small right side is broadcast, which needs no shuffle at all.
+    """
     extra = [c for c in right.columns if c not in keys]
     left, right = left.alias("__left"), right.alias("__right")
     same = [F.col(f"__left.{k}").eqNullSafe(F.col(f"__right.{k}")) for k in keys]
-    return left.join(right, same, "left").select("__left.*", *extra)
+    return left.join(right, same, how).select("__left.*", *[F.col(f"__right.{c}") for c in extra])
 
 
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
+    chunk: Column,
     sums: Mapping[str, Column],
     totals: Mapping[str, str] | None = None,
-    split: bool | None = None,
 ) -> DataFrame:
-    """Add a running sum per group for each of ``sums`` (name -> expression).
+    """Add a running sum per group for each of ``sums`` (name -> whole-number expression).
 
+    ``chunk`` is made by one of the functions above from the first of ``order``.
     ``totals`` names columns for the group's whole sum: {sum name: total name}.
     """
     totals = totals or {}
-    if split is None:
-        split = has_large_group(df, keys)
-    if not split:
-        group = Window.partitionBy(*keys)
-        running = group.orderBy(*_ordering(order)).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({
-            **{name: F.sum(expr).over(running) for name, expr in sums.items()},
-            **{totals[name]: F.sum(expr).over(group) for name, expr in sums.items() if name in totals},
-        })
-    chunked = _range_chunks(df, keys, order)
-    inside = Window.partitionBy(*keys, _CHUNK)
-    running = inside.orderBy(*_ordering(order)).rowsBetween(Window.unboundedPreceding, 0)
-    local = chunked.withColumns({
-        **{name: F.sum(expr).over(running) for name, expr in sums.items()},
-        **{totals[name]: F.sum(expr).over(inside) for name, expr in sums.items() if name in totals},
-    })
-    carry = F.broadcast(_carry(chunked, keys, sums).drop(_PARTS))
-    joined = null_safe_left(local, carry, [*keys, _CHUNK])
+    chunked = df.withColumn(_CHUNK, chunk)
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = chunked.groupBy(*keys, _CHUNK).agg(
+        *[F.sum(expr).alias(name) for name, expr in sums.items()]
+    ).select(
+        *keys, _CHUNK,
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__before_{n}") for n in sums],
+        *[F.sum(n).over(group).alias(f"__total_{n}") for n in sums if n in totals],
+        F.count(F.lit(1)).over(group).alias("__chunks"),
+    )
+    if not totals:  # a group of one chunk carries nothing
+        carry = carry.filter("__chunks > 1")
+    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*_ordering(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = chunked.withColumns({name: F.sum(expr).over(inside) for name, expr in sums.items()})
+    joined = null_safe_join(local, carry.drop("__chunks"), [*keys, _CHUNK])
     return joined.withColumns({
         **{n: F.col(n) + F.coalesce(F.col(f"__before_{n}"), F.lit(0)) for n in sums},
-        **{t: F.coalesce(F.col(f"__total_{n}"), F.col(t)) for n, t in totals.items()},
-    }).drop(_CHUNK, *[f"__before_{n}" for n in sums], *[f"__total_{n}" for n in sums])
+        **{t: F.col(f"__total_{n}") for n, t in totals.items()},
+    }).drop(_CHUNK, *[f"__before_{n}" for n in sums], *[f"__total_{n}" for n in totals])
 
 
 def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    name: str,
-    split: bool | None = None,
-    row_id: Sequence[str] | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column, name: str,
 ) -> DataFrame:
-    """Add the row's position (bigint, from 1) in its group.
-
-    ``row_id`` names columns (never null) that identify a row.  With it, only the
-    keys and order columns of large groups are chunked, and wide rows are joined to
-    their numbers once.
-    """
-    if split is None:
-        split = has_large_group(df, keys)
-    if split:
-        one = {name: F.lit(1).cast("bigint")}
-        if row_id is None:
-            return running_sums(df, keys, order, one, split=True)
-        narrow = df.select(*dict.fromkeys([*keys, *order, *row_id]))
-        numbers = running_sums(narrow, keys, order, one, split=True).select(*row_id, name)
-        return df.join(numbers, list(row_id))
-    window = Window.partitionBy(*keys).orderBy(*_ordering(order))
-    return df.withColumn(name, F.row_number().over(window).cast("bigint"))
+    """Add the row's position (bigint, from 1) in its group."""
+    return running_sums(df, keys, order, chunk, {name: F.lit(1).cast("bigint")})
 
 
 def with_lookback(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
+    chunk: Column,
     lookback: int,
     columns: Callable[[WindowSpec], Mapping[str, Column]],
-    split: bool | None = None,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Add window columns that look at most ``lookback`` rows back.
 
-    ``columns`` builds them from an ordered window.  Large groups are cut into
-    blocks of equal row count; the last ``lookback`` rows of a block are also
-    given to the next one as context and dropped again afterwards.
+    ``columns`` builds them from an ordered window.  Groups are cut into blocks of equal
+    row count; the last ``lookback`` rows of a block are also given to the next one as
+    context and dropped again afterwards.
     """
-    if split is None:
-        split = has_large_group(df, keys)
-    if not split:
-        return df.withColumns(dict(columns(Window.partitionBy(*keys).orderBy(*_ordering(order)))))
-    block_rows = max(group_row_limit(df.sparkSession), lookback)
+    rows = max(block_rows or BLOCK_ROWS, lookback)
     position = F.col(_ROW) - 1
-    home = F.floor(position / block_rows)
-    is_tail = position % block_rows >= block_rows - lookback
+    home, after = F.col(_HOME), F.col(_HOME) + 1
+    is_tail = position % rows >= rows - lookback
     blocks = (
-        number_rows(df, keys, order, _ROW, split=True)
-        .withColumn("__home", home)
-        .withColumn(_BLOCK, F.explode(
-            F.when(is_tail, F.array("__home", F.col("__home") + 1)).otherwise(F.array("__home"))
-        ))
-        .withColumn(_CONTEXT, F.col(_BLOCK) != F.col("__home"))
+        number_rows(df, keys, order, chunk, _ROW)
+        .withColumn(_HOME, F.floor(position / rows))
+        .withColumn(_BLOCK, F.explode(F.when(is_tail, F.array(home, after)).otherwise(F.array(home))))
+        .withColumn(_CONTEXT, F.col(_BLOCK) != home)
     )
     window = Window.partitionBy(*keys, _BLOCK).orderBy(_ROW)
     return (
         blocks.withColumns(dict(columns(window)))
         .filter(~F.col(_CONTEXT))
-        .drop(_ROW, "__home", _BLOCK, _CONTEXT)
+        .drop(_ROW, _HOME, _BLOCK, _CONTEXT)
     )

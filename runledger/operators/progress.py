@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runledger import schemas
 from runledger.functions import losses as loss_functions
 from runledger.operators.jobs import EVENT_ORDER, JOB
-from runledger.operators.ordered import has_large_group, number_rows, running_sums, with_lookback
+from runledger.operators.ordered import by_time, number_rows, running_sums, with_lookback
 
 # Event types and the defaults of the progress policies.
 LOSS_EVENTS = ("STEP_COMPLETED", "METRICS_REPORTED")
@@ -17,9 +17,6 @@ HISTORY_WINDOW = 10
 STAGNATION_THRESHOLD = 0.001
 SLOW_THRESHOLD = 0.005
 
-# Spark prunes `row_number() <= k` before the shuffle up to this k by default.
-_PRUNED_RANKS = 1000
-
 
 def history_events(events: DataFrame) -> DataFrame:
     """Events that change a loss history: usable losses, and completions (``done``).
@@ -40,32 +37,40 @@ def parse_losses(events: DataFrame) -> DataFrame:
     return history_events(events).filter(~F.col("done")).drop("done")
 
 
-def loss_delta(losses: DataFrame, split: bool | None = None) -> DataFrame:
+def loss_delta(losses: DataFrame) -> DataFrame:
     """Previous loss minus this one, per job in event order; positive is improving."""
     return with_lookback(
-        losses, JOB, EVENT_ORDER, 1,
-        lambda window: {"delta": F.lag("loss").over(window) - F.col("loss")}, split)
+        losses, JOB, EVENT_ORDER, by_time("ts_us"), 1,
+        lambda window: {"delta": F.lag("loss").over(window) - F.col("loss")})
 
 
-def rolling_progress(
-    events: DataFrame, history_window: int = HISTORY_WINDOW, split: bool | None = None,
-) -> DataFrame:
+def rolling_progress(events: DataFrame, history_window: int = HISTORY_WINDOW) -> DataFrame:
     """Progress rate after each loss, over the last ``history_window`` losses since
     the job's latest completion."""
     if history_window < 2:
         raise ValueError("history_window must be at least 2")
-    if split is None:
-        split = has_large_group(events, JOB)
-    changes = history_events(events)
+    return rolling_rates(history_events(events), history_window)
+
+
+def rolling_rates(changes: DataFrame, history_window: int) -> DataFrame:
+    """rolling_progress over rows of history_events; other columns stay."""
     marked = running_sums(
-        changes, JOB, EVENT_ORDER, {"segment": F.col("done").cast("bigint")}, split=split)
+        changes, JOB, EVENT_ORDER, by_time("ts_us"), {"segment": F.col("done").cast("bigint")})
     losses = marked.filter(~F.col("done")).drop("done")
 
     def rate(window):
         recent = F.collect_list("loss").over(window.rowsBetween(1 - history_window, 0))
         return {"history_size": F.size(recent), "rate": loss_functions.mean_decrease(recent)}
 
-    return with_lookback(losses, [*JOB, "segment"], EVENT_ORDER, history_window - 1, rate, split)
+    return with_lookback(losses, [*JOB, "segment"], EVENT_ORDER, by_time("ts_us"), history_window - 1, rate)
+
+
+def newest_changes(changes: DataFrame, history_window: int) -> DataFrame:
+    """The last ``history_window`` losses and completions of each job; only so many leave
+    each task."""
+    newest = [F.col(c).desc() for c in EVENT_ORDER]
+    place = F.row_number().over(Window.partitionBy(*JOB, "done").orderBy(*newest))
+    return changes.withColumn("__rank", place).filter(F.col("__rank") <= history_window).drop("__rank")
 
 
 def progress_rate(events: DataFrame, history_window: int = HISTORY_WINDOW) -> DataFrame:
@@ -74,16 +79,8 @@ def progress_rate(events: DataFrame, history_window: int = HISTORY_WINDOW) -> Da
     Jobs without such a loss have no row.  Only that many losses and one completion
     per job leave each task.
     """
-    changes = history_events(events)
-    kind = [*JOB, "done"]
-    newest = [F.col(c).desc() for c in EVENT_ORDER]
-    if history_window > _PRUNED_RANKS and has_large_group(changes, kind):
-        ranked = number_rows(changes, kind, newest, "__rank", split=True)
-    else:
-        ranked = changes.withColumn(
-            "__rank", F.row_number().over(Window.partitionBy(*kind).orderBy(*newest)))
     at = F.struct(*EVENT_ORDER)
-    kept = ranked.filter(F.col("__rank") <= history_window).groupBy(*JOB).agg(
+    kept = newest_changes(history_events(events), history_window).groupBy(*JOB).agg(
         F.max(F.when(F.col("done"), at)).alias("cleared"),
         F.array_sort(F.collect_list(F.when(~F.col("done"), F.struct(*EVENT_ORDER, "loss")))).alias("items"),
     )
@@ -113,7 +110,7 @@ def classify_progress(
     })
 
 
-def interleave_jobs(items: DataFrame, order: list[str], split: bool | None = None) -> DataFrame:
+def interleave_jobs(items: DataFrame, order: list[str]) -> DataFrame:
     """Fair order: the first item of every job by job id, then the second of each, ..."""
-    numbered = number_rows(items, JOB, order, "turn", split)
+    numbered = number_rows(items, JOB, order, by_time(order[0]), "turn")
     return numbered.orderBy("run_id", "turn", "job_id")

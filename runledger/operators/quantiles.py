@@ -7,10 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.operators.ordered import has_large_group, running_sums
-
-# The built-in exact percentile keeps the distinct values of a group in memory.
-_VALUES_IN_MEMORY = 1_000_000
+from runledger.operators.ordered import by_value, null_safe_join, running_sums
 
 
 def _ranked_percentiles(
@@ -25,8 +22,8 @@ def _ranked_percentiles(
         tall.filter(F.col("__value").isNotNull())
         .groupBy(*keys, "__which", "__value").agg(F.count(F.lit(1)).alias("__n"))
     )
-    group = [*keys, "__which"]
-    placed = running_sums(counts, group, ["__value"], {"__upto": F.col("__n")}, {"__upto": "__all"})
+    placed = running_sums(counts, [*keys, "__which"], ["__value"], by_value("__value"),
+                          {"__upto": F.col("__n")}, {"__upto": "__all"})
 
     def at(which: int, position: Column) -> Column:
         covers = (position >= F.col("__upto") - F.col("__n")) & (position < F.col("__upto"))
@@ -40,7 +37,8 @@ def _ranked_percentiles(
             aggs += [at(i, F.floor(position)).alias(f"__lo_{name}"), at(i, F.ceil(position)).alias(f"__hi_{name}")]
             low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
             place = F.lit(float(p)) * (F.col(f"__all{i}") - 1)
-            out.append((low + (high - low) * (place - F.floor(place))).alias(name))
+            between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+            out.append(F.when(low == high, low).otherwise(between).alias(name))
     return placed.groupBy(*keys).agg(*aggs).select(*keys, *out)
 
 
@@ -51,28 +49,20 @@ def percentiles(
     extra: Sequence[Column] = (),
     approx: bool = False,
     accuracy: int = 10_000,
-    split: bool | None = None,
 ) -> DataFrame:
     """Percentiles per group: ``columns`` maps a value column to {output name: fraction}.
 
-    Exact unless ``approx``.  Where a group is too large for the built-in exact
-    aggregate, its distinct values are counted and ranked over many tasks instead.
-    ``extra`` aggregates ride along.
+    Exact unless ``approx``: distinct values are counted and ranked over many tasks, so
+    that no group's values meet in one.  ``extra`` aggregates ride along.
     """
-    if split is None:
-        split = not approx and has_large_group(df, keys, _VALUES_IN_MEMORY)
-    if not split:
+    if approx:
         aggs, picks = [], []
         for i, (value, wanted) in enumerate(columns.items()):
             fractions = F.array(*[F.lit(float(p)) for p in wanted.values()])
-            found = (
-                F.percentile_approx(value, fractions, accuracy) if approx
-                else F.percentile(value, fractions)
-            )
-            aggs.append(found.alias(f"__p{i}"))
+            aggs.append(F.percentile_approx(value, fractions, accuracy).alias(f"__p{i}"))
             picks += [F.col(f"__p{i}")[j].cast("double").alias(n) for j, n in enumerate(wanted)]
         grouped = df.groupBy(*keys).agg(*extra, *aggs)
         kept = [c for c in grouped.columns if not c.startswith("__p")]
         return grouped.select(*kept, *picks)
     groups = df.groupBy(*keys).agg(*extra) if extra else df.select(*keys).distinct()
-    return groups.join(_ranked_percentiles(df, keys, columns), list(keys), "left")
+    return null_safe_join(groups, _ranked_percentiles(df, keys, columns), keys)

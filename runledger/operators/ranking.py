@@ -42,9 +42,10 @@ def _top(
 
 
 def rank_least_progress(jobs: DataFrame, progress: DataFrame | None = None, k: int = 1) -> DataFrame:
-    """Fewest steps first; jobs whose step is not an integer are left out."""
+    """Fewest steps first; jobs whose step is not a whole number are left out."""
     step = F.col("current_step").try_cast("bigint")
-    counted = jobs.withColumn("__step", step).filter(F.col("__step").isNotNull())
+    whole = F.col("current_step").try_cast("decimal(38,9)") == step
+    counted = jobs.withColumn("__step", step).filter(whole)
     return _top(counted, F.col("__step"), [F.col("__step"), F.col("reg_seq")], k)
 
 
@@ -95,5 +96,5 @@ def rank_jobs(name: str, jobs: DataFrame, progress: DataFrame, **params) -> Data
     """Apply the named policy; an unknown name falls back to RoundRobin with a warning."""
     if name not in _POLICIES:
         warnings.warn(f"unknown policy {name!r}, using {DEFAULT_POLICY}", stacklevel=2)
-        name, params = DEFAULT_POLICY, {}
+        name, params = DEFAULT_POLICY, {p: v for p, v in params.items() if p == "k"}
     return _POLICIES[name](jobs, progress, **params)

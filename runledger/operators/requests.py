@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from runledger.functions.paths import adapter_id
 from runledger.functions.timing import elapsed_ms, elapsed_s
 from runledger.functions.text import strip_prompt
-from runledger.operators.ordered import has_large_group, number_rows, running_sums
+from runledger.operators.ordered import by_time, null_safe_join, number_rows, running_sums
 from runledger.operators.quantiles import percentiles
-from runledger.operators.skew import spread_join
 
 # Generation defaults, inference batch size, reported percentiles.
 MAX_NEW_TOKENS, TEMPERATURE, DO_SAMPLE = 50, 0.7, True
@@ -89,7 +88,7 @@ def route_requests(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     """
     stored = catalogue.select(
         "adapter_id", (F.col("has_config") & F.col("has_weights")).alias("loadable"))
-    routed = spread_join(adapter_id_from_path(requests), stored, ["adapter_id"], ["run_id", "request_id"])
+    routed = null_safe_join(adapter_id_from_path(requests), stored, ["adapter_id"])
     on_base = F.col("adapter_path").isNull() | (F.col("adapter_path") == "")
     fails = ~on_base & ~F.coalesce("loadable", F.lit(False))
     message = F.format_string(NOT_LOADED, "adapter_id")
@@ -118,7 +117,7 @@ def request_outcomes(results: DataFrame) -> DataFrame:
 
 
 def latency_summary(
-    results: DataFrame, approx: bool = False, extra: tuple[Column, ...] = (), split: bool | None = None,
+    results: DataFrame, approx: bool = False, extra: tuple[Column, ...] = (),
 ) -> DataFrame:
     """Mean and percentiles of both latencies per run; null where a run has none."""
     means = [F.avg(f"{kind}_ms").alias(f"{kind}_avg_ms") for kind in ("e2e", "proc")]
@@ -126,7 +125,7 @@ def latency_summary(
         f"{kind}_ms": {f"{kind}_{name}_ms": p for name, p in REPORTED.items()}
         for kind in ("e2e", "proc")
     }
-    return percentiles(request_latency(results), ["run_id"], wanted, [*extra, *means], approx, split=split)
+    return percentiles(request_latency(results), ["run_id"], wanted, [*extra, *means], approx)
 
 
 def throughput(results: DataFrame, runs: DataFrame) -> DataFrame:
@@ -141,9 +140,9 @@ def per_second(count: Column) -> Column:
     return F.when(seconds > 0, count / seconds).otherwise(F.lit(0.0))
 
 
-def latency_box(results: DataFrame, key: str = "run_id", split: bool | None = None) -> DataFrame:
+def latency_box(results: DataFrame, key: str = "run_id") -> DataFrame:
     """Box-plot figures of the end-to-end latency per ``key``."""
-    boxed = _with_box(results, key, split)
+    boxed = _with_box(results, key)
     inside = ~F.col("outlier")
     return boxed.groupBy(key).agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
@@ -153,29 +152,26 @@ def latency_box(results: DataFrame, key: str = "run_id", split: bool | None = No
     )
 
 
-def latency_outliers(results: DataFrame, key: str = "run_id", split: bool | None = None) -> DataFrame:
-    return _with_box(results, key, split).filter("outlier").select(key, "request_id", "e2e_ms")
+def latency_outliers(results: DataFrame, key: str = "run_id") -> DataFrame:
+    return _with_box(results, key).filter("outlier").select(key, "request_id", "e2e_ms")
 
 
-def _with_box(results: DataFrame, key: str, split: bool | None) -> DataFrame:
+def _with_box(results: DataFrame, key: str) -> DataFrame:
     latencies = request_latency(results).filter(F.col("e2e_ms").isNotNull())
-    quartiles = percentiles(
-        latencies, [key], {"e2e_ms": {"q1": 0.25, "median": 0.5, "q3": 0.75}}, split=split)
+    quartiles = percentiles(latencies, [key], {"e2e_ms": {"q1": 0.25, "median": 0.5, "q3": 0.75}})
     reach = WHISKER * (F.col("q3") - F.col("q1"))
-    joined = spread_join(latencies.select(key, "request_id", "e2e_ms"), quartiles, [key], ["request_id"])
+    joined = null_safe_join(latencies.select(key, "request_id", "e2e_ms"), quartiles, [key])
     return joined.withColumn(
         "outlier", (F.col("e2e_ms") < F.col("q1") - reach) | (F.col("e2e_ms") > F.col("q3") + reach))
 
 
 # Order within a run
 
-def fifo_batches(
-    requests: DataFrame, batch_size: int = BATCH_SIZE, split: bool | None = None,
-) -> DataFrame:
+def fifo_batches(requests: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
     """Number requests into batches of at most ``batch_size`` per (run, adapter), in arrival order."""
     numbered = number_rows(
         adapter_id_from_path(requests), ["run_id", "adapter_id"], ["submission_us", "request_id"],
-        "__no", split, row_id=["run_id", "request_id"])
+        by_time("submission_us"), "__no")
     return numbered.withColumns({
         "batch": F.floor((F.col("__no") - 1) / batch_size),
         "pos": (F.col("__no") - 1) % batch_size,
@@ -216,15 +212,13 @@ def completion_order(results: DataFrame, origin_us: Column) -> DataFrame:
     ).orderBy("completed_s", "request_id")
 
 
-def cumulative_success(
-    results: DataFrame, origin_us: Column, split: bool | None = None,
-) -> DataFrame:
+def cumulative_success(results: DataFrame, origin_us: Column) -> DataFrame:
     """Running count of successes per run by completion time, from a (0, 0) point."""
     done = results.filter(success() & F.col("processing_end_us").isNotNull()
                           & F.col("submission_us").isNotNull())
     counted = number_rows(
         done.select("run_id", "request_id", "processing_end_us"),
-        ["run_id"], ["processing_end_us", "request_id"], "successes", split)
+        ["run_id"], ["processing_end_us", "request_id"], by_time("processing_end_us"), "successes")
     points = counted.select(
         "run_id", elapsed_s(origin_us, F.col("processing_end_us")).alias("at_s"), "successes")
     start = done.select("run_id").distinct().select(
@@ -232,7 +226,7 @@ def cumulative_success(
     return start.unionByName(points)
 
 
-def queue_depth(results: DataFrame, split: bool | None = None) -> DataFrame:
+def queue_depth(results: DataFrame) -> DataFrame:
     """Waiting requests after each arrival (+1) and each start (-1) per run.
 
     Requests that never started leave at their end time.  An arrival comes before
@@ -243,11 +237,9 @@ def queue_depth(results: DataFrame, split: bool | None = None) -> DataFrame:
         F.struct(F.col("submission_us").alias("ts_us"), F.lit(1).cast("bigint").alias("change")),
         F.struct(leaves.alias("ts_us"), F.lit(-1).cast("bigint").alias("change")),
     )).alias("step")).select("run_id", "request_id", "step.*").filter(F.col("ts_us").isNotNull())
-    if split is None:
-        split = has_large_group(results, ["run_id"])
     return running_sums(
-        changes, ["run_id"], ["ts_us", F.col("change").desc(), "request_id"],
-        {"depth": F.col("change")}, split=split)
+        changes, ["run_id"], ["ts_us", F.col("change").desc(), "request_id"], by_time("ts_us"),
+        {"depth": F.col("change")})
 
 
 # Sets

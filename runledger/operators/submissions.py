@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger import schemas
-from runledger.operators.ordered import number_rows
-from runledger.operators.skew import spread_join
+from runledger.operators.ordered import by_time, null_safe_join, number_rows
 
 # Fixed values of the submission format.
 TRAIN_JOB, INFERENCE_REQ = "TRAIN_JOB", "INFERENCE_REQ"
@@ -20,9 +19,6 @@ DEFAULT_BATCH_SIZE = 1
 DEFAULT_LEARNING_RATE = 5e-5
 REQUEST_QUOTA, JOB_QUOTA = 100, 10
 
-# Spark prunes `row_number() <= k` before the shuffle up to this k by default.
-_PRUNED_RANKS = 1000
-
 
 class Routed(NamedTuple):
     jobs: DataFrame
@@ -96,27 +92,21 @@ def first_registration(job_subs: DataFrame) -> DataFrame:
 def admission_cap(events: DataFrame, interval: str, limit: int, order: tuple[str, str] = ("submitted_us", "seq")) -> DataFrame:
     """Mark the first ``limit`` submissions per (run, interval) ``accepted``, the rest ``rejected``.
 
-    0 means no limit.  The cut is found from at most ``limit`` rows per group and
-    task, then compared with every row, so the rows themselves are not sorted.
+    0 means no limit.  The cut is found among the keys alone, by numbering them in
+    chunks of the first of ``order``, a time, and then compared with every row, so that
+    the rows themselves are not sorted.  A null key is a group like any other.
     """
     if limit <= 0:
         return events.withColumn("admission", F.lit("accepted"))
     keys = ["run_id", interval]
-    if limit > _PRUNED_RANKS:
-        numbered = number_rows(events, keys, order, "__rank")
-        return numbered.withColumn(
-            "admission", F.when(F.col("__rank") <= limit, "accepted").otherwise("rejected")
-        ).drop("__rank")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     cuts = (
-        events.select(*keys, *order)
-        .withColumn("__rank", rank)
+        number_rows(events.select(*keys, *order), keys, order, by_time(order[0]), "__rank")
         .filter(F.col("__rank") == limit)
         .select(*keys, F.struct(*order).alias("__cut"))
     )
     inside = F.col("__cut").isNull() | (F.struct(*order) <= F.col("__cut"))
     return (
-        spread_join(events, cuts, keys, [order[1]])
+        null_safe_join(events, cuts, keys)
         .withColumn("admission", F.when(inside, "accepted").otherwise("rejected"))
         .drop("__cut")
     )

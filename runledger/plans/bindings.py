@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from runledger import schemas
 from runledger.functions.timing import to_micros
 from runledger.operators.jobs import job_rollup
-from runledger.operators.ordered import number_rows
+from runledger.operators.ordered import by_index, number_rows
 from runledger.operators.submissions import first_registration
 
 # The order priorities, which stand for the compared strategies.
@@ -121,8 +121,8 @@ class Tables:
 
     def samples(self) -> DataFrame:
         numbered = number_rows(
-            self.raw("documents").select("source", "doc_id", "text"), ["source"], ["doc_id"], "no",
-            row_id=["doc_id"])
+            self.raw("documents").select("source", "doc_id", "text"), ["source"], ["doc_id"],
+            by_index("doc_id"), "no")
         return numbered.select(
             F.col("source").alias("job_id"), (F.col("no") - 1).alias("sample_idx"), "text")
 
@@ -326,6 +326,9 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "reg": (("job_events",), """
     SELECT run_id, job_id, min(event_seq) AS reg_seq, arg_min(ts_us, event_seq) AS start_us
     FROM job_events WHERE event_type = 'JOB_ADDED' GROUP BY run_id, job_id"""),
+    "own_events": (("reg", "job_events"), """
+    SELECT e.* FROM job_events e JOIN reg r ON e.run_id = r.run_id AND e.job_id = r.job_id
+      AND (e.ts_us > r.start_us OR (e.ts_us = r.start_us AND e.event_seq > r.reg_seq))"""),
     "rolled_jobs": (("reg", "job_events"), """
     SELECT r.run_id, r.job_id, r.reg_seq,
       coalesce(last(new_status ORDER BY ts_us, event_seq) FILTER (WHERE new_status IS NOT NULL), 'ACTIVE') AS status,

@@ -178,7 +178,7 @@ def _(t):
     labels = t.raw("nation").select(F.col("n_nationkey").cast("bigint").alias("code"),
                                     F.col("n_name").alias("label"))
     coded = t.raw("events").select("event_id", (F.col("user_id") % 30).alias("code"))
-    return comparison.label_lookup(coded, "code", labels, ["event_id"]).select("event_id", "code", "label")
+    return comparison.label_lookup(coded, "code", labels).select("event_id", "code", "label")
 
 
 @query("correlate_requests", """
@@ -259,6 +259,16 @@ def _(t):
     return requests.latency_box(t.results())
 
 
+@query("latency_outliers", f"""
+SELECT run_id, request_id, {r6('e2e_ms')} AS e2e_ms
+FROM latencies JOIN (
+  SELECT run_id, quantile_cont(e2e_ms, 0.25) AS q1, quantile_cont(e2e_ms, 0.75) AS q3
+  FROM latencies GROUP BY run_id) USING (run_id)
+WHERE e2e_ms < q1 - 1.5 * (q3 - q1) OR e2e_ms > q3 + 1.5 * (q3 - q1)""", ("latencies",))
+def _(t):
+    return requests.latency_outliers(t.results())
+
+
 @query("batch_outcomes", f"""
 SELECT b.run_id, adapter_id, batch, count(*) AS size,
   count(*) FILTER (WHERE r.error IS NULL AND r.output IS NOT NULL) AS successes,
@@ -284,25 +294,21 @@ def _(t):
 
 # Order within a run
 
-def _first_submission(t: Tables):
-    return t.results().agg(F.min("submission_us")).scalar()
-
-
 @query("completion_order", f"""
 SELECT run_id, request_id,
-  {r6('(processing_end_us - (SELECT min(submission_us) FROM results)) / 1e6')} AS completed_s
-FROM latencies""", ("results", "latencies"))
+  {r6('(processing_end_us - (SELECT min(start_us) FROM timed)) / 1e6')} AS completed_s
+FROM latencies""", ("timed", "latencies"))
 def _(t):
-    return requests.completion_order(t.results(), _first_submission(t))
+    return requests.completion_order(t.results(), jobs.earliest_start(t.jobs()))
 
 
 @query("cumulative_success", f"""
-SELECT run_id, {r6('(processing_end_us - (SELECT min(submission_us) FROM results)) / 1e6')} AS at_s,
+SELECT run_id, {r6('(processing_end_us - (SELECT min(start_us) FROM timed)) / 1e6')} AS at_s,
   row_number() OVER (PARTITION BY run_id ORDER BY processing_end_us, request_id) AS successes
 FROM latencies
-UNION ALL SELECT DISTINCT run_id, 0.0, 0 FROM latencies""", ("results", "latencies"))
+UNION ALL SELECT DISTINCT run_id, 0.0, 0 FROM latencies""", ("timed", "latencies"))
 def _(t):
-    return requests.cumulative_success(t.results(), _first_submission(t))
+    return requests.cumulative_success(t.results(), jobs.earliest_start(t.jobs()))
 
 
 @query("fifo_batches", """
@@ -384,7 +390,15 @@ FROM timed"""
 
 @query("relative_timeline", _TIMELINE, ("timed",))
 def _(t):
-    return jobs.relative_timeline(t.jobs())
+    return jobs.relative_timeline(t.jobs(), expected=t.expected())
+
+
+@query("relative_timeline_per_run", f"""
+SELECT run_id, job_id, reg_seq, {r6('(start_us - first) / 1e6')} AS start_s, {r6('(end_us - first) / 1e6')} AS end_s,
+  {r6('duration_s')} AS duration_s
+FROM (SELECT *, min(start_us) OVER (PARTITION BY run_id) AS first FROM timed)""", ("timed",))
+def _(t):
+    return jobs.relative_timeline(t.jobs(), per_run=True)
 
 
 @query("job_gantt", f"""
@@ -484,10 +498,10 @@ SELECT run_id, job_id, block, string_agg(printf('%.2f', loss), ' ' ORDER BY no)
 FROM (SELECT *, (no - 1) // 1000 AS block FROM (
   SELECT run_id, job_id, TRY_CAST(loss_raw AS DOUBLE) AS loss,
     row_number() OVER (PARTITION BY run_id, job_id ORDER BY ts_us, event_seq) AS no
-  FROM job_events WHERE TRY_CAST(loss_raw AS DOUBLE) IS NOT NULL))
-GROUP BY run_id, job_id, block""", ("job_events",))
+  FROM own_events WHERE TRY_CAST(loss_raw AS DOUBLE) IS NOT NULL))
+GROUP BY run_id, job_id, block""", ("own_events",))
 def _(t):
-    history = jobs.loss_history(t.job_events())
+    history = jobs.loss_history(t.job_events(), t.registrations())
     return history.withColumn("losses", F.array_join(
         F.transform("losses", lambda loss: F.format_string("%.2f", loss)), " "))
 
@@ -501,19 +515,19 @@ FROM (
   SELECT *, CAST(sum(step_increment) OVER (PARTITION BY run_id, job_id ORDER BY ts_us, event_seq
       ROWS UNBOUNDED PRECEDING) AS BIGINT) AS step,
     CAST(ceil(n_samples / batch_size) AS BIGINT) AS per_epoch
-  FROM job_events JOIN job_limits USING (run_id, job_id) WHERE step_increment > 0)"""
+  FROM own_events JOIN job_limits USING (run_id, job_id) WHERE step_increment > 0)"""
 
 
-@query("step_progress", _STEPS, ("job_events", "job_limits"))
+@query("step_progress", _STEPS, ("own_events", "job_limits"))
 def _(t):
-    return jobs.step_progress(t.job_events(), t.job_limits())
+    return jobs.step_progress(t.job_events(), t.job_limits(), t.registrations())
 
 
 @query("step_completion", f"""
 SELECT run_id, job_id, ts_us AS completed_us, step AS final_step FROM ({_STEPS}) WHERE is_completion
-""", ("job_events", "job_limits"))
+""", ("own_events", "job_limits"))
 def _(t):
-    return jobs.step_completion(t.job_events(), t.job_limits())
+    return jobs.step_completion(t.job_events(), t.job_limits(), t.registrations())
 
 
 # Two moments between which the active set changes (1996-01-01 and 1996-01-05).
@@ -531,6 +545,15 @@ def _(t):
     return jobs.active_set_changes(t.active_at(_BEFORE), t.active_at(_AFTER))
 
 
+@query("active_set_changed", f"""
+SELECT run_id, bool_or(old IS NULL OR new IS NULL) AS changed
+FROM (SELECT *, true AS old FROM ({_ACTIVE_AT.format(_BEFORE)}))
+  FULL JOIN (SELECT *, true AS new FROM ({_ACTIVE_AT.format(_AFTER)})) USING (run_id, job_id)
+GROUP BY run_id""", ("jobs",))
+def _(t):
+    return jobs.active_set_changed(t.active_at(_BEFORE), t.active_at(_AFTER))
+
+
 @query("pending_jobs", """
 SELECT run_id, job_id FROM expected ANTI JOIN (
   SELECT * FROM seen_jobs WHERE status IN ('COMPLETED', 'FAILED')) USING (run_id, job_id)
@@ -775,7 +798,37 @@ def _(t):
 SELECT run_id, request_id, submission_us, processing_start_us, processing_end_us, output, error
 FROM strategy_results""", ("strategy_results",))
 def _(t):
-    return derived.reread_request_details(t)
+    return derived.reread_reports(t).request_details.drop("strategy")
+
+
+@query("read_report_runs", """
+SELECT DISTINCT run_id, run_id AS strategy, '{"model":{"run_id":"' || run_id || '"}}' AS config_used
+FROM strategy_results""", ("strategy_results",))
+def _(t):
+    return derived.reread_reports(t).runs.select("run_id", "strategy", "config_used")
+
+
+@query("read_report_jobs", """
+SELECT o.run_id, o.job_id, o.status, o.start_us, o.end_us, o.current_step AS final_step
+FROM outcome o WHERE o.run_id IN (SELECT run_id FROM strategy_results)""", ("outcome", "strategy_results"))
+def _(t):
+    return derived.reread_reports(t).job_details.select(
+        "run_id", "job_id", "status", "start_us", "end_us", "final_step")
+
+
+@query("scan_adapter_configs", """
+SELECT p_brand || '_' || (p_size % 10) AS adapter_id, CAST(min(p_size) AS BIGINT) AS r,
+  CAST(max(p_size) AS BIGINT) AS lora_alpha, string_agg(DISTINCT p_type, ' ' ORDER BY p_type) AS target_modules,
+  CASE WHEN min(p_size) % 2 = 0 THEN 'SEQ_CLS' ELSE 'CAUSAL_LM' END AS task_type, false AS malformed
+FROM part GROUP BY ALL""")
+def _(t):
+    return derived.scanned_configs(t)
+
+
+@query("list_adapter_files", """
+SELECT DISTINCT p_brand || '_' || (p_size % 10) AS adapter_id, 1 AS files, true AS filled FROM part""")
+def _(t):
+    return derived.listed_files(t)
 
 
 @query("stream_progress", f"""

@@ -10,20 +10,24 @@ from runledger.plans import bindings
 from runledger.plans.bindings import Tables
 from runledger.plans.summary import run_bounds, run_summary
 from runledger.session import scratch_dir
-from runledger.sources.reports import read_run_reports, write_run_reports
+from runledger.sources import adapters
+from runledger.sources.reports import Reports, read_run_reports, write_run_reports
 from runledger.streaming import ingest, job_state, outcomes, progress
 
 
+_TRIGGERS = 3
+
+
 def _write(t: Tables, nested: bool) -> str:
     path = scratch_dir(t.spark)
     results = t.strategy_results()
     outcome = expected_vs_actual_jobs(t.expected(), t.seen_jobs()).withColumn(
         "error_message", F.lit(None).cast("string"))
     runs = run_bounds(results).withColumns({
-        "strategy": F.col("run_id"), "strategy_params": F.create_map(F.lit("k"), F.lit("3"))})
+        "strategy": F.col("run_id"), "strategy_params": F.create_map(F.lit("k"), F.lit("3")),
+        "config_used": F.to_json(F.struct(F.struct("run_id").alias("model")))})
     summary = run_summary(t.expected(), t.seen_jobs(), results)
-    write_run_reports(path, runs, summary, outcome.drop("strategy"), results, nested=nested,
-                      rows_per_document=1000)
+    write_run_reports(path, runs, summary, outcome.drop("strategy"), results, nested=nested)
     return path
 
 
@@ -33,37 +37,61 @@ def written_job_details(t: Tables) -> DataFrame:
         "run_id", "job_id", "status", "start_us", "end_us", "final_step")
 
 
-def reread_request_details(t: Tables) -> DataFrame:
-    reports = read_run_reports(t.spark, _write(t, nested=True), multiline=False)
-    return reports.request_details.drop("strategy")
+def reread_reports(t: Tables) -> Reports:
+    return read_run_reports(t.spark, _write(t, nested=True), multiline=False)
 
 
-def _event_stream(t: Tables) -> DataFrame:
-    events = (
-        t.spark.readStream.schema(t.raw("events").schema)
-        .option("pathGlobFilter", "events.parquet").parquet(t.directory)
-    )
-    return bindings.events_in_micros(events)
+def _store(t: Tables) -> str:
+    """An adapter store with a configuration file for each adapter, made from the parts.
+    Spark escapes some characters of folder names."""
+    path = scratch_dir(t.spark)
+    name = F.concat(F.col("p_brand"), F.lit("_"), F.col("p_size") % 10)
+    size = F.col("p_size").cast("int")
+    configs = t.raw("part").groupBy(name.alias("adapter")).agg(
+        F.min(size).alias("r"), F.max(size).alias("lora_alpha"),
+        F.sort_array(F.collect_set("p_type")).alias("target_modules"))
+    task = F.when(F.col("r") % 2 == 0, "SEQ_CLS")
+    configs.withColumn("task_type", task).repartition("adapter").write.partitionBy("adapter").json(path)
+    return path
 
 
-def _append(stream: DataFrame, t: Tables) -> DataFrame:
-    path = scratch_dir(t.spark)
-    running = (
-        stream.writeStream.outputMode("append").format("parquet")
-        .option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True).start()
+def scanned_configs(t: Tables) -> DataFrame:
+    return adapters.scan_adapter_configs(t.spark, _store(t), "*.json").select(
+        F.url_decode(F.replace("adapter_id", F.lit("adapter="), F.lit(""))).alias("adapter_id"), "r", "lora_alpha",
+        F.array_join("target_modules", " ").alias("target_modules"), "task_type", "malformed")
+
+
+def listed_files(t: Tables) -> DataFrame:
+    files = adapters.list_adapter_files(t.spark, _store(t)).filter(F.col("path").endswith(".json"))
+    folder = F.url_decode(F.url_decode(F.element_at(F.split("path", "/"), -2)))
+    return files.groupBy(F.replace(folder, F.lit("adapter="), F.lit("")).alias("adapter_id")).agg(
+        F.count(F.lit(1)).alias("files"), F.bool_and(F.col("size") > 0).alias("filled"))
+
+
+def _event_stream(t: Tables) -> DataFrame:
+    """The events as a stream of one part of the table per trigger, oldest first."""
+    path, events = scratch_dir(t.spark), t.raw("events")
+    part = F.floor(F.col("event_id") * _TRIGGERS / (events.agg(F.max("event_id")).scalar() + 1))
+    for i in range(_TRIGGERS):  # written one after the other: streams take files by their time
+        events.filter(part == i).coalesce(1).write.parquet(f"{path}/{i}")
+    stream = (
+        t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
     )
-    running.awaitTermination()
-    return t.spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    return bindings.events_in_micros(stream)
 
 
 def streamed_progress(t: Tables) -> DataFrame:
-    return _append(progress.stream_progress(bindings.bind_job_events(_event_stream(t))), t)
+    path = scratch_dir(t.spark)
+    events = bindings.bind_job_events(_event_stream(t))
+    progress.stream_progress(events, path, f"{path}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{path}/rows").drop("epoch")
 
 
 def streamed_job_state(t: Tables) -> DataFrame:
-    transitions = job_state.stream_job_state(bindings.bind_job_events(_event_stream(t)))
-    return job_state.latest_state(_append(transitions, t))
+    path = scratch_dir(t.spark)
+    events = bindings.bind_job_events(_event_stream(t))
+    job_state.stream_job_state(events, path, f"{path}/checkpoint").awaitTermination()
+    return job_state.latest_state(t.spark, path).drop("n_losses")
 
 
 def streamed_outcomes(t: Tables) -> DataFrame:

@@ -19,7 +19,7 @@ def run_bounds(results: DataFrame) -> DataFrame:
 
 def run_summary(
     expected: DataFrame, jobs: DataFrame, results: DataFrame, runs: DataFrame | None = None,
-    approx: bool = False, split: bool | None = None,
+    approx: bool = False,
 ) -> DataFrame:
     """Job counts, makespan, completion times, request outcomes, latencies and
     throughput, one row per run.
@@ -33,7 +33,7 @@ def run_summary(
         F.min("submission_us").alias("run_start_us"),
         F.max("processing_end_us").alias("run_end_us"),
     )
-    request_side = latency_summary(results, approx, extra=(*outcome_counts(), *bounds), split=split)
+    request_side = latency_summary(results, approx, extra=(*outcome_counts(), *bounds))
     if runs is not None:
         request_side = request_side.drop("run_start_us", "run_end_us").join(
             runs.select("run_id", "run_start_us", "run_end_us"), "run_id", "left")

@@ -43,7 +43,7 @@ ADAPTER_FILES = "path string, size bigint"
 # One run report as nested JSON.
 REPORT = (
     "run_id string, run_timestamp string, strategy string, strategy_params map<string,string>, "
-    "total_monitor_time_seconds double, summary_metrics map<string,double>, "
+    "config_used variant, total_monitor_time_seconds double, summary_metrics map<string,double>, "
     "training_job_details map<string,struct<status:string,start_time:double,end_time:double,"
     "duration_seconds:double,final_step:bigint,error:string>>, "
     "inference_request_details array<struct<request_id:string,submission_time:double,"

@@ -14,14 +14,17 @@ from runledger.sources.reports import plain_path
 DEFAULT_TASK = "CAUSAL_LM"
 
 
-def scan_adapter_configs(spark: SparkSession, root: str) -> DataFrame:
-    """One row per adapter configuration below ``root``; ``malformed`` marks bad files."""
+def scan_adapter_configs(spark: SparkSession, root: str, name_glob: str = CONFIG_FILE) -> DataFrame:
+    """One row per adapter configuration below ``root``; ``malformed`` marks bad files.
+
+    The adapter is named by the folder of its file.
+    """
     configs = (
         spark.read.schema(f"{schemas.ADAPTER_CONFIG}, _corrupt_record string")
         .option("multiLine", True)
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", CONFIG_FILE)
+        .option("pathGlobFilter", name_glob)
         .json(root)
     )
     file = plain_path(F.col("_metadata.file_path"))

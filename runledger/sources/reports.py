@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runledger import schemas
 from runledger.functions.timing import elapsed_s, present
-from runledger.operators.skew import spread_join
+from runledger.operators.ordered import null_safe_join
 
 # Metric names of the report, and the run_summary columns they hold.
 REPORT_METRICS = {
@@ -57,7 +57,7 @@ def _seconds(micros: Column) -> Column:
 
 
 def read_run_reports(spark: SparkSession, directory: str, multiline: bool = True) -> Reports:
-    """Read every ``*.json`` report below a directory.
+    """Read every ``*.json`` report below a directory.  ``config_used`` comes as JSON text.
 
     ``multiline``: one document per file; otherwise one per line, as
     ``write_run_reports`` writes them.  Malformed documents are listed in
@@ -78,8 +78,8 @@ def read_run_reports(spark: SparkSession, directory: str, multiline: bool = True
     name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.json$", "")
     good = documents.filter(~bad).withColumn("run_id", F.coalesce("run_id", name))
     runs = good.select(
-        "run_id", "strategy", "strategy_params", "run_timestamp", "total_monitor_time_seconds",
-        "summary_metrics",
+        "run_id", "strategy", "strategy_params", "run_timestamp", F.to_json("config_used").alias("config_used"),
+        "total_monitor_time_seconds", "summary_metrics",
     ).dropDuplicates(["run_id"])
     jobs = good.select("run_id", "strategy", F.explode("training_job_details").alias("job_id", "d")).select(
         "run_id", "strategy", "job_id", "d.status",
@@ -112,28 +112,27 @@ def _job_details(jobs: DataFrame) -> DataFrame:
 
 def write_run_reports(
     path: str, runs: DataFrame, summary: DataFrame, jobs: DataFrame, results: DataFrame,
-    nested: bool = False, rows_per_document: int = 10_000,
+    nested: bool = False,
 ) -> None:
     """Write runs with their summary, job details and request details.
 
-    ``runs``: run_id, strategy, strategy_params, run_start_us, run_end_us.
-    ``jobs``: the rows of expected_vs_actual_jobs.
+    ``runs``: run_id, strategy, strategy_params, run_start_us, run_end_us, and if wanted
+    config_used as JSON text.  ``jobs``: the rows of expected_vs_actual_jobs.
 
-    By default three parquet tables below ``path``, partitioned by strategy.
-    ``nested`` writes JSON documents, one per run; a run with more than
-    ``rows_per_document`` details is spread over several documents with the same
-    header, since a run's details may be too many for one row.
+    By default three parquet tables below ``path``, partitioned by strategy, however
+    large a run is.  ``nested`` writes one JSON document per run instead, which has to
+    fit one row with all its details.
     """
     headers = _headers(runs, summary)
     strategies = runs.select("run_id", "strategy")
     details = _job_details(jobs)
     if nested:
-        _documents(headers, details, results, rows_per_document).write.partitionBy("strategy").json(path)
+        _documents(headers, details, results).write.partitionBy("strategy").json(path)
         return
-    headers.write.partitionBy("strategy").parquet(f"{path}/runs")
-    spread_join(details, strategies, ["run_id"], ["job_id"]).write.partitionBy("strategy").parquet(
+    headers.withColumn("config_used", F.to_json("config_used")).write.partitionBy("strategy").parquet(f"{path}/runs")
+    null_safe_join(details, strategies, ["run_id"]).write.partitionBy("strategy").parquet(
         f"{path}/job_details")
-    spread_join(results, strategies, ["run_id"], ["request_id"]).write.partitionBy("strategy").parquet(
+    null_safe_join(results, strategies, ["run_id"]).write.partitionBy("strategy").parquet(
         f"{path}/request_details")
 
 
@@ -142,39 +141,25 @@ def _headers(runs: DataFrame, summary: DataFrame) -> DataFrame:
     known = F.map_filter(F.map_from_entries(F.array(*pairs)), lambda _, value: value.isNotNull())
     metrics = summary.select("run_id", known.alias("summary_metrics"))
     ended = F.timestamp_micros("run_end_us")
-    return runs.join(metrics, "run_id", "left").select(
+    config = F.col("config_used") if "config_used" in runs.columns else F.lit(None).cast("string")
+    return null_safe_join(runs, metrics, ["run_id"]).select(
         "run_id",
         F.date_format(ended, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("run_timestamp"),
-        "strategy", "strategy_params",
+        "strategy", "strategy_params", F.try_parse_json(config).alias("config_used"),
         elapsed_s(F.col("run_start_us"), F.col("run_end_us")).alias("total_monitor_time_seconds"),
         "summary_metrics",
     )
 
 
-def _documents(headers: DataFrame, jobs: DataFrame, results: DataFrame, limit: int) -> DataFrame:
-    counts = jobs.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).unionByName(
-        results.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")))
-    parts = counts.groupBy("run_id").agg(F.ceil(F.max("n") / limit).cast("int").alias("parts"))
-
-    def placed(df: DataFrame, row_id: str) -> DataFrame:
-        joined = spread_join(df, parts, ["run_id"], [row_id], "inner")
-        return joined.withColumn("part", F.pmod(F.xxhash64(row_id), F.col("parts")).cast("int"))
-
+def _documents(headers: DataFrame, jobs: DataFrame, results: DataFrame) -> DataFrame:
     job_detail = F.struct(
         "status", _seconds(F.col("start_us")).alias("start_time"), _seconds(F.col("end_us")).alias("end_time"),
         "duration_seconds", "final_step", F.col("error_message").alias("error"))
-    job_docs = placed(jobs, "job_id").groupBy("run_id", "part").agg(
+    job_docs = jobs.groupBy("run_id").agg(
         F.map_from_entries(F.collect_list(F.struct("job_id", job_detail))).alias("training_job_details"))
     request_detail = F.struct(
         "request_id", _seconds(F.col("submission_us")).alias("submission_time"),
         _seconds(F.col("processing_start_us")).alias("processing_start_time"),
         _seconds(F.col("processing_end_us")).alias("processing_end_time"), "output", "error")
-    request_docs = placed(results, "request_id").groupBy("run_id", "part").agg(
-        F.collect_list(request_detail).alias("inference_request_details"))
-    whole = headers.join(parts, "run_id", "left").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    return (
-        whole.join(job_docs, ["run_id", "part"], "left")
-        .join(request_docs, ["run_id", "part"], "left")
-        .drop("parts", "part")
-    )
+    request_docs = results.groupBy("run_id").agg(F.collect_list(request_detail).alias("inference_request_details"))
+    return null_safe_join(null_safe_join(headers, job_docs, ["run_id"]), request_docs, ["run_id"])

@@ -2,86 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StreamingQuery
 
-from runledger import schemas
-from runledger.operators.jobs import FINISHED, JOB
-from runledger.streaming.progress import in_order, timeout
+from runledger.operators.jobs import (
+    JOB, STATE, event_state, finished_states, merge_states, registered_events,
+)
+from runledger.operators.ordered import null_safe_join
+from runledger.streaming.tables import drop_epoch, each_trigger, latest, read_epoch, write_epoch
 
 REGISTERED = "JOB_ADDED"
 
-_FIELDS = ("reg_seq", "status", "start_us", "end_us", "current_step", "error_message")
-_STATE = ("reg_seq bigint, status string, start_us bigint, end_us bigint, current_step bigint, "
-          "error_message string")
-_OUT = f"run_id string, job_id string, ts_us bigint, event_seq bigint, {_STATE}"
-
-
-def apply_event(job: dict | None, event) -> dict | None:
-    """The job's state after one event; unchanged (the same object) if it is ignored."""
-    if event.event_type == REGISTERED:
-        return job or {"reg_seq": event.event_seq, "status": schemas.ACTIVE, "start_us": event.ts_us,
-                       "end_us": None, "current_step": 0, "error_message": None}
-    if job is None:
-        return None
-    after = dict(job)
-    if event.status is not None:
-        after["status"] = event.status
-        if event.status in FINISHED:
-            after["end_us"] = event.ts_us
-    if event.step_increment > 0:
-        after["current_step"] += event.step_increment
-    if event.error_message is not None:
-        after["error_message"] = event.error_message
-        after["status"] = schemas.FAILED
-        if after["end_us"] is None:
-            after["end_us"] = event.ts_us
-    return after
-
+_KNOWN = ["reg_seq", "start_us"]
+_STATE = "run_id string, job_id string, reg_seq bigint, start_us bigint, " + ", ".join(f"{c} {t}" for c, t in STATE.items())
 
-def _update(idle_ms: int | None):
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        job = dict(zip(_FIELDS, state.get)) if state.exists else None
-        rows = []
-        ordered = in_order(frames).astype(object)
-        for event in ordered.where(ordered.notna(), None).itertuples(index=False):
-            after = apply_event(job, event)
-            if after is not job:
-                rows.append((*key, event.ts_us, event.event_seq, *after.values()))
-            job = after
-        if job is not None:
-            state.update(tuple(job.values()))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
-        if rows:
-            out = pd.DataFrame(rows, columns=[*JOB, "ts_us", "event_seq", *_FIELDS])
-            yield out.astype({"end_us": "Int64"})
 
-    return update
+def stream_job_state(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write the jobs that each trigger changes to ``path``/rows, with their state after it.
 
-
-def stream_job_state(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """One row per event that counts, with the job's state after it.
-
-    A job begins with its registration event; events of unknown jobs and repeated
-    registrations are ignored.
+    A job begins with its first registration event; events of unknown jobs and repeated
+    registrations are ignored.  A trigger aggregates its own events into partial states,
+    as job_rollup does, and merges them with those of ``path``/state.  ``trigger``: as
+    for DataStreamWriter.trigger.
     """
-    narrow = events.select(
-        *JOB, "ts_us", "event_seq", "event_type",
-        F.coalesce("step_increment", F.lit(0)).alias("step_increment"), "status", "error_message")
-    return narrow.groupBy(*JOB).applyInPandasWithState(
-        _update(idle_ms), _OUT, _STATE, "append", timeout(idle_ms))
-
-
-def latest_state(transitions: DataFrame) -> DataFrame:
-    """Current state of each job from the rows of stream_job_state."""
-    row = F.struct(*_FIELDS)
-    return transitions.groupBy(*JOB).agg(
-        F.max_by(row, F.struct("ts_us", "event_seq")).alias("s")).select(*JOB, "s.*")
+    spark = events.sparkSession
+    state_path = f"{path}/state"
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        kept = read_epoch(spark, state_path, epoch - 1, _STATE)
+        added = batch.filter(F.col("event_type") == REGISTERED).groupBy(*JOB).agg(
+            F.min(F.struct(F.col("event_seq").alias("reg_seq"), F.col("ts_us").alias("start_us"))).alias("r")
+        ).select(*JOB, "r.*")
+        new = null_safe_join(added, kept.select(*JOB, F.lit(True).alias("old")), JOB).filter("old IS NULL").drop("old")
+        known = kept.select(*JOB, *_KNOWN).unionByName(new)
+        fresh = registered_events(known, batch).select(*JOB, *event_state())
+        merged = merge_states(kept.select(*JOB, *STATE).unionByName(fresh))
+        write_epoch(null_safe_join(known, merged, JOB), state_path, epoch)
+        # what was written is what the trigger's rows are made of
+        state = read_epoch(spark, state_path, epoch, _STATE)
+        touched = fresh.select(*JOB).unionByName(new.select(*JOB)).distinct().withColumn("touched", F.lit(True))
+        changed = null_safe_join(state, touched, JOB, "inner")
+        write_epoch(finished_states(changed.select(*JOB, *_KNOWN), changed.select(*JOB, *STATE)), f"{path}/rows", epoch)
+        drop_epoch(spark, state_path, epoch - 2)
+
+    return each_trigger(events, save, checkpoint, **trigger)
+
+
+def latest_state(spark: SparkSession, path: str) -> DataFrame:
+    """Current state of each job from what stream_job_state wrote to ``path``."""
+    return latest(spark, f"{path}/rows", JOB)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from runledger.operators.requests import outcome_counts
+from runledger.streaming.tables import latest, write_epoch
 
 
 def stream_outcomes(results: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def write_outcomes(
     ``trigger``: as for DataStreamWriter.trigger; all available data if not given.
     """
     def save(changed: DataFrame, epoch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        write_epoch(changed, path, epoch)
 
     return (
         outcomes.writeStream.outputMode("update").foreachBatch(save)
@@ -32,6 +32,4 @@ def write_outcomes(
 
 
 def latest_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    saved = spark.read.parquet(path)
-    counts = F.struct("total", "successful", "failed")
-    return saved.groupBy("run_id").agg(F.max_by(counts, F.col("epoch")).alias("c")).select("run_id", "c.*")
+    return latest(spark, path, ["run_id"])

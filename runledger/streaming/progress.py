@@ -2,81 +2,62 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+import time
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from runledger.functions import losses as loss_functions
-from runledger.operators.jobs import JOB
+from runledger.operators.jobs import EVENT_ORDER, JOB
 from runledger.operators.progress import (
-    HISTORY_WINDOW, SLOW_THRESHOLD, STAGNATION_THRESHOLD, history_events,
+    HISTORY_WINDOW, SLOW_THRESHOLD, STAGNATION_THRESHOLD, history_events, newest_changes, rolling_rates,
 )
+from runledger.streaming.tables import drop_epoch, each_trigger, read_epoch, write_epoch
 
-_OUT = "run_id string, job_id string, ts_us bigint, event_seq bigint, losses array<double>"
-_STATE = "losses array<double>"
-
-
-def timeout(idle_ms: int | None) -> str:
-    """Expiry by idle time needs a trigger that keeps running; availableNow never
-    ends with it, so it is off unless asked for."""
-    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-
-
-def in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one job in one trigger, by (ts_us, event_seq).  The size of a
-    trigger, set at the source, bounds them."""
-    return pd.concat(list(frames)).sort_values(["ts_us", "event_seq"])
-
-
-def _track(history_window: int, idle_ms: int | None):
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = deque(state.get[0] if state.exists else [], maxlen=history_window)
-        rows = []
-        for event in in_order(frames).itertuples(index=False):
-            if event.done:
-                recent.clear()
-            else:
-                recent.append(event.loss)
-                rows.append((*key, event.ts_us, event.event_seq, list(recent)))
-        if recent:
-            state.update((list(recent),))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
-        elif state.exists:
-            state.remove()
-        if rows:
-            yield pd.DataFrame(rows, columns=[*JOB, "ts_us", "event_seq", "losses"])
-
-    return update
+_STATE = ("run_id string, job_id string, ts_us bigint, event_seq bigint, done boolean, loss double, "
+          "seen_ms bigint")
 
 
 def stream_progress(
     events: DataFrame,
+    path: str,
+    checkpoint: str,
     history_window: int = HISTORY_WINDOW,
     stagnation_threshold: float = STAGNATION_THRESHOLD,
     slow_threshold: float = SLOW_THRESHOLD,
     idle_ms: int | None = None,
-) -> DataFrame:
-    """One row per usable loss: the job's history size, rate and classes after it.
-
-    The state of a job is its last losses; a completion clears it, a failure does
-    not, and an empty history is not kept.  ``idle_ms`` drops the state of jobs that
-    send nothing for so long.  Within a trigger events are taken in event order,
-    across triggers as they arrive.
+    **trigger,
+) -> StreamingQuery:
+    """Write one row per usable loss to ``path``/rows: the job's history size, rate and
+    classes after it.
+
+    Each trigger rates its events together with the last losses and completions of each
+    job, by the same expressions as a batch, and keeps the last ones again in
+    ``path``/state.  ``idle_ms`` drops the state of jobs that send nothing for so long.
+    An event that arrives late is rated by what is kept.  ``trigger``: as for
+    DataStreamWriter.trigger.
     """
-    histories = history_events(events).groupBy(*JOB).applyInPandasWithState(
-        _track(history_window, idle_ms), _OUT, _STATE, "append", timeout(idle_ms))
-    rated = histories.select(
-        *JOB, "ts_us", "event_seq", F.size("losses").alias("history_size"),
-        loss_functions.mean_decrease(F.col("losses")).alias("rate"))
-    return rated.withColumns({
-        "forward_class": loss_functions.forward_class(F.col("rate"), stagnation_threshold),
-        "reverse_class": loss_functions.reverse_class(F.col("rate"), slow_threshold),
-    })
+    spark = events.sparkSession
+    state_path = f"{path}/state"
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        now = int(time.time() * 1000)
+        kept = read_epoch(spark, state_path, epoch - 1, _STATE)
+        if idle_ms is not None:
+            kept = kept.filter(F.col("seen_ms") >= now - idle_ms)
+        fresh = history_events(batch).withColumn("seen_ms", F.lit(now))
+        both = kept.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True)))
+        rated = rolling_rates(both, history_window).filter("fresh").select(
+            *JOB, *EVENT_ORDER, "history_size", "rate")
+        write_epoch(rated.withColumns({
+            "forward_class": loss_functions.forward_class(F.col("rate"), stagnation_threshold),
+            "reverse_class": loss_functions.reverse_class(F.col("rate"), slow_threshold),
+        }), f"{path}/rows", epoch)
+        # as many rows for a job as the window has, so that a hot job is no large group here
+        newest = newest_changes(both.drop("fresh"), history_window)
+        seen = F.max("seen_ms").over(Window.partitionBy(*JOB))
+        write_epoch(newest.withColumn("seen_ms", seen), state_path, epoch)
+        drop_epoch(spark, state_path, epoch - 2)
+
+    return each_trigger(events, save, checkpoint, **trigger)

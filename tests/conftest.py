@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from runledger.operators.ordered import GROUP_ROWS_CONF  # noqa: E402
+from runledger.operators import ordered  # noqa: E402
 from runledger.session import local_session  # noqa: E402
 
 
@@ -18,13 +18,14 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture
-def small_groups(spark):
-    """Lower the group row limit, so that the plans for large groups run."""
+def small_groups(monkeypatch):
+    """Make chunks of so many microseconds or rows, so that small groups span several."""
     def limit(rows: int) -> None:
-        spark.conf.set(GROUP_ROWS_CONF, str(rows))
+        monkeypatch.setattr(ordered, "CHUNK_SECONDS", rows / 1e6)
+        monkeypatch.setattr(ordered, "CHUNK_ROWS", rows)
+        monkeypatch.setattr(ordered, "BLOCK_ROWS", rows)
 
-    yield limit
-    spark.conf.unset(GROUP_ROWS_CONF)
+    return limit
 
 
 def rows(df):

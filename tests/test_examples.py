@@ -46,6 +46,12 @@ def test_upsample(samples, small_groups, monkeypatch, limit, n):
         ((j, i, i % count) for j, count in (("a", 6), ("b", 2)) for i in range(n)), key=repr)
 
 
+def test_upsample_renumbers_samples_with_gaps(spark):
+    samples = spark.createDataFrame([("a", 5, "x"), ("a", 9, "y")], "job_id string, sample_idx bigint, text string")
+    out = examples.upsample_cyclic(samples, 4).select("position", "sample_idx", "text")
+    assert rows(out) == [(0, 0, "x"), (1, 1, "y"), (2, 0, "x"), (3, 1, "y")]
+
+
 @pytest.mark.parametrize("limit", [3, 10_000])
 def test_shuffle(samples, small_groups, limit):
     small_groups(limit)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from conftest import rows
 from runledger import schemas
 from runledger.operators import comparison, jobs, submissions
-from runledger.streaming.job_state import apply_event
 
 JOBS = schemas.JOBS
 EVENTS = schemas.JOB_EVENTS
@@ -74,6 +73,9 @@ def test_strategy_comparison_fills_zero(spark):
                          ("Inf Throughput (req/s)", 3.0, 0.0), ("Makespan (s)", 1.5, 0.0)]
 
 
+REGISTERED = "run_id string, job_id string, reg_seq bigint, start_us bigint"
+
+
 def random_log(seed, n=300):
     rng = random.Random(seed)
     log = []
@@ -99,10 +101,18 @@ def test_rollup_equals_event_by_event(spark, small_groups, limit):
     names = [f.name for f in events.schema.fields]
     Row = __import__("collections").namedtuple("Row", names)
     states = {}
-    for event in sorted((Row(*r) for r in log), key=lambda e: (e.ts_us, e.event_seq)):
-        after = apply_event(states.get(event.job_id), event)
-        if after is not None:
-            states[event.job_id] = after
+    for job in {r[1] for r in log}:
+        own = sorted((Row(*r) for r in log if r[1] == job), key=lambda e: (e.ts_us, e.event_seq))
+        begin = next((i for i, e in enumerate(own) if e.event_type == "JOB_ADDED"), None)
+        if begin is None:
+            continue
+        later = own[begin + 1:]
+        said = ["FAILED" if e.error_message else e.status for e in later if e.error_message or e.status]
+        ends = [e.ts_us for e in later if e.status in ("COMPLETED", "FAILED")] or [e.ts_us for e in later if e.error_message][:1]
+        states[job] = {
+            "reg_seq": own[begin].event_seq, "status": (["ACTIVE"] + said)[-1], "start_us": own[begin].ts_us,
+            "end_us": ([None] + ends)[-1], "current_step": sum(e.step_increment for e in later),
+            "error_message": ([None] + [e.error_message for e in later if e.error_message])[-1]}
     got = jobs.job_rollup(registrations, events).select(
         "job_id", "reg_seq", "status", "start_us", "end_us", "current_step", "error_message")
     assert rows(got) == sorted(((j, *s.values()) for j, s in states.items()), key=repr)
@@ -117,13 +127,14 @@ def test_step_progress(spark, small_groups, limit):
     limits = spark.createDataFrame(
         [("r", "a", 5, 5, 2), ("r", "b", 5, 4, 2), ("r", "zero", 0, 4, 2), ("r", "free", None, 0, 1)],
         "run_id string, job_id string, max_steps int, n_samples int, batch_size int")
-    out = jobs.step_progress(events, limits).select("job_id", "step", "epoch", "is_completion", "is_surplus")
+    known = spark.createDataFrame([("r", j, -1, -1) for j in ("a", "b", "zero", "free")], REGISTERED)
+    out = jobs.step_progress(events, limits, known).select("job_id", "step", "epoch", "is_completion", "is_surplus")
     assert rows(out) == sorted([
         *[("a", s, (s - 1) // 3, s == 5, s > 5) for s in range(1, 8)],
         ("b", 1, 0, False, False), ("b", 2, 0, False, False),
         ("zero", 1, 0, True, False), ("zero", 2, 0, False, True),
         *[("free", s, None, False, False) for s in (1, 2, 3)]], key=repr)
-    assert rows(jobs.step_completion(events, limits).select("job_id", "completed_us", "final_step")) == [
+    assert rows(jobs.step_completion(events, limits, known).select("job_id", "completed_us", "final_step")) == [
         ("a", 4, 5), ("zero", 0, 1)]
 
 
@@ -133,12 +144,35 @@ def test_loss_history_is_whole(spark, small_groups, limit):
     events = spark.createDataFrame(
         [("r", "a", i, "STEP_COMPLETED", 100 - i, 1, str(i / 10), None, None) for i in range(25)]
         + [("r", "b", 0, "STEP_COMPLETED", 0, 1, "bad", None, None)], EVENTS)
-    out = jobs.loss_history(events, block=10).orderBy("block").collect()
+    known = spark.createDataFrame([("r", "a", -1, -1), ("r", "b", -1, -1)], REGISTERED)
+    out = jobs.loss_history(events, known, block=10).orderBy("block").collect()
     assert [r["block"] for r in out] == [0, 1, 2]
     assert [x for r in out for x in r["losses"]] == [i / 10 for i in reversed(range(25))]
     assert out[-1]["last_loss"] == 0.0 and out[-1]["losses_so_far"] == 25
 
 
+def test_steps_and_losses_follow_the_registration_rule(spark):
+    log = [r for r in random_log(5) if r[1] != "c"] + [("r", "c", 900, "STEP_COMPLETED", 1, 1, "0.1", None, None)]
+    events = spark.createDataFrame(log, EVENTS)
+    known = events.filter("event_type = 'JOB_ADDED' AND job_id <> 'c'").groupBy("run_id", "job_id").agg(
+        F.min(F.struct("ts_us", "event_seq")).alias("at")).select(
+        "run_id", "job_id", F.col("at.event_seq").alias("reg_seq"), F.col("at.ts_us").alias("start_us"))
+    state = jobs.job_rollup(known, events)
+    limits = events.select("run_id", "job_id", F.lit(5).alias("max_steps"), F.lit(3).alias("n_samples"),
+                           F.lit(1).alias("batch_size")).distinct()
+    steps = jobs.step_progress(events, limits, known).groupBy("job_id").agg(F.max("step"))
+    assert rows(steps) == rows(state.filter("current_step > 0").select("job_id", "current_step"))
+    losses = jobs.loss_history(events, known).groupBy("job_id").agg(F.max("losses_so_far"))
+    assert rows(losses) == rows(state.filter("n_losses > 0").select("job_id", "n_losses"))
+
+
+def test_null_run_obeys_the_quota_and_has_steps(spark):
+    data = [(run, i, i % 4, 0) for run in ("a", None) for i in range(10)]
+    df = spark.createDataFrame(data, "run_id string, seq int, submitted_us int, hour int")
+    out = submissions.admission_cap(df, "hour", 3).filter("admission = 'accepted'")
+    assert rows(out.groupBy("run_id").count()) == [("a", 3), (None, 3)]
+
+
 def test_active_set_changes(spark):
     old = spark.createDataFrame([("r", "a"), ("r", "b"), ("same", "q")], "run_id string, job_id string")
     new = spark.createDataFrame([("r", "b"), ("r", "c"), ("same", "q")], "run_id string, job_id string")

@@ -39,6 +39,7 @@ def test_reports_one_file_malformed(spark, tmp_path):
     read = reports.read_run_reports(spark, str(tmp_path))
     assert rows(read.runs.select("run_id", "strategy", "total_monitor_time_seconds")) == [
         ("eval_LeastProgressFirst_1", "LeastProgressFirst", 40.5), ("eval_RoundRobin_1", "RoundRobin", 40.5)]
+    assert {r.config_used for r in read.runs.collect()} == {'{"model":{"name":"m"}}'}
     details = read.job_details.filter("strategy = 'RoundRobin'").select(
         "job_id", "status", "start_us", "end_us", "duration_seconds", "final_step")
     assert rows(details) == [
@@ -67,20 +68,18 @@ def run(spark):
     return runs, run_summary(expected, jobs, results, runs), expected_vs_actual_jobs(expected, jobs), results
 
 
-@pytest.mark.parametrize("rows_per_document", [7, 1000])
-def test_nested_reports_come_back_whole(spark, tmp_path, run, rows_per_document):
+def test_nested_reports_come_back_whole(spark, tmp_path, run):
     runs, summary, outcome, results = run
     path = str(tmp_path / "out")
-    reports.write_run_reports(path, runs, summary, outcome, results, nested=True,
-                              rows_per_document=rows_per_document)
-    documents = spark.read.schema(schemas.REPORT).json(path)
-    assert documents.count() == (1 + 1 + 1 if rows_per_document == 1000 else 5 + 5 + 1)
+    config = '{"model":{"name":"m","sizes":[1,2]}}'
+    reports.write_run_reports(path, runs.withColumn("config_used", F.lit(config)), summary, outcome, results, nested=True)
+    assert spark.read.schema(schemas.REPORT).json(path).count() == 3
     read = reports.read_run_reports(spark, path, multiline=False)
     assert rows(read.request_details.drop("strategy")) == rows(results)
     assert rows(read.job_details.select("run_id", "job_id", "status", "start_us", "end_us", "final_step")) == rows(
         outcome.select("run_id", "job_id", "status", "start_us", "end_us", "current_step"))
-    assert rows(read.runs.select("run_id", "strategy")) == [
-        ("r1", "RoundRobin"), ("r2", "Least Progress"), ("r3", "RoundRobin")]
+    assert rows(read.runs.select("run_id", "strategy", "config_used")) == [
+        ("r1", "RoundRobin", config), ("r2", "Least Progress", config), ("r3", "RoundRobin", config)]
     back = reports.summary_columns(read.runs).select("run_id", "completed_jobs", "throughput", "e2e_p95_ms")
     want = summary.select("run_id", F.col("completed_jobs").cast("double"), "throughput", "e2e_p95_ms")
     assert [r for r in rows(back) if r[0] != "r3"] == rows(want)
