@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +97,85 @@ def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(_table(spark, sf_dir, "documents"))
 
 
+def _license_sql(least: float = 0.7) -> str:
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    given = ", ".join(f"({i}, {text(name)}, {text(body)})" for i, (name, body) in enumerate(license_tfidf.TEMPLATES))
+    stop = "[" + ", ".join(map(text, license_tfidf.STOP_WORDS)) + "]"
+    words = f"list_distinct(regexp_extract_all(lower({{0}}), '{license_tfidf.WORDS}'))"
+    found = {w for _, body in license_tfidf.TEMPLATES for w in re.findall(license_tfidf.WORDS, body.lower())}
+    known_words = "[" + ", ".join(map(text, sorted(found - set(license_tfidf.STOP_WORDS)))) + "]"
+    known = f"list_filter(words, lambda x: list_contains({known_words}, x))"
+    others = f"len(list_filter(words, lambda x: NOT list_contains({known_words}, x) AND NOT list_contains({stop}, x)))"
+    return f"""
+WITH given(template, license, body) AS (VALUES {given}),
+terms AS (
+  SELECT template, license, term FROM (SELECT template, license, unnest({words.format('body')}) AS term FROM given)
+  WHERE NOT list_contains({stop}, term)
+), vocabulary AS (SELECT DISTINCT term FROM terms),
+files AS (
+  SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, coalesce(text, '') AS body FROM documents
+), wholes AS (
+  SELECT path, {known} AS terms, {others} AS others FROM (SELECT path, {words.format('body')} AS words FROM files)
+), lines AS (
+  SELECT * FROM (
+    SELECT path, line, {known} AS terms, {others} AS others FROM (
+      SELECT path, line, {words.format('body')} AS words FROM (
+        SELECT path, unnest(string_split(body, chr(10))) AS body, generate_subscripts(string_split(body, chr(10)), 1) AS line
+        FROM files)))
+  WHERE len(terms) > 0
+), blocks AS (
+  SELECT *, sum(CASE WHEN line = before + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY line) AS block
+  FROM (SELECT *, lag(line) OVER (PARTITION BY path ORDER BY line) AS before FROM lines)
+), units AS (
+  SELECT path, 'line' AS kind, line AS unit, terms, others FROM lines
+  UNION ALL
+  SELECT path, 'block', block, list_distinct(flatten(list(terms))), sum(others) FROM blocks GROUP BY path, block HAVING count(*) > 1
+  UNION ALL
+  SELECT path, 'whole', 0, terms, others FROM wholes WHERE len(terms) > 0
+), df AS (
+  SELECT term, count(*) AS n FROM (SELECT unnest(terms) AS term FROM wholes) GROUP BY term
+), idf AS (
+  SELECT term, ln(((SELECT count(*) FROM files) + 1) / (coalesce(n, 0) + 1)) + 1 AS idf FROM vocabulary LEFT JOIN df USING (term)
+), rare AS (SELECT ln(CAST((SELECT count(*) FROM files) + 1 AS DOUBLE)) + 1 AS idf),
+weighed AS (
+  SELECT path, kind, unit, others, term, idf FROM (SELECT path, kind, unit, others, unnest(terms) AS term FROM units) JOIN idf USING (term)
+), squares AS (
+  SELECT path, kind, unit, sum(idf * idf) + max(others) * (SELECT idf * idf FROM rare) AS square FROM weighed GROUP BY ALL
+), norms AS (
+  SELECT template, license, sum(idf * idf) AS square FROM terms JOIN idf USING (term) GROUP BY ALL
+), close AS (
+  SELECT d.path, d.kind, n.license, round(d.dot / sqrt(s.square * n.square), 6) AS cosine
+  FROM (SELECT path, kind, unit, template, sum(idf * idf) AS dot FROM weighed JOIN terms USING (term) GROUP BY ALL) d
+  JOIN squares s USING (path, kind, unit) JOIN norms n USING (template)
+), best AS (
+  SELECT path, kind = 'whole' AS whole, license, cosine,
+    row_number() OVER (PARTITION BY path, kind = 'whole' ORDER BY cosine DESC, license) AS place
+  FROM close WHERE cosine >= {least}
+), own AS (
+  SELECT f.doc_id, f.path, regexp_replace(f.path, '(^|/)[^/]*$', '') AS folder, coalesce(w.license, h.license) AS license,
+    coalesce(w.cosine, h.cosine) AS cosine,
+    CASE WHEN w.license IS NOT NULL OR (h.license IS NOT NULL AND regexp_matches(f.path, '(?i)(^|/)(LICEN[SC]E|COPYING)(\\.[a-z]+)?$'))
+      THEN 'file' WHEN h.license IS NOT NULL THEN 'header' END AS origin
+  FROM files f LEFT JOIN (SELECT * FROM best WHERE whole AND place = 1) w ON f.path = w.path
+  LEFT JOIN (SELECT * FROM best WHERE NOT whole AND place = 1) h ON f.path = h.path
+), covers AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, path) AS place FROM own WHERE origin = 'file')
+  WHERE place = 1
+), nearest AS (
+  SELECT o.path, arg_max(c.path, length(c.folder)) AS from_path, arg_max(c.license, length(c.folder)) AS license,
+    arg_max(c.cosine, length(c.folder)) AS cosine
+  FROM own o JOIN covers c ON o.origin IS NULL AND (c.folder = '' OR o.folder = c.folder OR starts_with(o.folder, c.folder || '/'))
+  GROUP BY o.path
+)
+SELECT o.doc_id, o.path, coalesce(o.license, n.license) AS license, coalesce(o.cosine, n.cosine) AS cosine,
+  CASE WHEN o.origin IS NULL AND n.path IS NOT NULL THEN 'inherited' ELSE o.origin END AS origin,
+  CASE WHEN o.origin IS NOT NULL THEN o.path ELSE n.from_path END AS license_path
+FROM own o LEFT JOIN nearest n ON o.path = n.path
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_va_file_top_k, op2_simhash_vp_tree, op3_line_winnowing, op4_hierarchical_budgets, op5_bpe_tree_join,
     op6_compression_bands, op7_secret_ledger, op8_license_tfidf, op9_pii_spans, op10_string_kernel_language,
@@ -201,4 +282,5 @@ c AS (
 SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN before < rest THEN 1 ELSE 0 END AS BIGINT) AS copies
 FROM placed WHERE whole + CASE WHEN before < rest THEN 1 ELSE 0 END > 0
 """,
+    "op8_license_tfidf": _license_sql(),
 }
