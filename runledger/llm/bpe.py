@@ -29,6 +29,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runledger.llm.batches import map_rows, once
+
 # The byte-level word pattern and the printable stand-ins of bytes.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -193,14 +195,8 @@ class Tokenizer:
 
 def _worker(spec: str):
     """A tokenizer made once in a Python worker for each file."""
-    made: dict = {}
-
-    def get() -> Tokenizer:
-        if "it" not in made:
-            made["it"] = Tokenizer(spec)
-        return made["it"]
-
-    return get
+    key = "bpe " + hashlib.sha256(spec.encode()).hexdigest()
+    return lambda: once(key, lambda: Tokenizer(spec))
 
 
 _WANTED = {"n_tokens": "bigint", "ids": "array<int>", "ids_sha256": "string", "decoded": "string",
@@ -237,24 +233,16 @@ def encode_documents(
             }[w]())
         return out
 
-    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at:at + 500]
-                made = [[i, *row(get().encode(text or ""))] for i, text in zip(part["doc_id"], part["text"])]
-                yield pd.DataFrame(made, columns=["doc_id", *wanted]).astype({"doc_id": "Int64"})
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, text in zip(batch["key"], batch["text"]):
-                yield pd.DataFrame([(key, *c) for c in get().cuts(text, max(1, split_chars // 2))],
-                                   columns=["key", "segment", "part", "special", "text"])
-
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [get().part(t) for t in batch["text"]]
-            yield batch.assign(starts=[p.starts.tobytes() for p in parts], first=[p.first.tobytes() for p in parts],
-                               ids=[p.ids.tobytes() for p in parts])
+    def short(ids: list, texts: list) -> list:
+        return [ids, *zip(*[row(get().encode(text or "")) for text in texts])]
+
+    def cut(keys: list, texts: list) -> list:
+        return list(zip(*[(key, *c) for key, text in zip(keys, texts) for c in get().cuts(text, max(1, split_chars // 2))]))
+
+    def code(keys: list, segments: list, places: list, specials: list, texts: list) -> list:
+        parts = [get().part(t) for t in texts]
+        return [keys, segments, places, specials, texts, [p.starts.tobytes() for p in parts],
+                [p.first.tobytes() for p in parts], [p.ids.tobytes() for p in parts]]
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         ids: list[int] = []
@@ -270,9 +258,9 @@ def encode_documents(
     plain = docs.select(F.col("doc_id").cast("bigint"), "text")
     columns = ", ".join(f"{w} {_WANTED[w]}" for w in wanted)
     is_long = F.coalesce(F.length("text"), F.lit(0)) > split_chars
-    few = plain.filter(~is_long).mapInPandas(short, f"doc_id bigint, {columns}")
+    few = map_rows(plain.filter(~is_long), short, f"doc_id bigint, {columns}", 128)
     keyed = plain.filter(is_long).select("doc_id", F.sha2("text", 256).alias("key"), "text")
-    parts = keyed.select("key", "text").dropDuplicates(["key"]).mapInPandas(cut, _PARTS)
-    coded = parts.repartition("key", "segment", "part").mapInPandas(code, _CODED)
+    parts = map_rows(keyed.select("key", "text").dropDuplicates(["key"]), cut, _PARTS, 1)
+    coded = map_rows(parts.repartition("key", "segment", "part"), code, _CODED, 8)
     joined = coded.groupBy("key").applyInPandas(join, f"key string, {columns}")
     return few.unionByName(keyed.select("doc_id", "key").join(joined, "key").drop("key"))

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runledger.llm.batches import map_rows, map_text
 from runledger.session import write_scratch
 
 BUCKETS = 1 << 16
@@ -61,7 +62,7 @@ class Model(NamedTuple):
     labels: list[str]
     weights: np.ndarray
 
-    def outputs(self, texts: list[np.ndarray], batch: int = 64) -> np.ndarray:
+    def outputs(self, texts: list[np.ndarray], batch: int = 32) -> np.ndarray:
         out = np.zeros((len(texts), len(self.labels)))
         for at in range(0, len(texts), batch):
             part = texts[at:at + batch]
@@ -75,11 +76,9 @@ class Model(NamedTuple):
 
 def _kernel(texts: list[np.ndarray], landmarks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Kernel values of texts with landmarks (buckets x landmarks, 0 or 1)."""
-    present = np.zeros((len(texts), BUCKETS), np.float32)
-    for row, grams in zip(present, texts):
-        row[grams] = 1
+    shared = np.array([landmarks[g].sum(0, dtype=np.int64) for g in texts], np.float64).reshape(len(texts), len(sizes))
     own = np.sqrt([max(1, len(g)) for g in texts])
-    return (present @ landmarks).astype(np.float64) / own[:, None] / np.sqrt(sizes)[None, :]
+    return shared / own[:, None] / np.sqrt(sizes)[None, :]
 
 
 def train(
@@ -113,14 +112,13 @@ def train(
         F.lit(r.label), F.lit(min(_STEP, int(_STEP * (per_label + 3 * per_label ** 0.5) / r.n) + 1)))])
     chosen = hashed.filter(F.pmod(F.col("hash"), F.lit(_STEP)) < bar[F.col("label")])
 
-    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def grams(names: list, hashes: list, texts: list) -> list:
         get = Grams()
-        for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "hash": batch["hash"],
-                                "grams": [get(t).tobytes() for t in batch["text"]]})
+        return [names, hashes, [get(t).tobytes() for t in texts]]
 
-    sample = write_scratch(chosen.dropDuplicates(["label", "hash"])
-                           .mapInPandas(grams, "label string, hash bigint, grams binary"))
+    sample = write_scratch(map_rows(
+        chosen.dropDuplicates(["label", "hash"]).select("label", "hash", "text"), grams,
+        "label string, hash bigint, grams binary"))
     spark = sample.sparkSession
     picked: dict[str, list[int]] = {}
     for r in sample.select("label", "hash").orderBy("label", "hash").collect():  # most_labels * per_label at most
@@ -129,7 +127,7 @@ def train(
     wanted_df = spark.createDataFrame(sorted(wanted), "label string, hash bigint")
     marks = [np.frombuffer(r.grams, np.int32)
              for r in sample.join(wanted_df, ["label", "hash"]).orderBy("label", "hash").collect()]
-    table = np.zeros((BUCKETS, len(marks)), np.float32)
+    table = np.zeros((BUCKETS, len(marks)), np.uint8)
     for i, g in enumerate(marks):
         table[g, i] = 1
     sizes = np.array([max(1, len(g)) for g in marks], np.float64)
@@ -155,7 +153,8 @@ def train(
     right = sum(np.frombuffer(r.b).reshape(m, c) for r in sums)
     among = _kernel(marks, table, sizes)
     beta = np.linalg.solve(left + ridge * among + 1e-6 * len(marks) * np.eye(m), right)
-    return Model(labels, (table / np.sqrt(sizes)[None, :].astype(np.float32) @ beta).astype(np.float32))
+    scaled = (beta / np.sqrt(sizes)[:, None]).astype(np.float32)
+    return Model(labels, np.concatenate([part.astype(np.float32) @ scaled for part in np.array_split(table, 64)]))
 
 
 def classify(model: Model, texts: DataFrame, column: Column) -> Column:
@@ -166,21 +165,16 @@ def classify(model: Model, texts: DataFrame, column: Column) -> Column:
     """
     shared = texts.sparkSession.sparkContext.broadcast(model)  # 64 kB x 4 for each label
 
-    @F.pandas_udf("lang string, score double")
-    def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def best(batch: list) -> list:
         get, known = Grams(), shared.value
-        for batch in batches:
-            lang, score = [UNKNOWN] * len(batch), np.zeros(len(batch))
-            asked = [i for i, t in enumerate(batch) if has_letter(t)] if known.labels else []
-            for at in range(0, len(asked), 256):
-                part = asked[at:at + 256]
-                out = known.outputs([get(batch.iloc[i]) for i in part])
-                for i, row in zip(part, out):
-                    j = int(row.argmax())
-                    lang[i], score[i] = known.labels[j], min(1.0, max(0.0, (float(row[j]) + 1) / 2))
-            yield pd.DataFrame({"lang": lang, "score": score})
-
-    return best(column)
+        lang, score = [UNKNOWN] * len(batch), [0.0] * len(batch)
+        asked = [i for i, t in enumerate(batch) if has_letter(t)] if known.labels else []
+        for i, row in zip(asked, known.outputs([get(batch[i]) for i in asked])):
+            j = int(row.argmax())
+            lang[i], score[i] = known.labels[j], min(1.0, max(0.0, (float(row[j]) + 1) / 2))
+        return [lang, score]
+
+    return map_text(best, "lang string, score double", column)
 
 
 def held_out(doc_id: Column) -> Column:
