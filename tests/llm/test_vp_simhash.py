@@ -6,7 +6,7 @@ import xxhash
 
 from runledger.llm.components import connected_components
 from runledger.llm.vp_simhash import (
-    _forest, drop_near_duplicates, similar_links, simhash_components, text_fingerprint,
+    WIDE, _forest, drop_near_duplicates, similar_links, simhash_components, text_fingerprint, wide_fingerprint,
 )
 
 M = 2 ** 64 - 1
@@ -69,16 +69,16 @@ def test_fingerprint_is_defined_bit_by_bit():
 
 def test_forest_connects_what_all_links_connect():
     points = some_points(300)
-    links = _forest(np.array(points, np.int64).view(np.uint64), 3, chunk=64)
-    assert joined(points, [(signed(a), signed(b)) for a, b in links]) == components(points)
+    links = _forest(np.array(points, np.int64).view(np.uint64)[:, None], 3, leaf=50, cells=4000)
+    assert joined(points, [(points[a], points[b]) for a, b in links]) == components(points)
     assert len(links) == len(points) - len(components(points))
 
 
 @pytest.mark.parametrize("blocks", [64, 16_384])
 def test_shards_lose_no_link(spark, blocks):
     points = some_points(400)
-    df = spark.createDataFrame([(p,) for p in points], "fp bigint")
-    links = similar_links(df, shard_rows=40, levels=3, block_rows=blocks).collect()
+    df = spark.createDataFrame([(0, p, p) for p in points], "shard bigint, node bigint, fp bigint")
+    links = similar_links(df, ["fp"], shard_rows=40, levels=3, block_rows=blocks).collect()
     assert joined(points, [(x.a, x.b) for x in links]) == components(points)
 
 
@@ -90,6 +90,33 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
+def test_near_copies_of_five_word_shingles(spark, documents):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(800)]
+    rows, kept = [], set()
+    for i in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 400))]
+        rows.append((10 * i, " ".join(words)))
+        kept.add(10 * i)
+        if i % 3 == 0:
+            for j in (1, 2):  # a twentieth of the shingles changes with each hundred words: similarity about 0.9
+                other = list(words)
+                for at in range(50, len(words), 100):
+                    other[at] = f"new{i}{j}"
+                rows.append((10 * i + j, " ".join(other)))
+        if i % 3 == 1:  # half a copy is none
+            rows.append((10 * i + 5, " ".join(words[:len(words) // 2] + [rng.choice(vocabulary) for _ in words[::2]])))
+            kept.add(10 * i + 5)
+    assert {r.doc_id for r in drop_near_duplicates(documents(*rows, w0="x", node="y")).collect()} == kept
+
+
+def test_wide_fingerprints():
+    one, n = wide_fingerprint("a b c d e f g")
+    assert n == 3 and len(one) == WIDE and wide_fingerprint("A b  c D e\nf g") == (one, 3)
+    assert wide_fingerprint(None) == wide_fingerprint(" ") == ([0] * WIDE, 0)
+    assert wide_fingerprint("x " * 300_000)[1] == 1
+
+
 def test_edge_rows(spark, documents):
     df = documents((5, "a b c d"), (3, "A b  C d"), (9, None), (4, ""), (8, " "), (None, "z"), (None, "a b c d"),
                    (5, "a b c d"), (6, "word " * 200_000), fp="x", group="y")
