@@ -14,19 +14,16 @@ from runledger.llm import bpe, langid, line_winnow, vp_simhash
 from runledger.llm.entry import mix_documents
 from runledger.session import scratch_dir
 
-#: Texts whose best language scores less are rejected; a text of that language lies far above.
-LEAST_SCORE = 0.2
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach.
 
-    Texts that are null or without a letter go, and those whose best score is under
-    ``LEAST_SCORE``.  A missing language is filled in; a given one stays.
+    Texts that are null or without a letter go, and those with too few of the n-grams that
+    the texts of their best language hold.  A missing language is filled in; a given one stays.
     """
     found = docs.select(F.struct(*docs.columns).alias("row"), langid.classify(
         langid.train(docs), docs, F.col("text")).alias("found"))
-    kept = found.filter((F.col("found.lang") != langid.UNKNOWN) & (F.col("found.score") >= LEAST_SCORE))
+    kept = found.filter((F.col("found.lang") != langid.UNKNOWN) & F.col("found.taught"))
     return kept.select(*[
         F.coalesce(f"row.{c}", "found.lang").alias(c) if c == "lang" else F.col(f"row.{c}") for c in docs.columns])
 

@@ -58,9 +58,17 @@ class Grams:
 
 class Model(NamedTuple):
     """``weights`` (buckets x labels): a text's outputs are the sums over its n-grams,
-    divided by the root of their number."""
+    divided by the root of their number.  ``known`` (labels x buckets / 8, bits): the
+    n-grams of each label's texts; ``bars``: the share of them that a text needs."""
     labels: list[str]
     weights: np.ndarray
+    known: np.ndarray
+    bars: np.ndarray
+
+    def shares(self, label: int, texts: list[np.ndarray]) -> list[float]:
+        """The share of each text's n-grams that the label's texts hold."""
+        known = np.unpackbits(self.known[label]).view(bool)
+        return [float(known[g].mean()) if len(g) else 0.0 for g in texts]
 
     def outputs(self, texts: list[np.ndarray], batch: int = 32) -> np.ndarray:
         out = np.zeros((len(texts), len(self.labels)))
@@ -81,6 +89,22 @@ def _kernel(texts: list[np.ndarray], landmarks: np.ndarray, sizes: np.ndarray) -
     return shared / own[:, None] / np.sqrt(sizes)[None, :]
 
 
+def _bars(known: np.ndarray, least: np.ndarray, marks: list[np.ndarray], owner: np.ndarray) -> np.ndarray:
+    """For each label the share halfway between its own texts and those of other labels.
+
+    ``least`` is what nearly all of the label's texts reach, each held out from the
+    n-grams it is measured with.  The other end is the median of the other labels, each
+    with the median of its landmarks; for a single label the share that chance gives.
+    """
+    bars = np.zeros(len(known))
+    for i, bits in enumerate(known):
+        own = np.unpackbits(bits).view(bool)
+        shares = np.array([own[g].mean() if len(g) else 0.0 for g in marks])
+        others = [np.median(shares[owner == j]) for j in range(len(known)) if j != i and (owner == j).any()]
+        bars[i] = least[i] - max(0.0, least[i] - max(own.mean(), np.median(others) if others else 0.0)) / 2
+    return bars
+
+
 def train(
     labelled: DataFrame,
     label: str = "lang",
@@ -106,7 +130,7 @@ def train(
     )
     labels = sorted(r.label for r in counts)
     if not labels:
-        return Model([], np.zeros((BUCKETS, 0), np.float32))
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, BUCKETS // 8), np.uint8), np.zeros(0))
     # a few standard deviations more than needed, so that small labels give all they have
     bar = F.create_map(*[x for r in counts for x in (
         F.lit(r.label), F.lit(min(_STEP, int(_STEP * (per_label + 3 * per_label ** 0.5) / r.n) + 1)))])
@@ -125,8 +149,8 @@ def train(
         picked.setdefault(r.label, []).append(r.hash)
     wanted = {(name, h) for name, hashes in picked.items() for h in hashes[:landmarks_per_label]}
     wanted_df = spark.createDataFrame(sorted(wanted), "label string, hash bigint")
-    marks = [np.frombuffer(r.grams, np.int32)
-             for r in sample.join(wanted_df, ["label", "hash"]).orderBy("label", "hash").collect()]
+    landmarks = sample.join(wanted_df, ["label", "hash"]).orderBy("label", "hash").collect()
+    marks = [np.frombuffer(r.grams, np.int32) for r in landmarks]
     table = np.zeros((BUCKETS, len(marks)), np.uint8)
     for i, g in enumerate(marks):
         table[g, i] = 1
@@ -146,6 +170,17 @@ def train(
                 right += k.T @ y
         yield pd.DataFrame({"a": [left.tobytes()], "b": [right.tobytes()]})
 
+    def vocabulary(texts: pd.DataFrame) -> pd.DataFrame:
+        grams = [np.frombuffer(g, np.int32) for g in texts["grams"]]
+        times = np.zeros(BUCKETS, np.int32)
+        for g in grams:
+            times[g] += 1
+        least = 1 + len(grams) // 200  # a few wrong labels teach nothing
+        without = times > least  # still known without the text itself
+        shares = [float(without[g].mean()) if len(g) else 0.0 for g in grams]
+        return pd.DataFrame({"label": [texts["label"].iloc[0]], "known": [np.packbits(times >= least).tobytes()],
+                             "least": [float(np.quantile(shares, 0.01))]})
+
     shared = spark.sparkContext.broadcast(table)  # 64 landmarks of 64 kB for each label
     sums = sample.repartition(4).mapInPandas(equations, "a binary, b binary").collect()
     m, c = len(marks), len(labels)
@@ -154,27 +189,41 @@ def train(
     among = _kernel(marks, table, sizes)
     beta = np.linalg.solve(left + ridge * among + 1e-6 * len(marks) * np.eye(m), right)
     scaled = (beta / np.sqrt(sizes)[:, None]).astype(np.float32)
-    return Model(labels, np.concatenate([part.astype(np.float32) @ scaled for part in np.array_split(table, 64)]))
+    weights = np.concatenate([part.astype(np.float32) @ scaled for part in np.array_split(table, 64)])
+    taught = {r.label: r for r in sample.groupBy("label").applyInPandas(  # 8 kB for each label
+        vocabulary, "label string, known binary, least double").collect()}
+    known = np.stack([np.frombuffer(taught[x].known, np.uint8) for x in labels])
+    owner = np.array([spot[r.label] for r in landmarks])
+    return Model(labels, weights, known, _bars(known, np.array([taught[x].least for x in labels]), marks, owner))
 
 
 def classify(model: Model, texts: DataFrame, column: Column) -> Column:
-    """A struct (lang, score) for a text column of ``texts``.
+    """A struct (lang, score, taught) for a text column of ``texts``.
 
     ``und`` with score 0 if the text is null or has no letter, or the model knows no
-    language.  The score maps the best output from [-1, 1] to [0, 1].
+    language.  The score maps the best output from [-1, 1] to [0, 1].  It only compares the
+    languages; ``taught`` tells whether the text is in the best one at all: the share of its
+    n-grams that this language's texts hold reaches the language's bar, less one over the
+    root of their number.
     """
     shared = texts.sparkSession.sparkContext.broadcast(model)  # 64 kB x 4 for each label
 
     def best(batch: list) -> list:
         get, known = Grams(), shared.value
-        lang, score = [UNKNOWN] * len(batch), [0.0] * len(batch)
+        lang, score, taught = [UNKNOWN] * len(batch), [0.0] * len(batch), [False] * len(batch)
         asked = [i for i, t in enumerate(batch) if has_letter(t)] if known.labels else []
-        for i, row in zip(asked, known.outputs([get(batch[i]) for i in asked])):
+        grams = [get(batch[i]) for i in asked]
+        members: dict[int, list[int]] = {}
+        for spot, (i, row) in enumerate(zip(asked, known.outputs(grams))):
             j = int(row.argmax())
             lang[i], score[i] = known.labels[j], min(1.0, max(0.0, (float(row[j]) + 1) / 2))
-        return [lang, score]
+            members.setdefault(j, []).append(spot)
+        for j, spots in members.items():
+            for spot, share in zip(spots, known.shares(j, [grams[s] for s in spots])):
+                taught[asked[spot]] = share + max(1, len(grams[spot])) ** -0.5 >= known.bars[j]
+        return [lang, score, [bool(t) for t in taught]]
 
-    return map_text(best, "lang string, score double", column)
+    return map_text(best, "lang string, score double, taught boolean", column)
 
 
 def held_out(doc_id: Column) -> Column:

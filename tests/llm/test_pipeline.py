@@ -56,3 +56,21 @@ def test_stages_over_planted_documents(spark, documents, tmp_path):
 def test_empty_documents(spark, documents, tmp_path):
     documents().write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_id_rejects_what_no_label_teaches(spark, documents, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, lang, rng.randint(30, 60)), lang) for i in range(160) for lang in [["en", "de"][i % 2]]]
+    rows += [(200, prose(rng, "en", 40), None), (201, prose(rng, "de", 40), None)]
+    unlearned = {
+        "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+        "zh": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+        "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "junk": " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randint(3, 9))) for _ in range(60)),
+    }
+    rows += [(300 + i, text, None) for i, text in enumerate(unlearned.values())]
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, documents(*rows), str(tmp_path)).collect()}
+    assert {200: "en", 201: "de"}.items() <= kept.items()
+    assert not [name for i, name in enumerate(unlearned) if 300 + i in kept]
+    assert len(kept) >= 160  # of 162
