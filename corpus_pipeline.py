@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that is left without a word goes, if it lost lines.
     """
-    cut = line_winnow.drop_copied_lines(docs)
+    cut = line_winnow.drop_copied_lines(docs, short_runs=True)
     emptied = (F.col("n_deleted") > 0) & ~F.col("text").rlike(line_winnow.WORD)
     return cut.filter(~F.coalesce(emptied, F.lit(False))).select(*[
         F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col(c)).cast("bigint").alias(c) if c == "n_chars"

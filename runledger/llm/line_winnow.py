@@ -2,7 +2,8 @@
 
 A run is ``run_lines`` or more lines in sequence, at least one of them with a word, or one
 line of ``long_words`` words or more, that stands earlier in the corpus as well, in the order of
-(doc_id, null last; a hash of the text; line number).
+(doc_id, null last; a hash of the text; line number).  With ``short_runs`` the shortest run
+from each line that holds ``long_words`` words counts as well, whatever its number of lines.
 
 1. Winnowing: of the line hashes in every window of ``run_lines`` lines the smallest (the
    rightmost of equals) is selected.  Two equal windows select the same place, so that a
@@ -35,30 +36,40 @@ def _key(docs: DataFrame) -> list[Column]:
     return [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")]
 
 
-def copied_windows(docs: DataFrame, run_lines: int = 3, long_words: int = 50) -> DataFrame:
+def copied_windows(
+    docs: DataFrame, run_lines: int = 3, long_words: int = 50, short_runs: bool = False,
+) -> DataFrame:
     """(doc_id, text_hash, start, size): windows of lines that stand earlier, from line 0."""
     w = run_lines
+    most = max(1, w - 1) if short_runs else 1  # lines of a run that counts for its words
     line_hash = F.transform(_lines(), lambda x: F.when(x.rlike(f"^{_BLANK}$"), F.lit(0).cast("bigint"))
                             .otherwise(F.xxhash64(x)))
-    # a long line is marked, so that no text is needed later
-    long_at = F.transform(_lines(), lambda x: (F.length(x) >= 2 * long_words - 1)
-                          & (F.regexp_count(x, F.lit(WORD)) >= long_words))
-    hashed = docs.select(*_key(docs), line_hash.alias("h"), long_at.alias("long"))
-    spots = write_scratch(hashed.select(
-        "doc_id", "text_hash", "h",
-        F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("long", i)).alias("long")))
+    # long runs are marked, so that no text is needed later; a line of n words has 2n - 1 characters or more
+    measured = docs.select(*_key(docs), line_hash.alias("h"), F.transform(_lines(), lambda x: (
+        F.regexp_count(x, F.lit(WORD)) if most > 1
+        else F.when(F.length(x) >= 2 * long_words - 1, F.regexp_count(x, F.lit(WORD))).otherwise(0))).alias("words"))
+
+    def shortest(i: Column) -> Column:
+        size, words = F.lit(None).cast("int"), F.lit(0)
+        for k in range(1, most + 1):
+            words = words + F.get("words", i + (k - 1))  # null after the last line
+            size = F.coalesce(size, F.when(words >= long_words, F.lit(k)))
+        return F.struct(i.alias("start"), size.alias("size"))
+
+    at = F.transform(F.sequence(F.lit(0), F.size("h") - 1), shortest)
+    spots = write_scratch(measured.select(
+        "doc_id", "text_hash", "h", F.filter(at, lambda r: r["size"].isNotNull()).alias("long")))
 
     window_at = F.when(F.size("h") >= w, F.sequence(F.lit(0), F.size("h") - w)).otherwise(F.array().cast("array<int>"))
 
-    def place(i: Column) -> Column:
-        part = F.slice("h", i + 1, F.lit(w))
+    def place(i: Column, size: Column) -> Column:
+        part = F.slice("h", i + 1, size)
         return F.struct(
-            i.alias("start"), F.lit(w).alias("size"), F.array_min(part).alias("selected"), part.alias("content"))
+            i.alias("start"), size.alias("size"), F.array_min(part).alias("selected"), part.alias("content"))
 
     # the windows with the line that each selects; the content is the extension both ways
-    runs = F.filter(F.transform(window_at, place), lambda r: F.exists(r["content"], lambda x: x != 0))
-    longs = F.transform("long", lambda i: F.struct(
-        i.alias("start"), F.lit(1).alias("size"), F.get("h", i).alias("selected"), F.slice("h", i + 1, F.lit(1)).alias("content")))
+    runs = F.filter(F.transform(window_at, lambda i: place(i, F.lit(w))), lambda r: F.exists(r["content"], lambda x: x != 0))
+    longs = F.transform("long", lambda r: place(r["start"], r["size"]))
     windows = spots.select("doc_id", "text_hash", F.explode(F.concat(runs, longs)).alias("r")).select(
         "doc_id", "text_hash", "r.start", "r.size", "r.selected",
         F.xxhash64("r.content").alias("one"), F.xxhash64(F.lit(1), "r.content").alias("two"))
@@ -71,7 +82,9 @@ def copied_windows(docs: DataFrame, run_lines: int = 3, long_words: int = 50) ->
         "doc_id", "text_hash", "start", "size").distinct()
 
 
-def drop_copied_lines(docs: DataFrame, run_lines: int = 3, long_words: int = 50) -> DataFrame:
+def drop_copied_lines(
+    docs: DataFrame, run_lines: int = 3, long_words: int = 50, short_runs: bool = False,
+) -> DataFrame:
     """``docs`` with the lines of copied runs cut from ``text``, and n_lines, n_deleted (bigint).
 
     Every document stays, if need be with an empty text; the other columns stay as they
@@ -79,7 +92,7 @@ def drop_copied_lines(docs: DataFrame, run_lines: int = 3, long_words: int = 50)
     same doc_id and text are one place in the order and lose the same lines.  Within a
     text an earlier run counts as well.  An empty table gives an empty one.
     """
-    windows = write_scratch(copied_windows(docs, run_lines, long_words))
+    windows = write_scratch(copied_windows(docs, run_lines, long_words, short_runs))
     doc = [F.col("doc_id"), F.col("text_hash")]
     order = Window.partitionBy(*doc).orderBy("start")
     reached = F.max(F.col("start") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -60,3 +60,37 @@ def test_edge_rows(spark, documents):
     assert got == sorted([(1, "x", 0, 0), (2, "x", 1, 0), (None, "x", 4, 4), (5, "a\nb\nc\n", 4, 0), (5, "a\nb\nc\n", 4, 0),
                           (6, ("word " * 4), 1, 0), (7, "line\n", 20_001, 19_999)], key=repr)
     assert drop_copied_lines(df.limit(0)).count() == 0
+
+
+def test_short_runs_of_many_words(spark, documents):
+    one, two = " ".join(f"a{i}" for i in range(44)), " ".join(f"b{i}" for i in range(42))
+    few = "only a few words"
+    rows = [(1, f"{one}\n{two}"), (2, f"x\n{one}\n{two}\ny"), (3, f"{one}\ny\n{two}"), (4, f"{few}\n{two}\n{few}"),
+            (5, f"{few}\n{two}"), (6, f"{one}\n{two}"), (7, f"{one} {two}\n{few}\nq"), (8, f"{one} {two}\n{few}\nr")]
+    kept = {r.doc_id: (r.text, r.n_deleted) for r in drop_copied_lines(documents(*rows), short_runs=True).collect()}
+    assert kept == {1: (rows[0][1], 0), 2: ("x\ny", 2), 3: (rows[2][1], 0), 4: (rows[3][1], 0), 5: (rows[4][1], 0), 6: ("", 2),
+                    7: (rows[6][1], 0), 8: (f"{few}\nr", 1)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_short_runs_equal_their_definition(spark, documents, seed):
+    def cut(rows, run, enough):
+        seen, out = set(), {}
+        for i, text in sorted(rows):
+            lines = text.split("\n")
+            gone = set()
+            for s in range(len(lines)):
+                short = next((k for k in range(1, run) if s + k <= len(lines) and len(" ".join(lines[s:s + k]).split()) >= enough), None)
+                for size in [short, run if s + run <= len(lines) and "".join(lines[s:s + run]).strip() else None]:
+                    if size:
+                        content = (size, *(x.strip() and x for x in lines[s:s + size]))
+                        gone |= set(range(s, s + size)) if content in seen else set()
+                        seen.add(content)
+            out[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+        return out
+
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choices("abcdef", k=rng.randint(0, 6))) for _ in range(14)] + ["", " "]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 7)))) for i in range(80)]
+    got = {r.doc_id: r.text for r in drop_copied_lines(documents(*rows), 4, 9, short_runs=True).collect()}
+    assert got == cut(rows, 4, 9)
