@@ -116,11 +116,15 @@ _DIGIT_OF = {
 _WORD = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
 _ITEM = re.compile(rf"(?<!\w)(?:(plus)|({_WORD})|[0-9]+)(?!\w)", re.I)
 _GAP = re.compile(r"[\s,-]{0,3}")
-_SPLIT = str.maketrans("-,", "  ")
+_SPLIT = str.maketrans(dict.fromkeys("-,.()[]{}<>", " "))
 
 _DOTS = ("dot", "punkt", "point", "punto")
 _DOT_WORD, _AT_WORD = f"(?:{'|'.join(_DOTS)})", "(?:at|arroba)"
 _OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
+# What may stand between spelled digits as well: a dot, or round brackets.
+_GAP_DOT = re.compile(rf"\s+{_DOT_WORD}\s+|\s*{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}\s*|\.", re.I)
+_GAP_BRACKET = re.compile(r"[\s,-]{0,3}[()]{1,2}[\s,-]{0,3}")
+_NO_BRACKET = re.compile(r"[^()]")
 _AT = re.compile(rf"\s*{_OPEN}(?:{_AT_WORD}|@){_CLOSE}\s*", re.I)
 _DOT = re.compile(rf"\s*{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}\s*|(?<=[0-9])\s+{_DOT_WORD}\s+(?=[0-9])", re.I)
 # Without brackets the words are taken for signs only in a whole address with a usual end.
@@ -130,6 +134,17 @@ _HOST = rf"[A-Za-z0-9-]+(?:(?:\.|\s+{_DOT_WORD}\s+)[A-Za-z0-9-]+)*?\s+{_DOT_WORD
 _SAID = re.compile(rf"{_NAME}\s+{_AT_WORD}\s+{_HOST}(?!\w)", re.I)
 _SAID_AT, _SAID_DOT = re.compile(rf"\s+{_AT_WORD}\s+(?=\S+(?:\s+{_DOT_WORD}\s+\S+)+$)", re.I), re.compile(rf"\s+{_DOT_WORD}\s+", re.I)
 
+# "name at example.com": an end like It starts a sentence; a whole address unless the word before is one that leads to a place.
+_PLAIN_HOST = rf"[A-Za-z0-9-]+(?:(?:\.|\s+{_DOT_WORD}\s+)[A-Za-z0-9-]+)*?\.(?-i:{_ENDS}|{_ENDS.upper()})(?![\w/:@-]|\.\w)"
+_PLAIN_AT = re.compile(rf"\s+{_AT_WORD}\s+(?={_PLAIN_HOST})", re.I)
+_PLAIN = re.compile(rf"(?<![\w.%+@-])({_NAME})\s+{_AT_WORD}\s+{_PLAIN_HOST}", re.I)
+_LEADS = frozenset(
+    "a about all and are article available be blog book books buy call check code contact data details docs "
+    "documentation download email file files find follow found free go he help here him his home hosted i in info "
+    "information is it join listed live located look mail me more news now on online open or order out page people "
+    "post posted published read register released see she shop sign site sold source store story team text that "
+    "the them there these they this today up us version video visit was we web website were work working works you".split())
+
 
 def _said(now: Rewritten) -> Rewritten:
     """Write "name at host dot com" with signs."""
@@ -141,6 +156,18 @@ def _said(now: Rewritten) -> Rewritten:
     return _replace(now, edits) if edits else now
 
 
+def _said_plain(now: Rewritten) -> Rewritten:
+    """Write "name at example.com" with signs."""
+    edits = []
+    for m in _PLAIN.finditer(now.text):
+        if m[1].lower() in _LEADS:
+            continue
+        at = _PLAIN_AT.search(now.text, m.end(1))
+        signs = [(at.start(), at.end(), "@"), *((d.start(), d.end(), ".") for d in _SAID_DOT.finditer(now.text, m.start(), m.end()))]
+        edits += sorted(signs)
+    return _replace(now, edits) if edits else now
+
+
 def _glyph(m: re.Match) -> str:
     char = m[0]
     if char in _HIDDEN:
@@ -151,22 +178,39 @@ def _glyph(m: re.Match) -> str:
     return plain if plain.isascii() else char
 
 
+def _between(text: str, start: int, end: int) -> str | None:
+    """What to write between two items of a run, or None if the run ends there."""
+    if _GAP.fullmatch(text, start, end):
+        return ""
+    if _GAP_DOT.fullmatch(text, start, end):
+        return "."
+    return _NO_BRACKET.sub("", text[start:end]) if _GAP_BRACKET.fullmatch(text, start, end) else None
+
+
 def _spell(now: Rewritten) -> Rewritten:
-    """Write runs of spelled digits, single figures among them, as one number."""
+    """Write runs of spelled digits, single figures among them, as numbers; dots and
+    round brackets between them stay."""
     runs: list[list[re.Match]] = [[]]
+    gaps: list[list[str]] = [[]]
     for m in _ITEM.finditer(now.text):
-        if runs[-1] and (m[1] or not _GAP.fullmatch(now.text, runs[-1][-1].end(), m.start())):
-            runs.append([])
+        if runs[-1]:
+            gap = None if m[1] else _between(now.text, runs[-1][-1].end(), m.start())
+            if gap is None:
+                runs.append([])
+                gaps.append([])
+            else:
+                gaps[-1].append(gap)
         runs[-1].append(m)
     new: dict[tuple[int, int], str] = {}
-    for run in runs:
-        if sum(bool(m[2]) for m in run) < 2:
+    for run, between in zip(runs, gaps):
+        # one spelled digit is enough in a run that may be an address
+        if sum(bool(m[2]) for m in run) < (1 if between.count(".") >= 3 else 2):
             continue
-        for m, after in zip(run, [*run[1:], None]):
+        for m, after, gap in zip(run, [*run[1:], None], [*between, ""]):
             if m[1] or m[2]:
                 new[m.span()] = "+" if m[1] else str(_DIGIT_OF[m[2].lower()])
-            if after and after.start() > m.end():
-                new[m.end(), after.start()] = ""
+            if after and now.text[m.end():after.start()] != gap:
+                new[m.end(), after.start()] = gap
     if not new:
         return now
     return _replace(now, ((s, e, new[s, e]) for s, e in sorted(new)))
@@ -177,18 +221,20 @@ def rewrite(text: str) -> Rewritten | None:
     glyph = not text.isascii() and _GLYPH.search(text)
     now = _rewrite(_source(text), _GLYPH, _glyph) if glyph else None
     low = (now.text if now else text).lower()  # may differ in length; only asked what it holds
-    # a run holds a spelled digit between spaces, commas or hyphens
+    # a run holds a spelled digit between spaces, commas, hyphens, dots or brackets
     spelled = not _DIGIT_OF.keys().isdisjoint(low.translate(_SPLIT).split())
     bracket = any(c in low for c in "[({<")
     dotted = any(word in low for word in _DOTS)
-    if not (glyph or spelled or bracket or dotted):
+    plain = "." in low and _PLAIN_AT.search(now.text if now else text)
+    if not (glyph or spelled or bracket or dotted or plain):
         return None
     now = now or _source(text)
     if spelled:
         now = _spell(now)
     if bracket or dotted:
         now = _rewrite(_rewrite(now, _AT, lambda m: "@"), _DOT, lambda m: ".")
-    return _said(now) if dotted else now
+    now = _said(now) if dotted else now
+    return _said_plain(now) if plain else now
 
 
 def find_pii(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -110,3 +110,24 @@ def test_queries_on_edge_rows(spark, documents, tmp_path):
     df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     for query in (op6_compression_bands, op7_secret_ledger, op9_pii_spans):
         assert query(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("text, kind, span", [
+    ("ip one nine two dot one six eight dot one dot one ok", "ip", "one nine two dot one six eight dot one dot one"),
+    ("ip one zero [dot] zero (dot) 0 dot seven", "ip", "one zero [dot] zero (dot) 0 dot seven"),
+    ("ip 192 dot 168 dot one dot 10", "ip", "192 dot 168 dot one dot 10"),
+    ("call plus one (five five five) three eight two four zero one two", "phone",
+     "plus one (five five five) three eight two four zero one two"),
+    ("write bob at example.com, soon", "email", "bob at example.com"),
+    ("write bob.lee at mail.example.co.uk.", "email", "bob.lee at mail.example.co.uk"),
+])
+def test_runs_go_on_over_dots_and_brackets(text, kind, span):
+    assert [(k, text[s:e]) for k, s, e in pii.find_pii(text)[1]] == [(kind, span)]
+
+
+@pytest.mark.parametrize("text", [
+    "visit us at example.com", "more at example.com/page", "bob at home. com", "met bob at noon.It rained", "one point two",
+    "five (six) seven", "one. Two. Three. Four.", "bob at " * 3000 + ".", "aaaa" * 5000 + " at example.commerce",
+])
+def test_clean_texts_stay_clean(text):
+    assert pii.find_pii(text) == ([], [])
