@@ -26,7 +26,3 @@ def small_groups(monkeypatch):
         monkeypatch.setattr(ordered, "BLOCK_ROWS", rows)
 
     return limit
-
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from runledger import schemas
 from runledger.functions.tokens import from_encoder
 from runledger.operators import examples

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from runledger.operators.ordered import (
     by_digits, by_index, by_value, null_safe_join, number_rows, running_sums, with_lookback,
 )

@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from runledger.operators import progress, ranking
 
 EVENTS = ("run_id string, job_id string, event_seq bigint, event_type string, ts_us bigint, "

@@ -5,7 +5,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from runledger import schemas
 from runledger.operators import adapters, inference, requests
 from runledger.plans.summary import run_summary

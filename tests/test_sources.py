@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from runledger import schemas
 from runledger.operators.jobs import expected_vs_actual_jobs
 from runledger.plans.summary import run_summary

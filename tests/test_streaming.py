@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from runledger import schemas
 from runledger.operators import jobs, progress, requests
 from runledger.streaming import ingest, job_state, outcomes
