@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.llm import (
-    bpe, compression, langid, license_tfidf, line_winnow, mixing, pii, secret_ledger, va_file, vp_simhash,
+    bpe, collocations, compression, langid, license_tfidf, line_winnow, mixing, periodic_runs, pii, secret_ledger,
+    va_file, vp_simhash,
 )
 
 
@@ -97,6 +98,17 @@ def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(
+        _table(spark, sf_dir, "documents"),
+        ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"),
+        change=periodic_runs.plant_period)
+
+
 def _license_sql(least: float = 0.7) -> str:
     def text(value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
@@ -179,6 +191,7 @@ FROM own o LEFT JOIN nearest n ON o.path = n.path
 QUERIES = {f.__name__: f for f in (
     op1_va_file_top_k, op2_simhash_vp_tree, op3_line_winnowing, op4_hierarchical_budgets, op5_bpe_tree_join,
     op6_compression_bands, op7_secret_ledger, op8_license_tfidf, op9_pii_spans, op10_string_kernel_language,
+    op11_phrase_collocations, op12_periodic_runs,
 )}
 
 ORACLES = {
@@ -283,4 +296,38 @@ SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN before < r
 FROM placed WHERE whole + CASE WHEN before < rest THEN 1 ELSE 0 END > 0
 """,
     "op8_license_tfidf": _license_sql(),
+    "op11_phrase_collocations": r"""
+WITH w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece
+    FROM documents)
+), grams AS (
+  SELECT lang, 1 AS size, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w
+), f AS (
+  SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang
+), cuts AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM f WHERE size > 1 AND f >= 10
+), sized AS (
+  SELECT c.*, h.f AS l, t.f AS r, CAST(1000000 AS HUGEINT) * a * a // (CAST(h.f AS HUGEINT) * t.f) AS score
+  FROM cuts c JOIN f h ON c.lang = h.lang AND h.phrase = array_to_string(list_slice(c.w, 1, c.k), ' ')
+  JOIN f t ON c.lang = t.lang AND t.phrase = array_to_string(list_slice(c.w, c.k + 1, c.size), ' ')
+), lowest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM sized) WHERE place = 1
+), covered AS (
+  SELECT DISTINCT s.lang, s.phrase FROM lowest s JOIN (
+    SELECT lang, a, array_to_string(list_slice(w, 1, 2), ' ') AS inner_phrase FROM lowest WHERE size = 3
+    UNION ALL SELECT lang, a, array_to_string(list_slice(w, 2, 3), ' ') FROM lowest WHERE size = 3
+  ) b ON s.lang = b.lang AND s.phrase = b.inner_phrase AND 100 * b.a >= 50 * s.a
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM lowest ANTI JOIN covered USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+""",
 }
