@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runledger.llm import (
     bpe, collocations, compression, langid, license_tfidf, line_winnow, mixing, periodic_runs, pii, secret_ledger,
-    va_file, vp_simhash,
+    suffix_dedup, va_file, vp_simhash,
 )
 
 
@@ -109,6 +109,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         change=periodic_runs.plant_period)
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def _license_sql(least: float = 0.7) -> str:
     def text(value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
@@ -191,7 +195,7 @@ FROM own o LEFT JOIN nearest n ON o.path = n.path
 QUERIES = {f.__name__: f for f in (
     op1_va_file_top_k, op2_simhash_vp_tree, op3_line_winnowing, op4_hierarchical_budgets, op5_bpe_tree_join,
     op6_compression_bands, op7_secret_ledger, op8_license_tfidf, op9_pii_spans, op10_string_kernel_language,
-    op11_phrase_collocations, op12_periodic_runs,
+    op11_phrase_collocations, op12_periodic_runs, op13_suffix_dedup,
 )}
 
 ORACLES = {
