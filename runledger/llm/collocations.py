@@ -383,7 +383,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> tuple[D
 
     shards = shard_transducers(docs, longest, ranges, SHARD_WORDS)
     schema = "range long, counts binary, totals array<struct<lang:string,n:long>>"
-    return shards.repartition("range").groupBy("range").applyInPandas(unite, schema), ranges
+    return shards.repartition(ranges, "range").groupBy("range").applyInPandas(unite, schema), ranges
 
 
 def _phrases(counted: DataFrame) -> DataFrame:

@@ -37,6 +37,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.session import write_scratch
+
 LEAST_BYTES = 200
 #: Grams among which an anchor is chosen; an anchor's gram has least_bytes - WINDOW + 1 bytes.
 WINDOW = 160
@@ -322,7 +324,7 @@ def remove_repeats(
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     found = _anchor_rows(texts.select("doc_id", "text_hash", "text"), least_bytes, window)
     ranked = found.groupBy("g").agg(F.sum("n").alias("places"), F.min("x").alias("low"), F.max("x").alias("high"))
-    kept = found.join(ranked.filter("places > 1"), "g")
+    kept = write_scratch(found.join(ranked.filter("places > 1"), "g"))
 
     # past the threshold: all that an anchor's starts cover comes again
     alike = kept.filter("low = high").select("doc_id", "text_hash", "first", "last", "more")
