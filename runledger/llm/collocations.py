@@ -19,9 +19,7 @@ more than others, and no task ever holds more than a shard or the transducers of
 
 from __future__ import annotations
 
-import json
 import math
-import re
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -36,13 +34,14 @@ from pyspark.sql import functions as F
 from runledger.session import write_scratch
 
 # Where texts and pieces are split, and the language of rows without one.
-PIECES = re.compile(r"[.,;:!?\x0A-\x0D]")
+PIECE_ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 UNKNOWN = "und"
 
 #: Words of a shard, and bytes of text for each range of prefixes.
 SHARD_WORDS, RANGE_BYTES = 2_000_000, 8 << 20
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_END = b"\xff"  # in no text: UTF-8 has no such byte
+_READ = bytes.maketrans(PIECE_ENDS, _END * len(PIECE_ENDS))
 _CHUNK = 200_000  # sorted n-grams whose states are closed together
 
 
@@ -52,15 +51,36 @@ class Grams(NamedTuple):
     weights: np.ndarray
 
 
+def packed(labels: np.ndarray, ahead: np.ndarray | None = None) -> list[np.ndarray]:
+    """The columns of ``labels``, after those of ``ahead``, in as few whole numbers as hold them,
+    with the same order."""
+    columns = ([] if ahead is None else [ahead]) + list(labels.T)
+    keys: list[np.ndarray] = []
+    room = 0
+    for column in columns:
+        base = int(column.max(initial=0)) + 2
+        if keys and room * base < 1 << 62:
+            keys[-1] = keys[-1] * base + (column + 1)
+            room *= base
+        else:
+            keys.append(column + 1)
+            room = base
+    return keys
+
+
 def sum_equal(grams: Grams) -> Grams:
     """``grams`` sorted, with the weights of equal paths added up."""
     labels, weights = grams
     if not len(labels):
         return grams
-    order = np.lexsort(labels.T[::-1])
-    labels, weights = labels[order], weights[order]
-    new = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]).any(axis=1)]))
-    return Grams(labels[new], np.add.reduceat(weights, new))
+    keys = packed(labels)
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for key in keys:
+        new[1:] |= np.diff(key[order]) != 0
+    heads = np.flatnonzero(new)
+    return Grams(labels[order[heads]], np.add.reduceat(weights[order], heads))
 
 
 class Transducer:
@@ -70,11 +90,11 @@ class Transducer:
     sorted ``words``; state 0 has no arcs, the last state is the root.
     """
 
-    def __init__(self, words: Sequence[str], first: np.ndarray, label: np.ndarray, weight: np.ndarray, target: np.ndarray):
+    def __init__(self, words: Sequence[bytes], first: np.ndarray, label: np.ndarray, weight: np.ndarray, target: np.ndarray):
         self.words, self.first, self.label, self.weight, self.target = list(words), first, label, weight, target
 
     @classmethod
-    def build(cls, words: Sequence[str], grams: Grams) -> Transducer:
+    def build(cls, words: Sequence[bytes], grams: Grams) -> Transducer:
         """From sorted, different paths over ``words``."""
         labels, weights = grams
         used = np.unique(labels[labels >= 0])
@@ -137,7 +157,7 @@ class Transducer:
         return other, Grams(np.concatenate(wide), np.concatenate(weights))
 
     @classmethod
-    def union(cls, parts: Sequence[Transducer], least: int = 1) -> tuple[Transducer, Grams, list[str]]:
+    def union(cls, parts: Sequence[Transducer], least: int = 1) -> tuple[Transducer, Grams, list[bytes]]:
         """One transducer of all paths with the sums of their weights, without those below
         ``least``; and all sums before that, over the returned words."""
         words = sorted(set().union(*[p.words for p in parts]))
@@ -150,20 +170,35 @@ class Transducer:
         return cls.build(words, Grams(grams.labels[often], grams.weights[often])), grams, words
 
     def dump(self) -> bytes:
-        words = json.dumps(self.words, ensure_ascii=False).encode()
-        arrays = [np.diff(self.first).astype("<i4"), self.label.astype("<i4"), self.weight.astype("<i8"), self.target.astype("<i4")]
-        head = np.array([len(words), len(arrays[0]), len(arrays[1])], "<i8").tobytes()
-        return zstandard.compress(head + words + b"".join(a.tobytes() for a in arrays), 1)
+        sizes = np.fromiter(map(len, self.words), "<i4", len(self.words))
+        arrays = [sizes, np.diff(self.first).astype("<i4"), self.label.astype("<i4"), self.weight.astype("<i8"), self.target.astype("<i4")]
+        head = np.array([len(sizes), len(arrays[1]), len(arrays[2])], "<i8").tobytes()
+        return zstandard.compress(b"".join([head, *(a.tobytes() for a in arrays), *self.words]), 1)
 
     @classmethod
     def load(cls, data: bytes) -> Transducer:
         raw = zstandard.decompress(data)
-        size, states, arcs = np.frombuffer(raw, "<i8", 3).tolist()
-        at, arrays = 24 + size, []
-        for count, kind in ((states, "<i4"), (arcs, "<i4"), (arcs, "<i8"), (arcs, "<i4")):
+        words, states, arcs = np.frombuffer(raw, "<i8", 3).tolist()
+        at, arrays = 24, []
+        for count, kind in ((words, "<i4"), (states, "<i4"), (arcs, "<i4"), (arcs, "<i8"), (arcs, "<i4")):
             arrays.append(np.frombuffer(raw, kind, count, at).astype(np.int64))
             at += arrays[-1].size * int(kind[2])
-        return cls(json.loads(raw[24:24 + size]), np.concatenate([[0], np.cumsum(arrays[0])]), *arrays[1:])
+        stops = (at + np.cumsum(arrays[0])).tolist()
+        spoken = [raw[a:b] for a, b in zip([at, *stops], stops)]
+        return cls(spoken, np.concatenate([[0], np.cumsum(arrays[1])]), *arrays[2:])
+
+
+class _Numbers(dict):
+    """Numbers new keys as they come."""
+
+    def __init__(self, start: int):
+        super().__init__()
+        self.next = start
+
+    def __missing__(self, key: bytes) -> int:
+        number = self[key] = self.next
+        self.next += 1
+        return number
 
 
 class _Register:
@@ -171,32 +206,24 @@ class _Register:
 
     def __init__(self, depth: int):
         self.depth = depth
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers(1)
         self.arcs: list[np.ndarray] = []  # of each new state in turn: label, weight, target
         self.counts: list[np.ndarray] = [np.zeros(1, np.int64)]
-        self.states = 1
         self.top: list[np.ndarray] = []  # arcs of states that may still grow: two labels and a weight, target
 
     def close(self, owner: np.ndarray, arcs: np.ndarray) -> np.ndarray:
         """State numbers of the arcs' owners (0, 1, 2, ... in order)."""
         first = np.flatnonzero(np.diff(owner, prepend=-1))
         count = np.diff(np.append(first, len(owner)))
-        number = np.empty(len(first), np.int64)
-        new = []
         raw, width = np.ascontiguousarray(arcs).tobytes(), arcs.shape[1] * 8
-        for i, (at, n) in enumerate(zip(first.tolist(), count.tolist())):
-            key = raw[at * width:(at + n) * width]
-            state = self.known.get(key)
-            if state is None:
-                state = self.known[key] = self.states
-                self.states += 1
-                new.append(i)
-            number[i] = state
-        if new:
-            picked = np.zeros(len(first), bool)
-            picked[new] = True
-            self.arcs.append(arcs[np.repeat(picked, count)])
-            self.counts.append(count[picked])
+        bounds = [*(first * width).tolist(), len(raw)]
+        before = self.known.next
+        number = np.fromiter(map(self.known.__getitem__, [raw[a:b] for a, b in zip(bounds, bounds[1:])]), np.int64, len(first))
+        highest = np.maximum.accumulate(number)
+        new = number > np.concatenate([[before - 1], np.maximum(highest[:-1], before - 1)])
+        if new.any():
+            self.arcs.append(arcs[np.repeat(new, count)])
+            self.counts.append(count[new])
         return number
 
     def add(self, labels: np.ndarray, weights: np.ndarray) -> None:
@@ -258,11 +285,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _hashes(words: Sequence[str]) -> np.ndarray:
-    return np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words] + [0], np.uint64)
+def _hashes(words: Sequence[bytes]) -> np.ndarray:
+    return np.array([*map(zlib.crc32, words), 0], np.uint64)
 
 
-def prefix_ranges(words: Sequence[str], labels: np.ndarray, ranges: int) -> np.ndarray:
+def prefix_ranges(words: Sequence[bytes], labels: np.ndarray, ranges: int) -> np.ndarray:
     """The range of each path (a language and words): by the language and its first two words."""
     known = _hashes(words) + np.uint64(1)
     known[-1] = 0
@@ -276,57 +303,60 @@ class _Shard:
     """Word numbers of texts by language, with a -1 after each piece."""
 
     def __init__(self) -> None:
-        self.number: dict[str, int] = {}
-        self.runs: dict[str, list[np.ndarray]] = {}
+        self.number = _Numbers(0)
+        self.number[_END] = -1
+        self.runs: dict[bytes, list[np.ndarray]] = {}
         self.words = 0
 
     def add(self, lang: str, text: str) -> None:
-        ids, number = [], self.number
-        for piece in PIECES.split(text.translate(_LOWER)):
-            words = piece.replace("\t", " ").split(" ")
-            ids += [number.setdefault(w, len(number)) for w in words if w]
-            ids.append(-1)
-        self.runs.setdefault(lang, []).append(np.array(ids, np.int64))
-        self.words += len(ids)
+        # bytes.lower() and split() know ASCII alone; what split() takes for a space beyond
+        # blanks and tabs ends a piece and is no longer there
+        read = text.encode().lower().translate(_READ).replace(_END, b" \xff ").split()
+        read.append(_END)
+        self.runs.setdefault(lang.encode(), []).append(np.fromiter(map(self.number.__getitem__, read), np.int64, len(read)))
+        self.words += len(read)
 
     def transducers(self, longest: int, ranges: int) -> Iterator[tuple[int, bytes]]:
         langs = sorted(self.runs)
+        del self.number[_END]
         spoken = sorted(self.number)
         order = np.empty(len(spoken) + 1, np.int64)
-        order[[self.number[w] for w in spoken]] = np.arange(len(spoken))
+        order[np.fromiter(map(self.number.__getitem__, spoken), np.int64, len(spoken))] = np.arange(len(spoken))
         order[-1] = -1
         # languages come first among the labels, so that words keep their order
         words = langs + spoken
         parts = []
         for i, lang in enumerate(langs):
             ids = order[np.concatenate(self.runs[lang])]
-            whole = ids >= 0
-            code = ids
+            whole, code = ids >= 0, ids
             for size in range(1, longest + 1):
                 if size > 1:
                     whole = whole[:-1] & (ids[size - 1:] >= 0)
                     code = code[:len(whole)] * len(spoken) + ids[size - 1:]
-                if not whole.any():
+                starts = np.flatnonzero(whole)
+                if not len(starts):
                     break
                 # a code is small: the number of the shorter phrase, then a word
-                seen, back, count = np.unique(code[whole], return_inverse=True, return_counts=True)
-                starts = np.flatnonzero(whole)
-                one = np.empty(len(seen), np.int64)
-                one[back] = starts
-                grams = np.full((len(seen), longest + 1), -1, np.int64)
+                codes = code[starts]
+                by = np.argsort(codes, kind="stable")
+                heads = np.flatnonzero(np.diff(codes[by], prepend=-1))
+                one = starts[by[heads]]
+                grams = np.full((len(heads), longest + 1), -1, np.int64)
                 grams[:, 0] = i
                 for d in range(size):
                     grams[:, d + 1] = ids[one + d] + len(langs)
+                count = np.diff(np.append(heads, len(codes)))
                 parts.append(Grams(grams, count))
-                dense = np.full(len(whole), -1, np.int64)
-                dense[whole] = back
-                code = dense
+                if size < longest:
+                    code = np.full(len(whole), -1, np.int64)
+                    code[starts[by]] = np.repeat(np.arange(len(heads)), count)
         if not parts:
             return
         grams = Grams(np.concatenate([p.labels for p in parts]), np.concatenate([p.weights for p in parts]))
         where = prefix_ranges(words, grams.labels, ranges)
-        order = np.lexsort((*grams.labels.T[::-1], where))
-        labels, weights, where = grams.labels[order], grams.weights[order], where[order]
+        keys = packed(grams.labels, where)
+        by = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+        labels, weights, where = grams.labels[by], grams.weights[by], where[by]
         edges = np.append(np.flatnonzero(np.diff(where, prepend=-1)), len(where))
         for a, b in zip(edges[:-1], edges[1:]):
             yield int(where[a]), Transducer.build(words, Grams(labels[a:b], weights[a:b])).dump()
@@ -354,7 +384,8 @@ def shard_transducers(docs: DataFrame, longest: int, ranges: int, shard_words: i
 
 
 def _spoken(t: Transducer, labels: np.ndarray) -> list[list[str]]:
-    return [[t.words[i] for i in row if i >= 0] for row in labels]
+    words = [w.decode() for w in t.words]
+    return [[words[i] for i in row if i >= 0] for row in labels.tolist()]
 
 
 def _frame(spoken: list[list[str]], weights: Sequence[int]) -> pd.DataFrame:
@@ -378,7 +409,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> tuple[D
         langs, back = np.unique(grams.labels[single, 0], return_inverse=True)
         sums = np.zeros(len(langs), np.int64)
         np.add.at(sums, back, grams.weights[single])
-        totals = [{"lang": words[i], "n": int(n)} for i, n in zip(langs, sums)]
+        totals = [{"lang": words[i].decode(), "n": int(n)} for i, n in zip(langs, sums)]
         return pd.DataFrame({"range": [frame["range"].iloc[0]], "counts": [united.dump()], "totals": [totals]})
 
     shards = shard_transducers(docs, longest, ranges, SHARD_WORDS)
@@ -405,7 +436,7 @@ def part_counts(counted: DataFrame, ranges: int, parts: DataFrame) -> DataFrame:
     """``parts`` (lang, words) with their counts f, by composition with the transducers."""
     @F.pandas_udf("long")
     def where(lang: pd.Series, words: pd.Series) -> pd.Series:
-        paths = [[a, *w] for a, w in zip(lang, words)]
+        paths = [[x.encode() for x in (a, *w)] for a, w in zip(lang, words)]
         known = sorted({x for p in paths for x in p})
         number = {w: i for i, w in enumerate(known)}
         depth = max(map(len, paths), default=1)
@@ -415,8 +446,8 @@ def part_counts(counted: DataFrame, ranges: int, parts: DataFrame) -> DataFrame:
     def look(asked: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(counted):
             return _frame([], [])
-        paths = [[a, *w] for a, w in zip(asked["lang"], asked["words"])]
-        langs = sorted(set(asked["lang"]))
+        paths = [[x.encode() for x in (a, *w)] for a, w in zip(asked["lang"], asked["words"])]
+        langs = sorted({p[0] for p in paths})
         known = langs + sorted({x for p in paths for x in p[1:]})
         lang_no = {w: i for i, w in enumerate(langs)}
         number = {w: i + len(langs) for i, w in enumerate(known[len(langs):])}

@@ -25,7 +25,7 @@ def accepted(t, grams=None):
 
 
 def random_phrases(rng):
-    return {tuple(rng.choices("abcde", k=rng.randrange(1, 5))): rng.choice([1, 1, 2, 30]) for _ in range(rng.randrange(1, 80))}
+    return {tuple(rng.choices([b"a", b"b", b"c", b"d", b"e"], k=rng.randrange(1, 5))): rng.choice([1, 1, 2, 30]) for _ in range(rng.randrange(1, 80))}
 
 
 @pytest.mark.parametrize("chunk", [1, 7, 100_000])
@@ -44,7 +44,7 @@ def test_transducers(monkeypatch, chunk):
 
 
 def test_equal_states_are_stored_once():
-    phrases = {p: 1 for p in product("abcdef", repeat=4)}
+    phrases = {p: 1 for p in product([b"a", b"b", b"c", b"d", b"e", b"f"], repeat=4)}
     t = made(phrases)
     assert len(t.first) - 1 == 5 and len(t.label) == 24
 
