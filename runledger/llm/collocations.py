@@ -97,10 +97,13 @@ class Transducer:
     def build(cls, words: Sequence[bytes], grams: Grams) -> Transducer:
         """From sorted, different paths over ``words``."""
         labels, weights = grams
-        used = np.unique(labels[labels >= 0])
-        number = np.full(len(words) + 1, -1, np.int64)
-        number[used] = np.arange(len(used))
-        labels = number[labels] if len(labels) else labels
+        flat = labels.ravel()
+        by = np.argsort(flat, kind="stable")
+        new = np.diff(flat[by], prepend=-1) != 0
+        used = flat[by[new]]
+        number = np.empty(len(flat), np.int64)
+        number[by] = np.cumsum(new) - 1
+        labels = number.reshape(labels.shape)
         made = _Register(labels.shape[1] if len(labels) else 1)
         at = 0
         while at < len(labels):
@@ -109,7 +112,7 @@ class Transducer:
                 stop += 1  # a chunk ends where the second label changes
             made.add(labels[at:stop], weights[at:stop])
             at = stop
-        return cls([words[i] for i in used], *made.finish())
+        return cls([words[i] for i in used.tolist()], *made.finish())
 
     def paths(self) -> Grams:
         """All phrases with their weights."""
