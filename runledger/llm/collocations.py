@@ -74,7 +74,7 @@ def sum_equal(grams: Grams) -> Grams:
     if not len(labels):
         return grams
     keys = packed(labels)
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
     new[0] = True
     for key in keys:
@@ -98,7 +98,7 @@ class Transducer:
         """From sorted, different paths over ``words``."""
         labels, weights = grams
         flat = labels.ravel()
-        by = np.argsort(flat, kind="stable")
+        by = np.argsort(flat)
         new = np.diff(flat[by], prepend=-1) != 0
         used = flat[by[new]]
         number = np.empty(len(flat), np.int64)
@@ -218,10 +218,21 @@ class _Register:
         """State numbers of the arcs' owners (0, 1, 2, ... in order)."""
         first = np.flatnonzero(np.diff(owner, prepend=-1))
         count = np.diff(np.append(first, len(owner)))
+        # of states with one arc, equal ones are looked up together
+        single = np.flatnonzero(count == 1)
+        keys = packed(arcs[first[single]])
+        same = np.arange(len(first))
+        if len(keys) == 1:
+            by = np.argsort(keys[0])
+            heads = np.diff(keys[0][by], prepend=-1) != 0
+            same[single[by]] = np.minimum.reduceat(single[by], np.flatnonzero(heads))[np.cumsum(heads) - 1] if len(by) else 0
+        looked = np.flatnonzero(same == np.arange(len(first)))
         raw, width = np.ascontiguousarray(arcs).tobytes(), arcs.shape[1] * 8
-        bounds = [*(first * width).tolist(), len(raw)]
+        keys_of = [raw[a:b] for a, b in zip((first[looked] * width).tolist(), ((first + count)[looked] * width).tolist())]
         before = self.known.next
-        number = np.fromiter(map(self.known.__getitem__, [raw[a:b] for a, b in zip(bounds, bounds[1:])]), np.int64, len(first))
+        number = np.full(len(first), -1, np.int64)
+        number[looked] = np.fromiter(map(self.known.__getitem__, keys_of), np.int64, len(looked))
+        number = number[same]
         highest = np.maximum.accumulate(number)
         new = number > np.concatenate([[before - 1], np.maximum(highest[:-1], before - 1)])
         if new.any():
@@ -341,7 +352,7 @@ class _Shard:
                     break
                 # a code is small: the number of the shorter phrase, then a word
                 codes = code[starts]
-                by = np.argsort(codes, kind="stable")
+                by = np.argsort(codes)
                 heads = np.flatnonzero(np.diff(codes[by], prepend=-1))
                 one = starts[by[heads]]
                 grams = np.full((len(heads), longest + 1), -1, np.int64)
@@ -358,7 +369,7 @@ class _Shard:
         grams = Grams(np.concatenate([p.labels for p in parts]), np.concatenate([p.weights for p in parts]))
         where = prefix_ranges(words, grams.labels, ranges)
         keys = packed(grams.labels, where)
-        by = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+        by = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
         labels, weights, where = grams.labels[by], grams.weights[by], where[by]
         edges = np.append(np.flatnonzero(np.diff(where, prepend=-1)), len(where))
         for a, b in zip(edges[:-1], edges[1:]):
