@@ -24,6 +24,11 @@ def mean_decrease(losses: Column) -> Column:
     n = F.size(losses)
     drops = F.zip_with(F.slice(losses, 1, n - 1), F.slice(losses, 2, n - 1), lambda a, b: a - b)
     total = F.aggregate(drops, F.lit(0.0), lambda acc, drop: acc + drop)
+    return mean_of_drops(total, n)
+
+
+def mean_of_drops(total: Column, n: Column) -> Column:
+    """mean_decrease from the sum of the drops between ``n`` losses."""
     return F.when(n >= 2, F.round(total / (n - 1), RATE_DECIMALS))
 
 

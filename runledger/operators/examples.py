@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.tokens import Tokenizer, count_words, hashed_words
-from runledger.operators.ordered import by_digits, by_index, null_safe_join, number_rows
+from runledger.operators.ordered import null_safe_join, number_rows
 
 # Example length, and the label that marks padding.
 MAX_LENGTH = 128
@@ -51,7 +51,7 @@ def upsample_cyclic(samples: DataFrame, rows: int) -> DataFrame:
 
     Samples are numbered anew from 0 in the order of ``sample_idx``, which may have gaps.
     """
-    numbered = number_rows(samples, ["job_id"], ["sample_idx"], by_index("sample_idx"), "__no")
+    numbered = number_rows(samples, ["job_id"], ["sample_idx"], "__no")
     renumbered = numbered.withColumn("sample_idx", F.col("__no") - 1).drop("__no")
     counts = samples.groupBy("job_id").agg(F.count(F.lit(1)).alias("__n"))
     used = renumbered.filter(F.col("sample_idx") < rows)
@@ -74,7 +74,7 @@ def shuffle_batches(samples: DataFrame, epochs: int, batch_size: int, seed: int
     tickets = samples.select("job_id", "sample_idx", F.explode(
         F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")).withColumn(
         "__draw", F.md5(F.concat_ws("|", "job_id", "epoch", "sample_idx", F.lit(seed))))
-    numbered = number_rows(tickets, ["job_id", "epoch"], ["__draw", "sample_idx"], by_digits("__draw"), "__no")
+    numbered = number_rows(tickets, ["job_id", "epoch"], ["__draw", "sample_idx"], "__no")
     place = F.col("__no") - 1
     return numbered.select(
         "job_id", "epoch", F.floor(place / batch_size).alias("batch"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runledger import schemas
 from runledger.functions.losses import parse_loss
 from runledger.functions.timing import elapsed_s, present
-from runledger.operators.ordered import by_index, by_time, null_safe_join, number_rows, running_sums
+from runledger.operators.ordered import null_safe_join, number_rows, running_sums
 
 JOB = ["run_id", "job_id"]
 EVENT_ORDER = ["ts_us", "event_seq"]
@@ -104,7 +104,7 @@ def relative_timeline(
 def job_gantt(jobs: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Lane numbers (from 0) per run by relative start; ties by registration."""
     timeline = relative_timeline(jobs, expected=expected)
-    numbered = number_rows(timeline, ["run_id"], ["start_s", "reg_seq"], by_index("start_s", 3600), "__no")
+    numbered = number_rows(timeline, ["run_id"], ["start_s", "reg_seq"], "__no")
     return numbered.select(
         "run_id", (F.col("__no") - 1).alias("lane"), "job_id", "start_s", "end_s", "duration_s")
 
@@ -223,7 +223,7 @@ def step_progress(events: DataFrame, jobs: DataFrame, registrations: DataFrame)
     """
     steps = registered_events(registrations, events.filter(F.col("step_increment") > 0)).select(
         *JOB, *EVENT_ORDER, "step_increment")
-    counted = running_sums(steps, JOB, EVENT_ORDER, by_time("ts_us"), {"step": F.col("step_increment").cast("bigint")})
+    counted = running_sums(steps, JOB, EVENT_ORDER, {"step": F.col("step_increment").cast("bigint")})
     limits = jobs.select(*JOB, "max_steps", "n_samples", "batch_size")
     joined = null_safe_join(counted, limits, JOB, "inner")
     before = F.col("step") - F.col("step_increment")
@@ -253,7 +253,7 @@ def loss_history(events: DataFrame, registrations: DataFrame, block: int = 1000)
     parsed = events.select(*JOB, *EVENT_ORDER, parse_loss(F.col("loss_raw")).alias("loss")).filter(
         F.col("loss").isNotNull())
     losses = registered_events(registrations, parsed).select(*JOB, *EVENT_ORDER, "loss")
-    numbered = number_rows(losses, JOB, EVENT_ORDER, by_time("ts_us"), "__no")
+    numbered = number_rows(losses, JOB, EVENT_ORDER, "__no")
     blocks = numbered.withColumn("block", F.floor((F.col("__no") - 1) / block))
     ordered = F.array_sort(F.collect_list(F.struct("__no", "loss")))
     return blocks.groupBy(*JOB, "block").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runledger import schemas
 from runledger.functions import losses as loss_functions
 from runledger.operators.jobs import EVENT_ORDER, JOB
-from runledger.operators.ordered import by_time, number_rows, running_sums, with_lookback
+from runledger.operators.ordered import look_back, number_rows, running_sums, with_lookback
 
 # Event types and the defaults of the progress policies.
 LOSS_EVENTS = ("STEP_COMPLETED", "METRICS_REPORTED")
@@ -40,7 +40,7 @@ def parse_losses(events: DataFrame) -> DataFrame:
 def loss_delta(losses: DataFrame) -> DataFrame:
     """Previous loss minus this one, per job in event order; positive is improving."""
     return with_lookback(
-        losses, JOB, EVENT_ORDER, by_time("ts_us"), 1,
+        losses, JOB, EVENT_ORDER, 1,
         lambda window: {"delta": F.lag("loss").over(window) - F.col("loss")})
 
 
@@ -52,17 +52,24 @@ def rolling_progress(events: DataFrame, history_window: int = HISTORY_WINDOW) ->
     return rolling_rates(history_events(events), history_window)
 
 
-def rolling_rates(changes: DataFrame, history_window: int) -> DataFrame:
-    """rolling_progress over rows of history_events; other columns stay."""
-    marked = running_sums(
-        changes, JOB, EVENT_ORDER, by_time("ts_us"), {"segment": F.col("done").cast("bigint")})
+def rolling_rates(changes: DataFrame, history_window: int, path: str | None = None) -> DataFrame:
+    """rolling_progress over rows of history_events; other columns stay.  ``path``: as for
+    running_sums."""
+    # one pass numbers the histories of a job and the losses in them
+    done = F.col("done").cast("bigint")
+    marked = running_sums(changes, JOB, EVENT_ORDER, {"segment": done, "__row": 1 - done}, path=path)
     losses = marked.filter(~F.col("done")).drop("done")
 
     def rate(window):
-        recent = F.collect_list("loss").over(window.rowsBetween(1 - history_window, 0))
-        return {"history_size": F.size(recent), "rate": loss_functions.mean_decrease(recent)}
+        size = F.count("loss").over(window.rowsBetween(1 - history_window, 0))
+        drops = F.sum("__drop").over(window.rowsBetween(2 - history_window, 0))
+        return {
+            "__drop": F.lag("loss").over(window) - F.col("loss"),
+            "history_size": size.cast("int"),
+            "rate": loss_functions.mean_of_drops(drops, F.col("history_size")),
+        }
 
-    return with_lookback(losses, [*JOB, "segment"], EVENT_ORDER, by_time("ts_us"), history_window - 1, rate)
+    return look_back(losses, [*JOB, "segment"], "__row", history_window - 1, rate).drop("__row", "__drop")
 
 
 def newest_changes(changes: DataFrame, history_window: int) -> DataFrame:
@@ -112,5 +119,5 @@ def classify_progress(
 
 def interleave_jobs(items: DataFrame, order: list[str]) -> DataFrame:
     """Fair order: the first item of every job by job id, then the second of each, ..."""
-    numbered = number_rows(items, JOB, order, by_time(order[0]), "turn")
+    numbered = number_rows(items, JOB, order, "turn")
     return numbered.orderBy("run_id", "turn", "job_id")

@@ -4,42 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.operators.ordered import by_value, null_safe_join, running_sums
+from runledger.operators.ordered import null_safe_join
 
+#: Relative rank error of the sketches is 1 / ACCURACY; brackets reach SLACK times as far.
+ACCURACY, SLACK = 10_000, 3
 
-def _ranked_percentiles(
-    df: DataFrame, keys: Sequence[str], columns: Mapping[str, Mapping[str, float]],
-) -> DataFrame:
-    # Distinct values of all columns with their counts, in order: value v covers the
-    # 0-based positions from __upto - __n to __upto - 1 of its group and column.
-    tall = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("__which"), F.col(c).cast("double").alias("__value"))
-        for i, c in enumerate(columns)])).alias("__item")).select(*keys, "__item.*")
-    counts = (
-        tall.filter(F.col("__value").isNotNull())
-        .groupBy(*keys, "__which", "__value").agg(F.count(F.lit(1)).alias("__n"))
-    )
-    placed = running_sums(counts, [*keys, "__which"], ["__value"], by_value("__value"),
-                          {"__upto": F.col("__n")}, {"__upto": "__all"})
-
-    def at(which: int, position: Column) -> Column:
-        covers = (position >= F.col("__upto") - F.col("__n")) & (position < F.col("__upto"))
-        return F.max(F.when((F.col("__which") == which) & covers, F.col("__value")))
-
-    aggs, out = [], []
-    for i, wanted in enumerate(columns.values()):
-        aggs.append(F.max(F.when(F.col("__which") == i, F.col("__all"))).alias(f"__all{i}"))
-        for name, p in wanted.items():
-            position = F.lit(float(p)) * (F.col("__all") - 1)
-            aggs += [at(i, F.floor(position)).alias(f"__lo_{name}"), at(i, F.ceil(position)).alias(f"__hi_{name}")]
-            low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-            place = F.lit(float(p)) * (F.col(f"__all{i}") - 1)
-            between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
-            out.append(F.when(low == high, low).otherwise(between).alias(name))
-    return placed.groupBy(*keys).agg(*aggs).select(*keys, *out)
+
+def _bracketed(
+    df: DataFrame, keys: Sequence[str], columns: Mapping[str, Mapping[str, float]], extra: Sequence[Column],
+    accuracy: int,
+) -> tuple[DataFrame, list[tuple[str, str, float]], list[str]]:
+    """Per group ``extra``, the count of each column's values, and between which values every
+    wanted percentile lies; the (column, name, fraction) of the brackets; the names of extra."""
+    wanted = [(c, name, float(p)) for c, named in columns.items() for name, p in named.items()]
+    reach = SLACK / accuracy
+    aggs: list[Column] = []
+    for i, c in enumerate(columns):
+        value = F.col(c).cast("double")
+        fractions = [f for column, _, p in wanted if column == c for f in (max(0.0, p - reach), min(1.0, p + reach))]
+        # sketches don't order NaN: a group with one takes all its values
+        aggs += [
+            F.count(value).alias(f"__n{i}"), F.count_if(F.isnan(value)).alias(f"__nan{i}"),
+            F.percentile_approx(F.when(~F.isnan(value), value), F.array(*[F.lit(f) for f in fractions]), accuracy).alias(f"__at{i}"),
+        ]
+    grouped = df.groupBy(*keys).agg(*extra, *aggs)
+    kept = [c for c in grouped.columns if c not in keys and not c.startswith(("__n", "__at"))]
+    brackets = []
+    place = dict.fromkeys(columns, 0)
+    for c, _, _ in wanted:
+        i, j = list(columns).index(c), place[c]
+        place[c] += 2
+        # nor do they leave room for the neighbours of a percentile among few values
+        whole = (F.col(f"__nan{i}") > 0) | (F.col(f"__n{i}") <= accuracy)
+        brackets.append(F.struct(
+            F.when(~whole, F.get(f"__at{i}", F.lit(j))).alias("low"), F.when(~whole, F.get(f"__at{i}", F.lit(j + 1))).alias("high"),
+            F.col(f"__n{i}").alias("n")))
+    return grouped.select(*keys, *kept, F.array(*brackets).alias("__brackets")), wanted, kept
 
 
 def percentiles(
@@ -48,21 +51,59 @@ def percentiles(
     columns: Mapping[str, Mapping[str, float]],
     extra: Sequence[Column] = (),
     approx: bool = False,
-    accuracy: int = 10_000,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Percentiles per group: ``columns`` maps a value column to {output name: fraction}.
 
-    Exact unless ``approx``: distinct values are counted and ranked over many tasks, so
-    that no group's values meet in one.  ``extra`` aggregates ride along.
+    Exact unless ``approx``, by selection: sketches give two values that a percentile lies
+    between, then values below are counted and only those between are shuffled and ranked, a
+    few ten-thousandths of all for each percentile.  A sketch that missed its percentile fails
+    the query.  ``extra`` aggregates ride along.
     """
     if approx:
         aggs, picks = [], []
-        for i, (value, wanted) in enumerate(columns.items()):
-            fractions = F.array(*[F.lit(float(p)) for p in wanted.values()])
+        for i, (value, named) in enumerate(columns.items()):
+            fractions = F.array(*[F.lit(float(p)) for p in named.values()])
             aggs.append(F.percentile_approx(value, fractions, accuracy).alias(f"__p{i}"))
-            picks += [F.col(f"__p{i}")[j].cast("double").alias(n) for j, n in enumerate(wanted)]
+            picks += [F.col(f"__p{i}")[j].cast("double").alias(n) for j, n in enumerate(named)]
         grouped = df.groupBy(*keys).agg(*extra, *aggs)
         kept = [c for c in grouped.columns if not c.startswith("__p")]
         return grouped.select(*kept, *picks)
-    groups = df.groupBy(*keys).agg(*extra) if extra else df.select(*keys).distinct()
-    return null_safe_join(groups, _ranked_percentiles(df, keys, columns), keys)
+
+    groups, wanted, kept = _bracketed(df, keys, columns, extra, accuracy)
+    brackets = groups.select(*keys, "__brackets")
+    values = null_safe_join(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]), brackets, keys, "inner")
+
+    def entry(i: int, c: str) -> Column:
+        at = F.get("__brackets", F.lit(i))
+        below = F.coalesce(F.col(c) < at["low"], F.lit(False))
+        # null: below the bracket or above it
+        inside = F.when(~below & F.coalesce(F.col(c) <= at["high"], F.lit(True)), F.col(c))
+        return F.struct(F.lit(i).alias("which"), inside.alias("value"), below.alias("below"))
+
+    entries = F.filter(F.array(*[entry(i, c) for i, (c, _, _) in enumerate(wanted)]),
+                       lambda e: e["below"] | e["value"].isNotNull())
+    counts = values.select(*keys, F.explode(entries).alias("e")).groupBy(*keys, "e.which", "e.value").agg(
+        F.count(F.lit(1)).alias("__n"))
+    order = Window.partitionBy(*keys, "which").orderBy(F.col("value").asc_nulls_first())
+    placed = null_safe_join(
+        counts.withColumn("__upto", F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0))), brackets, keys, "inner")
+
+    all_values = F.get("__brackets", F.col("which"))["n"]
+    fraction = F.element_at(F.array(*[F.lit(p) for _, _, p in wanted]), F.col("which") + 1)
+    position = fraction * (all_values - 1)
+
+    def at(where: Column) -> Column:
+        covers = (where >= F.col("__upto") - F.col("__n")) & (where < F.col("__upto")) & F.col("value").isNotNull()
+        return F.max(F.when(covers, F.col("value")))
+
+    found = placed.groupBy(*keys, "which").agg(
+        at(F.floor(position)).alias("low"), at(F.ceil(position)).alias("high"), F.first(position).alias("place"))
+    low, high, place = F.col("low"), F.col("high"), F.col("place")
+    between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+    missed = low.isNull() | high.isNull()
+    result = F.when(missed, F.raise_error(F.lit("a sketch missed its percentile")).cast("double")).when(
+        low == high, low).otherwise(between)
+    wide = found.select(*keys, "which", result.alias("value")).groupBy(*keys).agg(*[
+        F.max(F.when(F.col("which") == i, F.col("value"))).alias(name) for i, (_, name, _) in enumerate(wanted)])
+    return null_safe_join(groups.select(*keys, *kept), wide, keys)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runledger.functions.paths import adapter_id
 from runledger.functions.timing import elapsed_ms, elapsed_s
 from runledger.functions.text import strip_prompt
-from runledger.operators.ordered import by_time, null_safe_join, number_rows, running_sums
+from runledger.operators.ordered import null_safe_join, number_rows, running_sums
 from runledger.operators.quantiles import percentiles
 
 # Generation defaults, inference batch size, reported percentiles.
@@ -170,8 +170,7 @@ def _with_box(results: DataFrame, key: str) -> DataFrame:
 def fifo_batches(requests: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
     """Number requests into batches of at most ``batch_size`` per (run, adapter), in arrival order."""
     numbered = number_rows(
-        adapter_id_from_path(requests), ["run_id", "adapter_id"], ["submission_us", "request_id"],
-        by_time("submission_us"), "__no")
+        adapter_id_from_path(requests), ["run_id", "adapter_id"], ["submission_us", "request_id"], "__no")
     return numbered.withColumns({
         "batch": F.floor((F.col("__no") - 1) / batch_size),
         "pos": (F.col("__no") - 1) % batch_size,
@@ -218,7 +217,7 @@ def cumulative_success(results: DataFrame, origin_us: Column) -> DataFrame:
                           & F.col("submission_us").isNotNull())
     counted = number_rows(
         done.select("run_id", "request_id", "processing_end_us"),
-        ["run_id"], ["processing_end_us", "request_id"], by_time("processing_end_us"), "successes")
+        ["run_id"], ["processing_end_us", "request_id"], "successes")
     points = counted.select(
         "run_id", elapsed_s(origin_us, F.col("processing_end_us")).alias("at_s"), "successes")
     start = done.select("run_id").distinct().select(
@@ -238,8 +237,7 @@ def queue_depth(results: DataFrame) -> DataFrame:
         F.struct(leaves.alias("ts_us"), F.lit(-1).cast("bigint").alias("change")),
     )).alias("step")).select("run_id", "request_id", "step.*").filter(F.col("ts_us").isNotNull())
     return running_sums(
-        changes, ["run_id"], ["ts_us", F.col("change").desc(), "request_id"], by_time("ts_us"),
-        {"depth": F.col("change")})
+        changes, ["run_id"], ["ts_us", F.col("change").desc(), "request_id"], {"depth": F.col("change")})
 
 
 # Sets

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger import schemas
-from runledger.operators.ordered import by_time, null_safe_join, number_rows
+from runledger.operators.ordered import null_safe_join
 
 # Fixed values of the submission format.
 TRAIN_JOB, INFERENCE_REQ = "TRAIN_JOB", "INFERENCE_REQ"
@@ -92,17 +92,19 @@ def first_registration(job_subs: DataFrame) -> DataFrame:
 def admission_cap(events: DataFrame, interval: str, limit: int, order: tuple[str, str] = ("submitted_us", "seq")) -> DataFrame:
     """Mark the first ``limit`` submissions per (run, interval) ``accepted``, the rest ``rejected``.
 
-    0 means no limit.  The cut is found among the keys alone, by numbering them in
-    chunks of the first of ``order``, a time, and then compared with every row, so that
-    the rows themselves are not sorted.  A null key is a group like any other.
+    0 means no limit.  The cut is the ``limit``-th submission among the keys alone: ranks beyond
+    it are pruned before the shuffle, so that a task hands on ``limit`` rows of a group
+    at most.  It is then compared with every row, so that the rows themselves are not
+    sorted.  A null key is a group like any other.
     """
     if limit <= 0:
         return events.withColumn("admission", F.lit("accepted"))
     keys = ["run_id", interval]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     cuts = (
-        number_rows(events.select(*keys, *order), keys, order, by_time(order[0]), "__rank")
-        .filter(F.col("__rank") == limit)
-        .select(*keys, F.struct(*order).alias("__cut"))
+        events.select(*keys, *order).withColumn("__rank", place).filter(F.col("__rank") <= limit)
+        .groupBy(*keys).agg(F.max("__rank").alias("__rank"), F.max(F.struct(*order)).alias("__cut"))
+        .filter(F.col("__rank") == limit).drop("__rank")
     )
     inside = F.col("__cut").isNull() | (F.struct(*order) <= F.col("__cut"))
     return (

@@ -43,9 +43,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/runledger/{uuid.uuid4().hex}"
 
 
-def write_scratch(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so that every later
-    use sees the same rows even after executors are lost."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+def write_scratch(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder (or over ``path``) and read it back, so that
+    every later use sees the same rows even after executors are lost."""
+    path = path or scratch_dir(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,11 +18,14 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture
-def small_groups(monkeypatch):
-    """Make chunks of so many microseconds or rows, so that small groups span several."""
+def small_groups(monkeypatch, spark):
+    """Make blocks of so many rows and, for few, chunks that Spark doesn't unite, so that small
+    groups span several."""
+    united = "spark.sql.adaptive.coalescePartitions.enabled"
+
     def limit(rows: int) -> None:
-        monkeypatch.setattr(ordered, "CHUNK_SECONDS", rows / 1e6)
-        monkeypatch.setattr(ordered, "CHUNK_ROWS", rows)
         monkeypatch.setattr(ordered, "BLOCK_ROWS", rows)
+        spark.conf.set(united, str(rows >= 1000).lower())
 
-    return limit
+    yield limit
+    spark.conf.set(united, "true")
