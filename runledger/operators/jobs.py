@@ -173,6 +173,10 @@ STATE = {
 }
 
 
+#: Columns of an event that its state is made of.
+STATE_INPUT = ["ts_us", "event_seq", "step_increment", "status", "error_message", "loss_raw"]
+
+
 def event_state() -> list[Column]:
     """What one event adds to its job's state."""
     is_error = F.col("error_message").isNotNull()
@@ -189,16 +193,25 @@ def event_state() -> list[Column]:
     return [column.cast(STATE[name]).alias(name) for name, column in columns.items()]
 
 
+def merged_state() -> list[Column]:
+    """Aggregates that make one state of any number of partial ones."""
+    how = {"steps": F.sum, "n_losses": F.sum, "first_error": F.min}
+    return [how.get(name, F.max)(name).alias(name) for name in STATE]
+
+
 def merge_states(states: DataFrame) -> DataFrame:
     """One state per job from any number of partial ones."""
-    how = {"steps": F.sum, "n_losses": F.sum, "first_error": F.min}
-    return states.groupBy(*JOB).agg(*[how.get(name, F.max)(name).alias(name) for name in STATE])
+    return states.groupBy(*JOB).agg(*merged_state())
 
 
 def finished_states(registrations: DataFrame, states: DataFrame) -> DataFrame:
     """The job's row from its registration and its merged state, if it has one."""
-    known = registrations.select(*JOB, "reg_seq", "start_us")
-    return null_safe_join(known, states, JOB).select(
+    return state_rows(null_safe_join(registrations.select(*JOB, "reg_seq", "start_us"), states, JOB))
+
+
+def state_rows(states: DataFrame) -> DataFrame:
+    """The jobs' rows from merged states with reg_seq and start_us."""
+    return states.select(
         *JOB, "reg_seq",
         F.coalesce("last_status.status", F.lit(schemas.ACTIVE)).alias("status"),
         "start_us",

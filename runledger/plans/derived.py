@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from runledger.operators.jobs import expected_vs_actual_jobs
 from runledger.plans import bindings
@@ -68,42 +71,45 @@ def listed_files(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("files"), F.bool_and(F.col("size") > 0).alias("filled"))
 
 
-def _event_stream(t: Tables) -> DataFrame:
-    """The events as a stream of one part of the table per trigger, oldest first."""
+def _stream_events(t: Tables, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Run a stream over the events, oldest first: it is stopped when it has read what is there
+    and goes on from its checkpoint when the next part of the table has come.
+
+    Parts are written by as many tasks as read the table; events without an id, or below 0,
+    come first.
+    """
     path, events = scratch_dir(t.spark), t.raw("events")
-    part = F.floor(F.col("event_id") * _TRIGGERS / (events.agg(F.max("event_id")).scalar() + 1))
-    for i in range(_TRIGGERS):  # written one after the other: streams take files by their time
-        events.filter(part == i).coalesce(1).write.parquet(f"{path}/{i}")
-    stream = (
-        t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
-    )
-    return bindings.events_in_micros(stream)
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    stream = t.spark.readStream.schema(events.schema).parquet(f"{path}/*")
+    cuts = [-(-(last + 1) * i // _TRIGGERS) for i in range(1, _TRIGGERS)]
+    for i in range(_TRIGGERS):
+        part = F.lit(True) if i == 0 else F.col("event_id") >= cuts[i - 1]
+        if i < len(cuts):
+            part &= F.coalesce(F.col("event_id") < cuts[i], F.lit(i == 0))
+        events.filter(part).write.parquet(f"{path}/{i}")
+        run(bindings.events_in_micros(stream)).awaitTermination()
 
 
 def streamed_progress(t: Tables) -> DataFrame:
     path = scratch_dir(t.spark)
-    events = bindings.bind_job_events(_event_stream(t))
-    progress.stream_progress(events, path, f"{path}/checkpoint").awaitTermination()
+    _stream_events(t, lambda events: progress.stream_progress(bindings.bind_job_events(events), path, f"{path}/checkpoint"))
     return t.spark.read.parquet(f"{path}/rows").drop("epoch")
 
 
 def streamed_job_state(t: Tables) -> DataFrame:
     path = scratch_dir(t.spark)
-    events = bindings.bind_job_events(_event_stream(t))
-    job_state.stream_job_state(events, path, f"{path}/checkpoint").awaitTermination()
+    _stream_events(t, lambda events: job_state.stream_job_state(bindings.bind_job_events(events), path, f"{path}/checkpoint"))
     return job_state.latest_state(t.spark, path).drop("n_losses")
 
 
 def streamed_outcomes(t: Tables) -> DataFrame:
     path = scratch_dir(t.spark)
-    run = F.col("user_id") % 3
-    counted = outcomes.stream_outcomes(bindings.bind_results(_event_stream(t), run.cast("string")))
-    outcomes.write_outcomes(counted, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
-    return outcomes.latest_outcomes(t.spark, f"{path}/rows")
+    run = (F.col("user_id") % 3).cast("string")
+    _stream_events(t, lambda events: outcomes.stream_outcomes(bindings.bind_results(events, run), path, f"{path}/checkpoint"))
+    return outcomes.latest_outcomes(t.spark, path)
 
 
 def streamed_submissions(t: Tables) -> DataFrame:
     path = scratch_dir(t.spark)
-    stream = bindings.bind_submissions(_event_stream(t))
-    ingest.stream_ingest(stream, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    _stream_events(t, lambda events: ingest.stream_ingest(bindings.bind_submissions(events), f"{path}/rows", f"{path}/checkpoint"))
     return t.spark.read.parquet(f"{path}/rows").select("run_id", "seq", "sink")
