@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 FOUND = "array<struct<kind:string,start:bigint,end:bigint>>"
 KINDS = ("email", "ip", "card", "phone")
 
-# The base rules.
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The base rules.  All patterns take time in proportion to the text: a run is
+# tried from its first character only, since what follows it is the same from every other.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]")
@@ -51,16 +53,32 @@ def _is_phone(match: str) -> bool:
     return 8 <= len(_NO_DIGIT.sub("", match)) <= 15
 
 
-_RULES = (  # kind, a character without which nothing matches, pattern, test
-    ("email", "@", _EMAIL, lambda m: True), ("ip", ".", _IP, _is_ip),
-    ("card", "", _CARD, _is_card), ("phone", "+", _PHONE, _is_phone),
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`, read outwards from each @."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        before = text[free:at]
+        name = len(before) - len(before.rstrip(_LOCAL))
+        domain = _DOMAIN.match(text, at + 1) if name else None
+        if domain:
+            yield at - name, domain.end()
+        free = domain.end() if domain else at + 1
+        at = text.find("@", free)
+
+
+def _spans(pattern: re.Pattern, holds: Callable[[str], bool]) -> Callable[[str], Iterator[tuple[int, int]]]:
+    return lambda text: (m.span() for m in pattern.finditer(text) if holds(m[0]))
+
+
+_RULES = (  # kind, a character without which nothing matches, the spans in a text
+    ("email", "@", _emails), ("ip", ".", _spans(_IP, _is_ip)),
+    ("card", "", _spans(_CARD, _is_card)), ("phone", "+", _spans(_PHONE, _is_phone)),
 )
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points by kind, then start."""
-    return [(kind, *m.span()) for kind, needs, pattern, holds in _RULES if needs in text
-            for m in pattern.finditer(text) if holds(m[0])]
+    return [(kind, *span) for kind, needs, spans in _RULES if needs in text for span in spans(text)]
 
 
 class Rewritten(NamedTuple):
@@ -119,25 +137,30 @@ _GAP = re.compile(r"[\s,-]{0,3}")
 _SPLIT = str.maketrans(dict.fromkeys("-,.()[]{}<>", " "))
 
 _DOTS = ("dot", "punkt", "point", "punto")
-_DOT_WORD, _AT_WORD = f"(?:{'|'.join(_DOTS)})", "(?:at|arroba)"
+_AT_WORDS = ("at", "arroba")
+_DOT_WORD, _AT_WORD = f"(?:{'|'.join(_DOTS)})", f"(?:{'|'.join(_AT_WORDS)})"
 _OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
 # What may stand between spelled digits as well: a dot, or round brackets.
 _GAP_DOT = re.compile(rf"\s+{_DOT_WORD}\s+|\s*{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}\s*|\.", re.I)
 _GAP_BRACKET = re.compile(r"[\s,-]{0,3}[()]{1,2}[\s,-]{0,3}")
 _NO_BRACKET = re.compile(r"[^()]")
-_AT = re.compile(rf"\s*{_OPEN}(?:{_AT_WORD}|@){_CLOSE}\s*", re.I)
-_DOT = re.compile(rf"\s*{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}\s*|(?<=[0-9])\s+{_DOT_WORD}\s+(?=[0-9])", re.I)
-# Without brackets the words are taken for signs only in a whole address with a usual end.
+_AT = re.compile(rf"[\[({{<]\s*+(?:{_AT_WORD}|@)\s*+[\])}}>]", re.I)
+_DOT = re.compile(rf"[\[({{<]\s*+(?:{_DOT_WORD}|\.)\s*+[\])}}>]|(?<=[0-9])\s++{_DOT_WORD}\s++(?=[0-9])", re.I)
+# Without brackets the words are taken for signs only in a whole address with a usual end, its
+# parts no longer than addresses allow: 64 characters before the sign, 63 in a label.
 _ENDS = "com|org|net|edu|gov|info|biz|io|dev|ai|co|uk|de|fr|es|it|eu|ch|at|nl|us"
-_NAME = rf"[A-Za-z0-9_%+-]+(?:(?:\.|\s+{_DOT_WORD}\s+)[A-Za-z0-9_%+-]+)*"
-_HOST = rf"[A-Za-z0-9-]+(?:(?:\.|\s+{_DOT_WORD}\s+)[A-Za-z0-9-]+)*?\s+{_DOT_WORD}\s+(?:{_ENDS})"
-_SAID = re.compile(rf"{_NAME}\s+{_AT_WORD}\s+{_HOST}(?!\w)", re.I)
-_SAID_AT, _SAID_DOT = re.compile(rf"\s+{_AT_WORD}\s+(?=\S+(?:\s+{_DOT_WORD}\s+\S+)+$)", re.I), re.compile(rf"\s+{_DOT_WORD}\s+", re.I)
+_NAME_PART, _MOST_NAME, _MOST_PARTS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-", 64, 10
+_LABEL = r"[A-Za-z0-9-]{1,63}+"
+_SAID_AT = re.compile(rf"(?<=\s){_AT_WORD}(?=\s)", re.I)
+_SAID_DOT = re.compile(rf"\s++{_DOT_WORD}\s++", re.I)
+_DOT_BEFORE = re.compile(rf"\s{{1,8}}{_DOT_WORD}\s{{1,8}}$", re.I)
+_HOST = re.compile(
+    rf"{_LABEL}(?:(?:\.|\s++{_DOT_WORD}\s++){_LABEL}){{0,{_MOST_PARTS}}}?\s++{_DOT_WORD}\s++(?:{_ENDS})(?!\w)", re.I)
 
 # "name at example.com": an end like It starts a sentence; a whole address unless the word before is one that leads to a place.
-_PLAIN_HOST = rf"[A-Za-z0-9-]+(?:(?:\.|\s+{_DOT_WORD}\s+)[A-Za-z0-9-]+)*?\.(?-i:{_ENDS}|{_ENDS.upper()})(?![\w/:@-]|\.\w)"
-_PLAIN_AT = re.compile(rf"\s+{_AT_WORD}\s+(?={_PLAIN_HOST})", re.I)
-_PLAIN = re.compile(rf"(?<![\w.%+@-])({_NAME})\s+{_AT_WORD}\s+{_PLAIN_HOST}", re.I)
+_PLAIN_HOST = re.compile(
+    rf"{_LABEL}(?:(?:\.|\s++{_DOT_WORD}\s++){_LABEL}){{0,{_MOST_PARTS}}}?\.(?-i:{_ENDS}|{_ENDS.upper()})(?![\w/:@-]|\.\w)", re.I)
+_IN_NAME = re.compile(r"[\w.%+@-]")
 _LEADS = frozenset(
     "a about all and are article available be blog book books buy call check code contact data details docs "
     "documentation download email file files find follow found free go he help here him his home hosted i in info "
@@ -146,25 +169,80 @@ _LEADS = frozenset(
     "the them there these they this today up us version video visit was we web website were work working works you".split())
 
 
+def _name_before(text: str, end: int, floor: int) -> int | None:
+    """Where a name that ends at ``end`` begins: parts between dots or dot words."""
+    start = None
+    for _ in range(_MOST_PARTS):
+        low = max(floor, end - _MOST_NAME - 1)
+        part = text[low:end]
+        size = len(part) - len(part.rstrip(_NAME_PART))
+        if not 0 < size <= _MOST_NAME:
+            break
+        start = end - size
+        word = _DOT_BEFORE.search(text, max(floor, start - 24), start)
+        if start > floor and text[start - 1] == ".":
+            end = start - 1
+        elif word:
+            end = word.start()
+        else:
+            break
+    return start
+
+
+def _addresses(text: str, host: re.Pattern) -> Iterator[tuple[int, int, int, int]]:
+    """(start of the name, its end, start of the host, its end) of "name at host"."""
+    floor = 0
+    for at in _SAID_AT.finditer(text):
+        if at.start() < floor:
+            continue
+        stop = at.start()
+        while stop > floor and text[stop - 1].isspace():
+            stop -= 1
+        first = at.end()
+        while first < len(text) and text[first].isspace():
+            first += 1
+        found = host.match(text, first)
+        start = _name_before(text, stop, floor) if found else None
+        if start is not None:
+            yield start, stop, first, found.end()
+            floor = found.end()
+
+
+def _signs(text: str, found: Iterable[tuple[int, int, int, int]]) -> list[tuple[int, int, str]]:
+    edits = []
+    for start, stop, first, end in found:
+        edits += [(*d.span(), ".") for d in _SAID_DOT.finditer(text, start, stop)]
+        edits.append((stop, first, "@"))
+        edits += [(*d.span(), ".") for d in _SAID_DOT.finditer(text, first, end)]
+    return edits
+
+
 def _said(now: Rewritten) -> Rewritten:
     """Write "name at host dot com" with signs."""
-    edits = []
-    for m in _SAID.finditer(now.text):
-        at = _SAID_AT.search(m[0])
-        signs = [(at.start(), at.end(), "@"), *((d.start(), d.end(), ".") for d in _SAID_DOT.finditer(m[0]))]
-        edits += [(m.start() + s, m.start() + e, sign) for s, e, sign in sorted(signs)]
+    edits = _signs(now.text, _addresses(now.text, _HOST))
     return _replace(now, edits) if edits else now
 
 
 def _said_plain(now: Rewritten) -> Rewritten:
     """Write "name at example.com" with signs."""
-    edits = []
-    for m in _PLAIN.finditer(now.text):
-        if m[1].lower() in _LEADS:
-            continue
-        at = _PLAIN_AT.search(now.text, m.end(1))
-        signs = [(at.start(), at.end(), "@"), *((d.start(), d.end(), ".") for d in _SAID_DOT.finditer(now.text, m.start(), m.end()))]
-        edits += sorted(signs)
+    text = now.text
+    edits = _signs(text, (
+        a for a in _addresses(text, _PLAIN_HOST)
+        if text[a[0]:a[1]].lower() not in _LEADS and not (a[0] and _IN_NAME.match(text[a[0] - 1]))))
+    return _replace(now, edits) if edits else now
+
+
+def _bracketed(now: Rewritten, pattern: re.Pattern, sign: str) -> Rewritten:
+    """Write a sign for what ``pattern`` finds, and the blanks on both sides."""
+    text, floor, edits = now.text, 0, []
+    for m in pattern.finditer(text):
+        start, end = m.span()
+        while start > floor and text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        edits.append((start, end, sign))
+        floor = end
     return _replace(now, edits) if edits else now
 
 
@@ -225,14 +303,14 @@ def rewrite(text: str) -> Rewritten | None:
     spelled = not _DIGIT_OF.keys().isdisjoint(low.translate(_SPLIT).split())
     bracket = any(c in low for c in "[({<")
     dotted = any(word in low for word in _DOTS)
-    plain = "." in low and _PLAIN_AT.search(now.text if now else text)
+    plain = "." in low and any(True for _ in _addresses(now.text if now else text, _PLAIN_HOST))
     if not (glyph or spelled or bracket or dotted or plain):
         return None
     now = now or _source(text)
     if spelled:
         now = _spell(now)
     if bracket or dotted:
-        now = _rewrite(_rewrite(now, _AT, lambda m: "@"), _DOT, lambda m: ".")
+        now = _bracketed(_bracketed(now, _AT, "@"), _DOT, ".")
     now = _said(now) if dotted else now
     return _said_plain(now) if plain else now
 

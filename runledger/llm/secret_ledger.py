@@ -9,6 +9,7 @@ to every path and version that holds the blob.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from runledger.session import scratch_dir
 
 FOUND = "array<struct<kind:string,start:bigint,end:bigint>>"
+#: Parts that the rows of one blob are dealt to in the last join.
+PARTS = 16
 LEDGER = f"blob string, rule_version string, found {FOUND}"
 
 # The base rules.
@@ -28,8 +31,35 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # a run is taken whole, so the shorter ones need no match
 BASE = ("assign", "access", "hex")
 
-_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:.*?-----END [A-Z ]*PRIVATE KEY-----)?", re.S)
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")
+_BEGIN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_END = re.compile(r"(?=(-----END [A-Z ]*PRIVATE KEY-----))")
+_RUN = re.compile(r"[A-Za-z0-9_-]++")
+
+
+def _pem_keys(text: str) -> Iterator[tuple[int, int]]:
+    """A header of a private key, with all up to the next footer if there is one."""
+    ends = [m.span(1) for m in _END.finditer(text)]
+    starts, free = [s for s, _ in ends], 0
+    for m in _BEGIN.finditer(text):
+        if m.start() >= free:
+            i = bisect_left(starts, m.end())
+            free = ends[i][1] if i < len(ends) else m.end()
+            yield m.start(), free
+
+
+def _web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of `eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{16,}`: three runs with
+    a dot between them."""
+    at = text.find("eyJ")
+    while at >= 0:
+        one = _RUN.match(text, at)
+        two = _RUN.match(text, one.end() + 1) if text[one.end():one.end() + 4] == ".eyJ" else None
+        three = _RUN.match(text, two.end() + 1) if two and text[two.end():two.end() + 1] == "." else None
+        if three and min(len(one[0]), len(two[0])) >= 11 and len(three[0]) >= 16:
+            yield at, three.end()
+            at = text.find("eyJ", three.end())
+        else:
+            at = text.find("eyJ", one.end())  # what follows this run is the same from every place in it
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
@@ -43,9 +73,9 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if "-----BEGIN" in text:
-        found += [("pem", *m.span()) for m in _PEM.finditer(text)]
+        found += [("pem", *span) for span in _pem_keys(text)]
     if "eyJ" in text:
-        found += [("jwt", *m.span()) for m in _JWT.finditer(text)]
+        found += [("jwt", *span) for span in _web_tokens(text)]
     kinds = [*BASE, "pem", "jwt"]
     return sorted(found, key=lambda f: (f[1], kinds.index(f[0])))
 
@@ -104,5 +134,9 @@ def scan_versions(versions: DataFrame, ledger_path: str | None = None, rules: Ru
     path = ledger_path or scratch_dir(versions.sparkSession)
     ledger = update_ledger(versions, path, rules).filter(F.col("rule_version") == rules.version)
     keyed = versions.select("path", "version", blob_id(F.col("text")).alias("blob"))
-    found = ledger.groupBy("blob").agg(F.first("found").alias("found"))
-    return keyed.join(found, "blob").select("path", "version", "blob", "found")
+    # most blobs hold nothing; one that does is repeated for each of the parts that its rows are dealt to
+    found = ledger.filter(F.size("found") > 0).groupBy("blob").agg(F.first("found").alias("found")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = keyed.withColumn("part", F.pmod(F.xxhash64("path", "version"), F.lit(PARTS)).cast("int"))
+    none = F.array().cast(FOUND)
+    return dealt.join(found, ["blob", "part"], "left").select("path", "version", "blob", F.coalesce("found", none).alias("found"))
