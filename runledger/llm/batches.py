@@ -1,5 +1,6 @@
-"""Python over the rows of a column in small pieces, so that a worker's memory stays small.
+"""What several operators share.
 
+Python runs over the rows of a column in small pieces, so that a worker's memory stays small:
 Arrow batches hold thousands of rows; only ``rows`` of them at a time become Python objects.
 """
 
@@ -61,3 +62,27 @@ def once(key: str, make: Callable[[], object]) -> object:
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def free_name(wanted: str, taken: Sequence[str]) -> str:
+    """``wanted``, with underscores until no column of ``taken`` has that name in any case."""
+    known = {name.lower() for name in taken}
+    while wanted.lower() in known:
+        wanted += "_"
+    return wanted
+
+
+#: Keys with more than one in so many rows are joined apart; there can't be more of them.
+MOST_HOT = 1000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: list[str], total: int) -> DataFrame:
+    """``rows`` joined to ``keyed``: one row for each key, with the number ``n`` of its rows among
+    ``total``, that does not stay.
+
+    Keys with more than their share of all rows, ``MOST_HOT`` at most, are sent to all tasks, so
+    that none gets more than that share of rows with one key.  Both tables are read twice.
+    """
+    hot = F.broadcast(keyed.filter(F.col("n") > total / MOST_HOT))
+    usual = rows.join(hot.select(key), key, "left_anti").join(keyed, key)
+    return rows.join(hot, key).unionByName(usual).drop("n")

@@ -81,10 +81,11 @@ class Ratios:
         whole = self.ratio(raw)
         band = next(b for b in self.bands if len(raw) < b.below)
         bad = measured = 0
-        for at in range(0, len(raw), self.chunk):
-            part = raw[at:at + self.chunk]
-            if len(part) * 4 < self.chunk:
-                continue  # too short a rest to measure
+        starts = list(range(0, len(raw), self.chunk))
+        if (len(raw) - (starts[-1] if starts else 0)) * 4 < self.chunk:
+            starts.pop() if starts else None  # a short rest is measured with the chunk before it
+        for at, stop in zip(starts, [*starts[1:], len(raw)]):
+            part = raw[at:stop]
             measured += len(part)
             if not self.chunk_band.least <= self.ratio(part) <= self.chunk_band.most:
                 bad += len(part)

@@ -27,7 +27,7 @@ def op2_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_winnow.drop_copied_lines(_table(spark, sf_dir, "documents")).select(
+    return line_winnow.drop_copied_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_deleted", "text")
 
 
@@ -47,7 +47,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mix_documents(docs, share=0.6, max_epochs=2, seed=17).select(
         "doc_id", domain(F.col("source")).alias("domain"), "lang", "source",
         mixing.word_tokens().alias("n_tokens"), "copies")
@@ -201,18 +201,17 @@ QUERIES = {f.__name__: f for f in (
 ORACLES = {
     "op1_va_file_top_k": """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+  SELECT row_number() OVER () AS place, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.place AS query, q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.place <> c.place AND len(q.v) = len(c.v)
 )
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
+FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id NULLS LAST) AS place FROM scored)
 WHERE place <= 20
 """,
     "op3_line_winnowing": r"""

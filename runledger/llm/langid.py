@@ -17,7 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.llm.batches import map_rows, map_text
@@ -26,7 +26,6 @@ from runledger.session import write_scratch
 BUCKETS = 1 << 16
 _LENGTHS = (1, 2, 3, 4)
 _OTHER = re.compile(r"[\W\d_]+")
-_STEP = 1 << 20
 
 UNKNOWN = "und"
 
@@ -111,43 +110,45 @@ def train(
     text: str = "text",
     per_label: int = 600,
     landmarks_per_label: int = 64,
-    most_labels: int = 500,
+    most_landmarks: int = 4096,
     ridge: float = 0.1,
 ) -> Model:
-    """Fit a model on about ``per_label`` distinct texts of each label.
+    """Fit a model on ``per_label`` distinct texts of each label, or all of fewer.
 
-    The texts are those whose hash falls below a share that depends on the label's
-    number of distinct texts; copies count once.  Null labels and texts without a letter
-    are left out; of more than ``most_labels`` labels the most frequent are learned.  No
+    The texts are those with the smallest hashes; copies count once.  Null labels and texts
+    without a letter are left out.  All labels are learned.  Landmarks are what the driver and
+    every task hold: ``most_landmarks`` in total, spread evenly over the labels, at least
+    one and at most ``landmarks_per_label`` for each; more labels than that are an error.  No
     rows give a model that knows no language.
     """
     rows = labelled.select(F.col(label).alias("label"), F.col(text).alias("text")).filter(
         F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = rows.withColumn("hash", F.xxhash64("text"))
-    counts = (
-        hashed.select("label", "hash").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "label").limit(most_labels).collect()
-    )
-    labels = sorted(r.label for r in counts)
+    # a task hands on per_label hashes of a label at most
+    smallest = Window.partitionBy("label").orderBy("hash")
+    chosen = write_scratch(hashed.select("label", "hash").distinct().withColumn("no", F.row_number().over(smallest)).filter(
+        F.col("no") <= per_label))
+    labels = sorted(r.label for r in chosen.select("label").distinct().limit(most_landmarks + 1).collect())
+    if len(labels) > most_landmarks:
+        raise ValueError(f"more than {most_landmarks} labels; raise most_landmarks")
     if not labels:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, BUCKETS // 8), np.uint8), np.zeros(0))
-    # a few standard deviations more than needed, so that small labels give all they have
-    bar = F.create_map(*[x for r in counts for x in (
-        F.lit(r.label), F.lit(min(_STEP, int(_STEP * (per_label + 3 * per_label ** 0.5) / r.n) + 1)))])
-    chosen = hashed.filter(F.pmod(F.col("hash"), F.lit(_STEP)) < bar[F.col("label")])
+    landmarks_per_label = min(landmarks_per_label, most_landmarks // len(labels))
 
     def grams(names: list, hashes: list, texts: list) -> list:
         get = Grams()
         return [names, hashes, [get(t).tobytes() for t in texts]]
 
     sample = write_scratch(map_rows(
-        chosen.dropDuplicates(["label", "hash"]).select("label", "hash", "text"), grams,
+        # at most per_label rows for each of most_landmarks labels
+        hashed.join(F.broadcast(chosen.select("label", "hash")), ["label", "hash"], "left_semi")
+        .dropDuplicates(["label", "hash"]).select("label", "hash", "text"), grams,
         "label string, hash bigint, grams binary"))
     spark = sample.sparkSession
     picked: dict[str, list[int]] = {}
-    for r in sample.select("label", "hash").orderBy("label", "hash").collect():  # most_labels * per_label at most
+    for r in chosen.filter(F.col("no") <= landmarks_per_label).orderBy("label", "hash").collect():  # most_landmarks at most
         picked.setdefault(r.label, []).append(r.hash)
-    wanted = {(name, h) for name, hashes in picked.items() for h in hashes[:landmarks_per_label]}
+    wanted = {(name, h) for name, hashes in picked.items() for h in hashes}
     wanted_df = spark.createDataFrame(sorted(wanted), "label string, hash bigint")
     landmarks = sample.join(wanted_df, ["label", "hash"]).orderBy("label", "hash").collect()
     marks = [np.frombuffer(r.grams, np.int32) for r in landmarks]
@@ -181,8 +182,8 @@ def train(
         return pd.DataFrame({"label": [texts["label"].iloc[0]], "known": [np.packbits(times >= least).tobytes()],
                              "least": [float(np.quantile(shares, 0.01))]})
 
-    shared = spark.sparkContext.broadcast(table)  # 64 landmarks of 64 kB for each label
-    sums = sample.repartition(4).mapInPandas(equations, "a binary, b binary").collect()
+    shared = spark.sparkContext.broadcast(table)  # most_landmarks times 64 kB at most
+    sums = sample.repartition(spark.sparkContext.defaultParallelism).mapInPandas(equations, "a binary, b binary").collect()
     m, c = len(marks), len(labels)
     left = sum(np.frombuffer(r.a).reshape(m, m) for r in sums)
     right = sum(np.frombuffer(r.b).reshape(m, c) for r in sums)

@@ -106,8 +106,11 @@ def mix(
     max_epochs: int = 2,
     seed: int = 0,
     tokens: Column | None = None,
+    copies: str = "copies",
 ) -> DataFrame:
-    """The documents that are taken, with ``copies`` (bigint): the number of epochs.
+    """The documents that are taken, with a column ``copies`` (bigint): the number of epochs.
+
+    A column of that name in ``docs`` is an error; give another name then.
 
     ``tree`` are the columns of the levels, root first.  The budget is ``share`` of all
     tokens (words unless ``tokens`` says otherwise).  A leaf with a budget takes at
@@ -116,6 +119,8 @@ def mix(
     and are taken together; null doc_ids count as one id.  Documents without tokens are
     taken only along with others.  All columns are kept; an empty table gives an empty one.
     """
+    if copies.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"docs has a column {copies}")
     levels = len(tree)
     paths = [f"p{i}" for i in range(levels)]
     tokens = word_tokens() if tokens is None else tokens
@@ -161,6 +166,6 @@ def mix(
     packed = docs.select(F.struct(*docs.columns).alias("row"), *place, ident.alias("id"))
     taken = F.col("full") + F.when(key("id") <= F.col("last"), 1).otherwise(0)
     return (
-        packed.join(small(bounds), paths).withColumn("copies", taken.cast("bigint")).filter("copies > 0")
-        .select("row.*", "copies")
+        packed.join(small(bounds), paths).withColumn("taken", taken.cast("bigint")).filter("taken > 0")
+        .select("row.*", F.col("taken").alias(copies))
     )

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.operators.ordered import cut_by_range
 from runledger.session import write_scratch
 
 _BLOCK = "block_key bigint, dim int, n int, ids binary, low binary, step binary, cells binary, vectors binary"
@@ -35,20 +36,16 @@ _EXACT = 2.0 ** 53
 
 
 def integer_vectors(embeddings: DataFrame, id_column: str, vector_column: str, scale: int = 64) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component, one row for each id.
-
-    Rows with a null id, a null vector, or a null, NaN or infinite component are left
-    out.  Of several rows with one id the smallest vector counts.
-    """
+    """(vec_id, v): floor(scale * x) of each component, for every row but those with a null
+    vector or a null, NaN or infinite component."""
     x = F.col(vector_column)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return (
-        embeddings.filter(F.col(id_column).isNotNull() & finite)
+        embeddings.filter(finite)
         .select(
             F.col(id_column).cast("bigint").alias("vec_id"),
             F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v"),
         )
-        .groupBy("vec_id").agg(F.min("v").alias("v"))
     )
 
 
@@ -189,18 +186,23 @@ def top_k(
     """Each query's ``k`` highest integer inner products: (query_id, rank, vec_id, score).
 
     ``is_query`` picks the queries, as a condition on ``vec_id``; candidates are all rows
-    but the query's own.  Ties go to the smaller id; with fewer than k candidates all
-    are returned.  Vectors of other lengths than the query's are no candidates.
+    but the query's own.  Ties go to the smaller id, null last; with fewer than k candidates
+    all are returned.  Rows that share an id, or have none, are rows like any other: each is a
+    candidate, and each that ``is_query`` picks a query with results of its own under
+    that id.  Vectors of other lengths than the query's are no candidates.
     Components beyond a long are cut to it by ``floor``, scores beyond one by this
     operator.  Empty tables give no rows; other columns are not read.
     """
     spark = embeddings.sparkSession
-    vectors = write_scratch(integer_vectors(embeddings, id_column, vector_column, scale))
+    # rows are numbered in the order of their ids, so that ties go by the number
+    numbered = cut_by_range(integer_vectors(embeddings, id_column, vector_column, scale), [], [F.col("vec_id").asc_nulls_last()])
+    vectors = numbered.select(F.col("__at").alias("row"), "vec_id", "v")
+    as_rows = [F.col("row").alias("vec_id"), "v"]
     parts = max(spark.sparkContext.defaultParallelism, -(-vectors.count() // block_rows))
-    blocks = write_scratch(vectors.repartition(parts).mapInPandas(_pack(block_rows, bits), _BLOCK))
+    blocks = write_scratch(vectors.select(as_rows).repartition(parts).mapInPandas(_pack(block_rows, bits), _BLOCK))
     asked = vectors.filter(is_query)
     query_parts = -(-asked.count() // block_rows) or 1
-    packed = asked.coalesce(query_parts).mapInPandas(_pack(block_rows, bits), _BLOCK)
+    packed = asked.select(as_rows).repartition(query_parts).mapInPandas(_pack(block_rows, bits), _BLOCK)
     as_long = F.col("block_key").alias("q_key")
     queries = write_scratch(packed.mapInPandas(_widen, "block_key bigint, dim int, q_n int, q_ids binary, q_vectors binary")
                             .select(as_long, "dim", "q_n", "q_ids", "q_vectors"))
@@ -220,8 +222,14 @@ def top_k(
     )
     found = tiled(queries.join(reached, "q_key", "left")).mapInPandas(_read(k), _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def ids(name: str) -> DataFrame:
+        return vectors.select(F.col("row").alias(f"{name}_row"), F.col("vec_id").alias(name))
+
     return (
-        found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        ranked.select(F.col("query_id").alias("query_id_row"), "rank", F.col("vec_id").alias("vec_id_row"), "score")
+        .join(ids("query_id"), "query_id_row").join(ids("vec_id"), "vec_id_row")
         .select("query_id", "rank", "vec_id", "score")
     )
 

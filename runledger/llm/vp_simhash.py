@@ -8,12 +8,6 @@ fingerprint beyond a radius goes outside, and also inside if it lies within the
 linking distance of the radius; by the triangle inequality two linked fingerprints meet
 in a shard.  Inside a shard a smaller tree of the same kind prunes what is compared.
 
-``drop_near_duplicates`` looks for a similarity instead of a few bits: it takes 256 bits,
-whose share of differing ones estimates the cosine of two texts, and starts from shards
-of texts of about one size.  At such distances the triangle inequality rarely saves
-anything, and shards are compared by pairs of blocks.  Its links are candidates only:
-``similar_texts`` compares the shingles of texts that they connect.
-
 A shard gives a spanning forest of its links, not the links themselves: within a group
 of n near copies that is n - 1 rows.  Components over the forests are those of all links.
 """
@@ -26,16 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.batches import map_rows, map_text
+from runledger.llm.batches import join_counted, map_rows
 from runledger.llm.components import connected_components
 from runledger.session import write_scratch
 
 _SEED = 42
 _PIECE = 100_000
 
-#: Words of 64 bits in a wide fingerprint.
-WIDE = 4
-
 
 def text_fingerprint(text: str | None, shingle: int = 3) -> int:
     """SimHash of the lower-cased (A-Z) words of ``text``, as a signed 64-bit number."""
@@ -51,42 +42,18 @@ def text_fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp bigint) for every row of ``docs``; null texts count as empty."""
-    def scan(ids: list, texts: list) -> list:
-        return [ids, [text_fingerprint(t, shingle) for t in texts]]
+def _digest() -> Column:
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
 
-    return map_rows(docs.select(F.col("doc_id").cast("bigint"), "text"), scan, "doc_id bigint, fp bigint")
 
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, digest, fp bigint) for every row of ``docs``, the digest that of the text; null
+    texts count as empty."""
+    def scan(ids: list, digests: list, texts: list) -> list:
+        return [ids, digests, [text_fingerprint(t, shingle) for t in texts]]
 
-def _wide(text: str | None, shingle: int) -> tuple[list[int], np.ndarray]:
-    """SimHash of ``WIDE`` 64-bit words, and the distinct shingles as sorted hashes.  Each
-    distinct shingle has one vote."""
-    words = (text or "").encode().lower().split()
-    seen = np.zeros(0, np.int64)
-    if not words:
-        return [0] * WIDE, seen
-    total, ones = max(1, len(words) - shingle + 1), np.zeros(64 * WIDE, np.int64)
-    for at in range(0, total, _PIECE):
-        part = words[at:at + _PIECE + shingle - 1]
-        runs = {b" ".join(part)} if len(words) < shingle else set(map(b" ".join, zip(*[part[i:] for i in range(shingle)])))
-        halves = [b"".join([xxhash.xxh3_128_digest(r, seed) for r in runs]) for seed in range(WIDE // 2)]
-        raw = [np.frombuffer(h, np.uint8).reshape(-1, 16) for h in halves]
-        keys = np.ascontiguousarray(raw[0][:, :8]).view("<i8").ravel()
-        new = ~np.isin(keys, seen)  # not in an earlier piece
-        for i, h in enumerate(raw):
-            h = h[new]
-            for begin in range(0, len(h), 4096):  # bits take eight times the memory
-                bits = np.unpackbits(h[begin:begin + 4096], axis=1, bitorder="little")
-                ones[128 * i:128 * (i + 1)] += bits.sum(0, dtype=np.int64)
-        seen = np.union1d(seen, keys)
-    return np.packbits(2 * ones > len(seen), bitorder="little").view("<i8").tolist(), seen
-
-
-def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[list[int], int]:
-    """SimHash of ``WIDE`` 64-bit words, and the number of distinct shingles."""
-    words, seen = _wide(text, shingle)
-    return words, len(seen)
+    named = docs.select(F.col("doc_id").cast("bigint"), _digest().alias("digest"), "text")
+    return map_rows(named, scan, "doc_id bigint, digest string, fp bigint")
 
 
 def _distance(words: list[str], point: str) -> Column:
@@ -242,7 +209,15 @@ def similar_links(
         links = np.array(_forest(fps, near), np.int64).reshape(-1, 2)
         return pd.DataFrame(nodes[links], columns=["a", "b"])
 
-    return cells.groupBy("shard", "one", "two").applyInPandas(compare, "a bigint, b bigint")
+    # by all three: rows that a join left together by shard alone would stay in one task
+    return cells.repartition("shard", "one", "two").groupBy("shard", "one", "two").applyInPandas(compare, "a bigint, b bigint")
+
+
+def _grouped(points: DataFrame, near: int) -> DataFrame:
+    """``points``, one row for each fingerprint ``fp``, with the number of their ``group``."""
+    nodes = points.select(F.lit(0).cast("bigint").alias("shard"), F.col("fp").alias("node"), "fp")
+    groups = connected_components(similar_links(nodes, ["fp"], near), "fp", "group")
+    return points.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, near: int = 3) -> DataFrame:
@@ -253,119 +228,28 @@ def simhash_components(docs: DataFrame, shingle: int = 3, near: int = 3) -> Data
     Repeated rows keep a row each.  Null doc_ids never name a component, unless it has no
     other.  An empty table gives no rows; other columns are not read.
     """
-    prints = write_scratch(fingerprints(docs, shingle))
+    prints = write_scratch(fingerprints(docs, shingle).select("doc_id", "fp"))
     # copies meet here, before anything is compared
-    points = write_scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    nodes = points.select(F.lit(0).cast("bigint").alias("shard"), F.col("fp").alias("node"), "fp")
-    groups = connected_components(similar_links(nodes, ["fp"], near), "fp", "group")
-    named = points.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
+    points = write_scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    named = _grouped(points, near)
     smallest = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    by_print = named.join(smallest, "group").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(
+    by_print = write_scratch(named.join(smallest, "group").select("fp", "component_id", "n"))
+    return join_counted(prints, by_print, ["fp"], prints.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _similar_forest(sets: list[np.ndarray], least: float, cells: int = 1 << 22) -> list[tuple[int, int]]:
-    """Numbers of ``sets`` (distinct shingles), as ``_forest``, that connect what all pairs
-    with a Jaccard similarity of ``least`` or more connect."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    turn = np.argsort(sizes, kind="stable")  # neighbours in size come one after the other
-    sets, sizes = [sets[i] for i in turn], sizes[turn]
-    names, flat = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_inverse=True)
-    flat = flat.astype(np.int32)
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    present = np.zeros(len(names), bool)
-    label = np.arange(len(sets))
-    for i in range(len(sets)):
-        present[flat[begin[i]:begin[i + 1]]] = True
-        stop = int(np.searchsorted(sizes, sizes[i] / least + 1e-9, side="right"))
-        at = i + 1
-        while at < stop:
-            end = max(at + 1, min(stop, int(np.searchsorted(begin, begin[at] + cells))))  # bounded memory
-            if (label[at:end] != label[i]).any():
-                sums = np.concatenate([[0], np.cumsum(present[flat[begin[at]:begin[end]]], dtype=np.int64)])
-                shared = np.diff(sums[begin[at:end + 1] - begin[at]])
-                union = sizes[at:end] + sizes[i] - shared
-                label[np.isin(label, label[at:end][shared >= least * union - 1e-9])] = label[i]
-            at = end
-        present[flat[begin[i]:begin[i + 1]]] = False
-    root: dict[int, int] = {}
-    return [(int(turn[i]), int(turn[first])) for i, k in enumerate(label.tolist())
-            if (first := root.setdefault(k, i)) != i]
-
-
-def similar_texts(texts: DataFrame, least: float, block_shingles: int = 1 << 21) -> DataFrame:
-    """(a, b): nodes whose links connect exactly what all pairs of ``texts`` (group, node,
-    size, shingles) within a group and with a Jaccard similarity of ``least`` or more connect.
-
-    A group of more than ``block_shingles`` shingles is compared by pairs of hashed blocks
-    on several tasks.
-    """
-    blocks = texts.groupBy("group").agg(F.ceil(F.sum("size") / block_shingles).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1))
-    cells = texts.join(blocks, "group").select("group", "node", "shingles", own.alias("own"), other.alias("other")).select(
-        "group", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "node", "shingles")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node")
-        nodes = group["node"].to_numpy()
-        links = _similar_forest([np.frombuffer(s, np.int64) for s in group["shingles"]], least)
-        return pd.DataFrame(nodes[np.array(links, np.int64).reshape(-1, 2)], columns=["a", "b"])
-
-    return cells.groupBy("group", "one", "two").applyInPandas(compare, "a bigint, b bigint")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, ratio: float = 0.8, near: int = 64) -> DataFrame:
-    """The rows of ``docs`` with one document of each group of similar ones: the one with
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, near: int = 3) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of near copies: the one with
     the smallest doc_id (null last, then the smallest digest of its text).
 
-    Two texts link if their distinct shingles have a Jaccard similarity of ``ratio`` or more.
-    Candidates are texts of about one size that fingerprints of 256 bits connect in steps of
-    at most ``near`` bits; all texts that are so connected are compared by their shingles.
-    Two texts with a similarity of 0.8 over five-word shingles differ in 39 bits on
-    average, give or take 6, very short ones in up to 48; unrelated ones in 128, give or
-    take 8.
-
-    Of rows with that doc_id and text one stays.  All columns are kept.  Null and empty
-    texts form one group.  An empty table gives an empty one.
+    Groups are those of simhash_components.  Of rows with that doc_id and text one stays.  All
+    columns are kept, whatever their names.  Null and empty texts form one group.  An
+    empty table gives an empty one.
     """
-    words = [f"w{i}" for i in range(WIDE)]
-
-    def scan(texts: list) -> list:
-        made = [_wide(t, shingle) for t in texts]
-        nodes = [int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) for _, s in made]
-        return [*zip(*[f for f, _ in made]), [len(s) for _, s in made], nodes]
-
-    fingerprint = map_text(scan, ", ".join(f"{w} bigint" for w in words) + ", size bigint, node bigint", "text")
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest")
-    prints = docs.select("doc_id", digest.alias("digest"), fingerprint.alias("f")).select("doc_id", "digest", "f.*")
-    # texts with the same shingles meet here, before anything is compared
-    points = write_scratch(prints.groupBy("node").agg(
-        F.min(order).alias("first"), F.max("size").alias("size"), *[F.max(w).alias(w) for w in words]))
-
-    # texts of one band, or of two neighbours, meet
-    band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.log(F.lit(1 / ratio)))
-    placed = points.select(F.explode(F.array(band, band + 1)).alias("shard"), "node", *words)
-    near_ones = connected_components(similar_links(placed, words, near, block_rows=16_384), "node", "group")
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), digest.alias("digest"))
-
-    def same(one: str, two: str) -> Column:
-        return F.col(f"{one}.id").eqNullSafe(F.col(f"{two}.id")) & (F.col(f"{one}.digest") == F.col(f"{two}.digest"))
-
-    asked = points.join(near_ones, "node").select("group", "node", "size", "first.id", "first.digest")
-    texts = packed.select("row.text", "id", "digest").alias("d").join(asked.alias("a"), same("d", "a")).select(
-        "group", "node", "size", "text").dropDuplicates(["node"])
-
-    def shingles(groups: list, nodes: list, sizes: list, bodies: list) -> list:
-        return [groups, nodes, sizes, [_wide(t, shingle)[1].tobytes() for t in bodies]]
-
-    held = write_scratch(map_rows(texts, shingles, "group bigint, node bigint, size bigint, shingles binary"))
-    groups = connected_components(similar_texts(held, ratio), "node", "group")
-    winners = (
-        points.join(groups, "node", "left").groupBy(F.coalesce("group", "node").alias("group"))
-        .agg(F.min("first").alias("first")).select("first.id", "first.digest")
-    )
-    kept = packed.alias("d").join(winners.alias("w"), same("d", "w"), "left_semi")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest"))
+    points = write_scratch(fingerprints(docs, shingle).groupBy("fp").agg(first.alias("first")))
+    winners = _grouped(points, near).groupBy("group").agg(F.min("first").alias("first")).select("first.id", "first.digest")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("id"), _digest().alias("digest"))
+    same = F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.digest") == F.col("w.digest"))
+    kept = packed.alias("d").join(winners.alias("w"), same, "left_semi")
     return kept.dropDuplicates(["id", "digest"]).select("row.*")

@@ -94,3 +94,10 @@ def test_short_runs_equal_their_definition(spark, documents, seed):
     rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 7)))) for i in range(80)]
     got = {r.doc_id: r.text for r in drop_copied_lines(documents(*rows), 4, 9, short_runs=True).collect()}
     assert got == cut(rows, 4, 9)
+
+
+def test_clashing_names(documents):
+    with pytest.raises(ValueError):
+        drop_copied_lines(documents((1, "a"), n_lines="x"))
+    got = drop_copied_lines(documents((1, "a"), N_Lines="x"), n_lines="lines", n_deleted="cut")
+    assert got.columns[-2:] == ["lines", "cut"]

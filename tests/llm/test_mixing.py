@@ -82,3 +82,11 @@ def test_edge_rows(spark, documents):
     some = mix(df, tree, {}, share=0.00003, max_epochs=1).collect()  # 3 of 100 006 tokens, 2 for the null node
     assert [r.doc_id for r in some].count(3) == 2
     assert mix(df.limit(0), tree, {}).count() == 0
+
+
+def test_clashing_name(documents):
+    docs = documents((1, "a b"), copies="x")
+    with pytest.raises(ValueError):
+        mix(docs, [F.col("lang")], {})
+    got = mix(docs, [F.col("lang")], {}, share=1.0, copies="times")
+    assert [(r.copies, r.times) for r in got.collect()] == [("x", 1)]

@@ -27,7 +27,7 @@ def test_stages_over_planted_documents(spark, documents, tmp_path):
              (None, prose(rng, "de", 40), None, "src2")]
     long_one = " ".join(prose(rng, "en", 200) for _ in range(40))
     rows += [(300, long_one, "en", "src3"), (301, long_one + " the end", "en", "src3")]  # near copies on one line
-    documents(*rows, n="x", key="y").write.parquet(f"{tmp_path}/documents.parquet")
+    documents(*rows, n="x", key="y", copies="c", n_deleted="d", n_lines="l").write.parquet(f"{tmp_path}/documents.parquet")
 
     given = {r[0]: r for r in rows}
     docs, columns, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), None, {}

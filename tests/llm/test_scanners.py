@@ -131,3 +131,15 @@ def test_runs_go_on_over_dots_and_brackets(text, kind, span):
 ])
 def test_clean_texts_stay_clean(text):
     assert pii.find_pii(text) == ([], [])
+
+
+def test_a_short_rest_is_measured_with_the_chunk_before():
+    rng = random.Random(2)
+    judge = compression.Ratios(bad_chunks=10).judge
+    prose = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(3000))[:4096]
+    bad = "".join(chr(rng.randrange(33, 127)) for _ in range(900))
+    assert judge(prose)[1] == 0.0 and judge(prose + prose[:900])[1] == 0.0
+    assert judge(prose + "=" * 900)[1] == judge(prose + "=" * 900)[1]
+    measured = compression.Ratios(chunk_band=compression.Band(float("inf"), 1.35, 2.2))
+    alone, joined = measured.judge(prose)[1], measured.judge(prose + "=" * 900)[1]
+    assert (alone, joined) == (0.0, 100.0) and len(bad) == 900
