@@ -45,6 +45,11 @@ def _bracketed(
     return grouped.select(*keys, *kept, F.array(*brackets).alias("__brackets")), wanted, kept
 
 
+def sketch_quantiles(sketch: str, wanted: Mapping[str, float]) -> list[Column]:
+    """Columns {name: fraction} estimated from a KLL sketch of doubles; null where it is null."""
+    return [F.kll_sketch_get_quantile_double(sketch, F.lit(float(p))).alias(name) for name, p in wanted.items()]
+
+
 def percentiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -11,7 +11,7 @@ from runledger.functions.paths import adapter_id
 from runledger.functions.timing import elapsed_ms, elapsed_s
 from runledger.functions.text import strip_prompt
 from runledger.operators.ordered import null_safe_join, number_rows, running_sums
-from runledger.operators.quantiles import percentiles
+from runledger.operators.quantiles import percentiles, sketch_quantiles
 
 # Generation defaults, inference batch size, reported percentiles.
 MAX_NEW_TOKENS, TEMPERATURE, DO_SAMPLE = 50, 0.7, True
@@ -128,6 +128,38 @@ def latency_summary(
     return percentiles(request_latency(results), ["run_id"], wanted, [*extra, *means], approx)
 
 
+#: Time that one row of latency_sketches covers.
+SKETCH_US = 3_600_000_000
+_SKETCHED = ("e2e", "proc")
+
+
+def latency_sketches(results: DataFrame, every_us: int = SKETCH_US, size: int = 200) -> DataFrame:
+    """KLL sketches of both latencies per run and hour of submission, to be kept: (run_id, hour,
+    e2e_n, e2e_sum_ms, e2e_sketch, proc_n, ...).
+
+    New hours are added to what is kept, and any hours and runs are summed up by
+    sketched_latency without the results.  ``size``: the sketches' k, with a rank error of about
+    2.3 / k ** 0.9.
+    """
+    hour = F.floor(F.col("submission_us") / every_us).alias("hour")
+    aggs = [a for kind in _SKETCHED for a in (
+        F.count(f"{kind}_ms").alias(f"{kind}_n"), F.sum(f"{kind}_ms").alias(f"{kind}_sum_ms"),
+        F.kll_sketch_agg_double(F.col(f"{kind}_ms").cast("double"), size).alias(f"{kind}_sketch"))]
+    return request_latency(results).groupBy("run_id", hour).agg(*aggs)
+
+
+def sketched_latency(sketches: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """latency_summary per ``keys``, estimated from the rows of latency_sketches."""
+    aggs = [a for kind in _SKETCHED for a in (
+        F.sum(f"{kind}_n").alias(f"{kind}_n"), F.sum(f"{kind}_sum_ms").alias(f"{kind}_sum_ms"),
+        F.kll_merge_agg_double(F.when(F.col(f"{kind}_n") > 0, F.col(f"{kind}_sketch"))).alias(f"{kind}_sketch"))]
+    merged = sketches.groupBy(*keys).agg(*aggs)
+    known = merged.withColumns({f"{kind}_sketch": F.when(F.col(f"{kind}_n") > 0, F.col(f"{kind}_sketch")) for kind in _SKETCHED})
+    return known.select(*keys, *[c for kind in _SKETCHED for c in (
+        F.col(f"{kind}_n"), F.try_divide(f"{kind}_sum_ms", f"{kind}_n").alias(f"{kind}_avg_ms"),
+        *sketch_quantiles(f"{kind}_sketch", {f"{kind}_{name}_ms": p for name, p in REPORTED.items()}))])
+
+
 def throughput(results: DataFrame, runs: DataFrame) -> DataFrame:
     """Successful requests per second of run time; 0 for a run that took no time."""
     counted = request_outcomes(results).select("run_id", "successful")

@@ -234,6 +234,15 @@ def _(t):
     return requests.latency_summary(t.results())
 
 
+@query("sketched_latency", """
+SELECT run_id, count(e2e_ms) AS e2e_n, count(proc_ms) AS proc_n, true AS e2e_p50_near, true AS e2e_p95_near, true AS e2e_p99_near,
+  true AS proc_p50_near, true AS proc_p95_near, true AS proc_p99_near
+FROM (SELECT r.run_id, e2e_ms, proc_ms FROM results r LEFT JOIN latencies l USING (run_id, request_id))
+GROUP BY run_id""", ("results", "latencies"))
+def _(t):
+    return derived.sketched_latency(t)
+
+
 _THROUGHPUT = """count(*) FILTER (WHERE error IS NULL AND output IS NOT NULL)
   / ((max(processing_end_us) - min(submission_us)) / 1e6)"""
 
@@ -831,6 +840,12 @@ def _(t):
     return derived.listed_files(t)
 
 
+@query("missing_reports", """
+SELECT DISTINCT run_id || '!' AS name, 'missing' AS reason FROM strategy_results""", ("strategy_results",))
+def _(t):
+    return derived.missing_reports(t)
+
+
 @query("stream_progress", f"""
 SELECT *, CASE WHEN coalesce(rate, 0) >= 0.001 THEN 'progressing' ELSE 'stagnated' END AS forward_class,
   CASE WHEN rate < 0.005 THEN 'struggling' ELSE 'other' END AS reverse_class FROM ({_ROLLING})

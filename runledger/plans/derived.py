@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from runledger.operators import requests
 from runledger.operators.jobs import expected_vs_actual_jobs
+from runledger.operators.ordered import null_safe_join
+from runledger.operators.quantiles import percentiles
 from runledger.plans import bindings
 from runledger.plans.bindings import Tables
 from runledger.plans.summary import run_bounds, run_summary
-from runledger.session import scratch_dir
+from runledger.session import scratch_dir, write_scratch
 from runledger.sources import adapters
+from runledger.sources.listing import list_files, missing_files
 from runledger.sources.reports import Reports, read_run_reports, write_run_reports
 from runledger.streaming import ingest, job_state, outcomes, progress
 
@@ -44,6 +48,27 @@ def reread_reports(t: Tables) -> Reports:
     return read_run_reports(t.spark, _write(t, nested=True), multiline=False)
 
 
+def missing_reports(t: Tables) -> DataFrame:
+    """Of the reports of all runs, and of as many runs that never were, those that aren't there."""
+    files = list_files(t.spark, _write(t, nested=True)).filter(F.col("path").endswith(".json"))
+    runs = t.strategy_results().select("run_id").distinct()
+    expected = runs.select(F.explode(F.array("run_id", F.concat("run_id", F.lit("!")))).alias("name"))
+    return missing_files(files, expected, F.url_decode(F.regexp_extract("path", "/strategy=([^/]*)/", 1)))
+
+
+def sketched_latency(t: Tables) -> DataFrame:
+    """Counts of merged hourly sketches, and whether their percentiles lie near the exact ones."""
+    results = t.results()
+    sketched = requests.sketched_latency(write_scratch(requests.latency_sketches(results)))
+    near = {"p50": (0.47, 0.53), "p95": (0.93, 0.97), "p99": (0.975, 1.0)}
+    bounds = percentiles(requests.request_latency(results), ["run_id"], {f"{kind}_ms": {
+        f"{kind}_{name}_{end}": p for name, ends in near.items() for end, p in zip(("low", "high"), ends)} for kind in ("e2e", "proc")})
+    both = null_safe_join(sketched, bounds, ["run_id"])
+    return both.select("run_id", "e2e_n", "proc_n", *[
+        F.col(f"{kind}_{name}_ms").between(F.col(f"{kind}_{name}_low"), F.col(f"{kind}_{name}_high")).alias(f"{kind}_{name}_near")
+        for kind in ("e2e", "proc") for name in near])
+
+
 def _store(t: Tables) -> str:
     """An adapter store with a configuration file for each adapter, made from the parts.
     Spark escapes some characters of folder names."""

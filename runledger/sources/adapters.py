@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runledger import schemas
 from runledger.functions.paths import path_parts
 from runledger.operators.adapters import CONFIG_FILE
+from runledger.sources.listing import list_files
 from runledger.sources.reports import plain_path
 
 # Fixed value: the task of adapters that do not name one.
@@ -38,9 +39,5 @@ def scan_adapter_configs(spark: SparkSession, root: str, name_glob: str = CONFIG
 
 
 def list_adapter_files(spark: SparkSession, root: str) -> DataFrame:
-    """Path, size and time of every file below ``root``; contents are not read.
-
-    Spark does not list empty files, so an empty config or weight file is absent here.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    """Path, size and time of every file below ``root``, empty ones too; contents are not read."""
+    return list_files(spark, root)

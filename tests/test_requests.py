@@ -214,3 +214,25 @@ def test_short_answer_fails_its_batch_only(spark):
     errors = {int(r["request_id"]): r["error"] for r in out.collect()}
     assert errors[12] == errors[13] == "1 outputs for 2 prompts"
     assert errors[14] is errors[15] is None
+
+
+def test_latency_sketches_merge(spark):
+    """Hours that are sketched one after the other give what all results give, within the error."""
+    np = pytest.importorskip("numpy")
+    data = [(f"r{i % 2}" if i % 5 else None, str(i), i * 10_000_000, i * 10_000_000, i * 10_000_000 + 1000 * (i * i % 977),
+             None if i % 9 == 0 else "x", None) for i in range(3000)]
+    results = spark.createDataFrame(data, schemas.RESULTS)
+    early = requests.latency_sketches(results.filter("submission_us < 15000000000"))
+    late = requests.latency_sketches(results.filter("submission_us >= 15000000000"))
+    assert early.select("hour").distinct().count() == 5
+    got = {r["run_id"]: r for r in requests.sketched_latency(early.unionByName(late)).collect()}
+    for run in ("r0", "r1", None):
+        values = sorted(i * i % 977 for i in range(3000) if (f"r{i % 2}" if i % 5 else None) == run and i % 9)
+        assert got[run]["proc_n"] == len(values)
+        assert got[run]["proc_avg_ms"] == pytest.approx(np.mean(values))
+        for name, p in requests.REPORTED.items():
+            rank = np.searchsorted(values, got[run][f"proc_{name}_ms"], side="right") / len(values)
+            assert abs(rank - p) < 0.03
+    failed = spark.createDataFrame([("r", "1", 1, 2, 3, None, "boom")], schemas.RESULTS)
+    row = requests.sketched_latency(requests.latency_sketches(failed)).first()
+    assert row["e2e_n"] == 0 and row["e2e_p50_ms"] is None and row["e2e_avg_ms"] is None
