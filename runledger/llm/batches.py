@@ -81,8 +81,14 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: list[str], total: int)
     ``total``, that does not stay.
 
     Keys with more than their share of all rows, ``MOST_HOT`` at most, are sent to all tasks, so
-    that none gets more than that share of rows with one key.  Both tables are read twice.
+    that none gets more than that share of rows with one key.  They are looked up by the first
+    column of ``key``, a bigint, which Spark keeps in a small table.
     """
-    hot = F.broadcast(keyed.filter(F.col("n") > total / MOST_HOT))
-    usual = rows.join(hot.select(key), key, "left_anti").join(keyed, key)
-    return rows.join(hot, key).unionByName(usual).drop("n")
+    first, rest = key[0], key[1:]
+    often = F.broadcast(keyed.filter(F.col("n") > total / MOST_HOT).select(first).distinct())
+    usual = rows.join(often, first, "left_anti").join(keyed, key)
+    hot = F.broadcast(keyed.join(often, first, "left_semi").withColumnsRenamed({c: f"__{c}" for c in rest}))
+    met = rows.join(hot, first)
+    for c in rest:
+        met = met.filter(F.col(c) == F.col(f"__{c}"))
+    return met.drop(*[f"__{c}" for c in rest]).unionByName(usual).drop("n")
