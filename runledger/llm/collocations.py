@@ -38,7 +38,7 @@ PIECE_ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 UNKNOWN = "und"
 
 #: Words of a shard, and bytes of text for each range of prefixes.
-SHARD_WORDS, RANGE_BYTES = 2_000_000, 8 << 20
+SHARD_WORDS, RANGE_BYTES = 3_000_000, 8 << 20
 
 _END = b"\xff"  # in no text: UTF-8 has no such byte
 _READ = bytes.maketrans(PIECE_ENDS, _END * len(PIECE_ENDS))
@@ -54,7 +54,7 @@ class Grams(NamedTuple):
 def packed(labels: np.ndarray, ahead: np.ndarray | None = None) -> list[np.ndarray]:
     """The columns of ``labels``, after those of ``ahead``, in as few whole numbers as hold them,
     with the same order."""
-    columns = ([] if ahead is None else [ahead]) + list(labels.T)
+    columns = [c.astype(np.int64) for c in ([] if ahead is None else [ahead]) + list(labels.T)]
     keys: list[np.ndarray] = []
     room = 0
     for column in columns:
@@ -327,22 +327,22 @@ class _Shard:
         # blanks and tabs ends a piece and is no longer there
         read = text.encode().lower().translate(_READ).replace(_END, b" \xff ").split()
         read.append(_END)
-        self.runs.setdefault(lang.encode(), []).append(np.fromiter(map(self.number.__getitem__, read), np.int64, len(read)))
+        self.runs.setdefault(lang.encode(), []).append(np.fromiter(map(self.number.__getitem__, read), np.int32, len(read)))
         self.words += len(read)
 
     def transducers(self, longest: int, ranges: int) -> Iterator[tuple[int, bytes]]:
         langs = sorted(self.runs)
         del self.number[_END]
         spoken = sorted(self.number)
-        order = np.empty(len(spoken) + 1, np.int64)
+        order = np.empty(len(spoken) + 1, np.int32)
         order[np.fromiter(map(self.number.__getitem__, spoken), np.int64, len(spoken))] = np.arange(len(spoken))
         order[-1] = -1
         # languages come first among the labels, so that words keep their order
         words = langs + spoken
         parts = []
         for i, lang in enumerate(langs):
-            ids = order[np.concatenate(self.runs[lang])]
-            whole, code = ids >= 0, ids
+            ids = order[np.concatenate(self.runs.pop(lang))]
+            whole, code = ids >= 0, ids.astype(np.int64)
             for size in range(1, longest + 1):
                 if size > 1:
                     whole = whole[:-1] & (ids[size - 1:] >= 0)
@@ -355,7 +355,7 @@ class _Shard:
                 by = np.argsort(codes)
                 heads = np.flatnonzero(np.diff(codes[by], prepend=-1))
                 one = starts[by[heads]]
-                grams = np.full((len(heads), longest + 1), -1, np.int64)
+                grams = np.full((len(heads), longest + 1), -1, np.int32)
                 grams[:, 0] = i
                 for d in range(size):
                     grams[:, d + 1] = ids[one + d] + len(langs)
@@ -366,11 +366,13 @@ class _Shard:
                     code[starts[by]] = np.repeat(np.arange(len(heads)), count)
         if not parts:
             return
-        grams = Grams(np.concatenate([p.labels for p in parts]), np.concatenate([p.weights for p in parts]))
-        where = prefix_ranges(words, grams.labels, ranges)
-        keys = packed(grams.labels, where)
+        labels, weights = np.concatenate([p.labels for p in parts]), np.concatenate([p.weights for p in parts])
+        parts.clear()
+        where = prefix_ranges(words, labels, ranges)
+        keys = packed(labels, where)
         by = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
-        labels, weights, where = grams.labels[by], grams.weights[by], where[by]
+        labels, weights, where = labels[by], weights[by], where[by]
+        del keys, by
         edges = np.append(np.flatnonzero(np.diff(where, prepend=-1)), len(where))
         for a, b in zip(edges[:-1], edges[1:]):
             yield int(where[a]), Transducer.build(words, Grams(labels[a:b], weights[a:b])).dump()
