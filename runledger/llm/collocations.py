@@ -26,6 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zlib
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -38,7 +39,7 @@ PIECE_ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 UNKNOWN = "und"
 
 #: Words of a shard, and bytes of text for each range of prefixes.
-SHARD_WORDS, RANGE_BYTES = 3_000_000, 8 << 20
+SHARD_WORDS, RANGE_BYTES = 2_000_000, 8 << 20
 
 _END = b"\xff"  # in no text: UTF-8 has no such byte
 _READ = bytes.maketrans(PIECE_ENDS, _END * len(PIECE_ENDS))
@@ -54,10 +55,10 @@ class Grams(NamedTuple):
 def packed(labels: np.ndarray, ahead: np.ndarray | None = None) -> list[np.ndarray]:
     """The columns of ``labels``, after those of ``ahead``, in as few whole numbers as hold them,
     with the same order."""
-    columns = [c.astype(np.int64) for c in ([] if ahead is None else [ahead]) + list(labels.T)]
     keys: list[np.ndarray] = []
     room = 0
-    for column in columns:
+    for raw in ([] if ahead is None else [ahead]) + list(labels.T):
+        column = raw.astype(np.int64)
         base = int(column.max(initial=0)) + 2
         if keys and room * base < 1 << 62:
             keys[-1] = keys[-1] * base + (column + 1)
@@ -83,18 +84,26 @@ def sum_equal(grams: Grams) -> Grams:
     return Grams(labels[order[heads]], np.add.reduceat(weights[order], heads))
 
 
+def _as_arrow(words: pa.Array | Sequence[bytes]) -> pa.Array:
+    return words if isinstance(words, pa.Array) else pa.array(words, pa.large_binary())
+
+
 class Transducer:
     """A minimal acyclic automaton with a weight on every arc, 0 where no phrase ends.
 
     Arcs of state s are those from first[s] to first[s + 1], by label; labels number the
-    sorted ``words``; state 0 has no arcs, the last state is the root.
+    sorted ``words`` (``spoken`` in Arrow's form); state 0 has no arcs, the last state is the root.
     """
 
-    def __init__(self, words: Sequence[bytes], first: np.ndarray, label: np.ndarray, weight: np.ndarray, target: np.ndarray):
-        self.words, self.first, self.label, self.weight, self.target = list(words), first, label, weight, target
+    def __init__(self, spoken: pa.Array, first: np.ndarray, label: np.ndarray, weight: np.ndarray, target: np.ndarray):
+        self.spoken, self.first, self.label, self.weight, self.target = spoken, first, label, weight, target
+
+    @property
+    def words(self) -> np.ndarray:
+        return self.spoken.to_numpy(zero_copy_only=False)
 
     @classmethod
-    def build(cls, words: Sequence[bytes], grams: Grams) -> Transducer:
+    def build(cls, words: pa.Array | Sequence[bytes], grams: Grams) -> Transducer:
         """From sorted, different paths over ``words``."""
         labels, weights = grams
         flat = labels.ravel()
@@ -112,16 +121,16 @@ class Transducer:
                 stop += 1  # a chunk ends where the second label changes
             made.add(labels[at:stop], weights[at:stop])
             at = stop
-        return cls([words[i] for i in used.tolist()], *made.finish())
+        return cls(_as_arrow(words).take(pa.array(used, pa.int64())), *made.finish())
 
     def paths(self) -> Grams:
         """All phrases with their weights."""
-        states, prefix = np.array([len(self.first) - 2]), np.empty((1, 0), np.int64)
+        states, prefix = np.array([len(self.first) - 2]), np.empty((1, 0), np.int32)
         rows, weights = [], []
         while len(states):
             count = self.first[states + 1] - self.first[states]
             arcs = np.repeat(self.first[states] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            prefix = np.column_stack([np.repeat(prefix, count, axis=0), self.label[arcs]])
+            prefix = np.column_stack([np.repeat(prefix, count, axis=0), self.label[arcs].astype(np.int32)])
             ends = self.weight[arcs] > 0
             rows.append(prefix[ends])
             weights.append(self.weight[arcs][ends])
@@ -133,17 +142,16 @@ class Transducer:
 
     def compose(self, other: Transducer) -> tuple[Transducer, Grams]:
         """``other``, and the paths that both accept with other's weights (labels of ``other``)."""
-        known = {w: i for i, w in enumerate(other.words)}
-        mine = np.array([known.get(w, -1) for w in self.words], np.int64)
+        mine = pc.index_in(self.spoken, other.spoken).fill_null(-1).to_numpy().astype(np.int64)
         pairs = np.array([[len(self.first) - 2, len(other.first) - 2]])
         prefix = np.empty((1, 0), np.int64)
         rows, weights = [], []
-        arc_keys = np.repeat(np.arange(len(other.first) - 1), np.diff(other.first)) * (len(other.words) + 1) + other.label
+        arc_keys = np.repeat(np.arange(len(other.first) - 1), np.diff(other.first)) * (len(other.spoken) + 1) + other.label
         while len(pairs):
             count = self.first[pairs[:, 0] + 1] - self.first[pairs[:, 0]]
             arcs = np.repeat(self.first[pairs[:, 0]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
             label = mine[self.label[arcs]]
-            wanted = np.repeat(pairs[:, 1], count) * (len(other.words) + 1) + label
+            wanted = np.repeat(pairs[:, 1], count) * (len(other.spoken) + 1) + label
             place = np.searchsorted(arc_keys, wanted)
             found = (label >= 0) & (place < len(arc_keys))
             found[found] = arc_keys[place[found]] == wanted[found]
@@ -160,23 +168,37 @@ class Transducer:
         return other, Grams(np.concatenate(wide), np.concatenate(weights))
 
     @classmethod
-    def union(cls, parts: Sequence[Transducer], least: int = 1) -> tuple[Transducer, Grams, list[bytes]]:
+    def union(cls, parts: Sequence[Transducer], least: int = 1) -> tuple[Transducer, Grams, np.ndarray]:
         """One transducer of all paths with the sums of their weights, without those below
         ``least``; and all sums before that, over the returned words."""
-        words = sorted(set().union(*[p.words for p in parts]))
-        known = {w: i for i, w in enumerate(words)}
-        listed = [(np.array([known[w] for w in p.words] + [-1], np.int64), p.paths()) for p in parts]
-        depth = max(g.labels.shape[1] for _, g in listed)
-        moved = [np.pad(to[g.labels], ((0, 0), (0, depth - g.labels.shape[1])), constant_values=-1) for to, g in listed]
-        grams = sum_equal(Grams(np.concatenate(moved), np.concatenate([g.weights for _, g in listed])))
+        spoken = pa.concat_arrays([p.spoken for p in parts]).dictionary_encode()
+        order = pc.sort_indices(spoken.dictionary)  # by bytes
+        words = spoken.dictionary.take(order)
+        rank = np.empty(len(words) + 1, np.int32)
+        rank[order.to_numpy()] = np.arange(len(words))
+        rank[-1] = -1
+        codes, at = spoken.indices.to_numpy(), 0
+        moved, weights = [], []
+        for p in parts:
+            of = rank[np.append(codes[at:at + len(p.spoken)], -1)]
+            at += len(p.spoken)
+            labels, counts = p.paths()
+            moved.append(of[labels])
+            weights.append(counts)
+        depth = max(m.shape[1] for m in moved)
+        moved = [np.pad(m, ((0, 0), (0, depth - m.shape[1])), constant_values=-1) if m.shape[1] < depth else m for m in moved]
+        grams = sum_equal(Grams(np.concatenate(moved), np.concatenate(weights)))
+        del moved, weights, spoken, codes
         often = grams.weights >= least
-        return cls.build(words, Grams(grams.labels[often], grams.weights[often])), grams, words
+        return cls.build(words, Grams(grams.labels[often], grams.weights[often])), grams, words.to_numpy(zero_copy_only=False)
 
     def dump(self) -> bytes:
-        sizes = np.fromiter(map(len, self.words), "<i4", len(self.words))
+        sizes = pc.binary_length(self.spoken).to_numpy().astype("<i4")
+        stops = np.frombuffer(self.spoken.buffers()[1], "<i8")[self.spoken.offset:][:len(sizes) + 1]
+        spoken = self.spoken.buffers()[2][int(stops[0]):int(stops[-1])] if len(sizes) else b""
         arrays = [sizes, np.diff(self.first).astype("<i4"), self.label.astype("<i4"), self.weight.astype("<i8"), self.target.astype("<i4")]
         head = np.array([len(sizes), len(arrays[1]), len(arrays[2])], "<i8").tobytes()
-        return zstandard.compress(b"".join([head, *(a.tobytes() for a in arrays), *self.words]), 1)
+        return zstandard.compress(b"".join([head, *(a.tobytes() for a in arrays), spoken]), 1)
 
     @classmethod
     def load(cls, data: bytes) -> Transducer:
@@ -186,8 +208,8 @@ class Transducer:
         for count, kind in ((words, "<i4"), (states, "<i4"), (arcs, "<i4"), (arcs, "<i8"), (arcs, "<i4")):
             arrays.append(np.frombuffer(raw, kind, count, at).astype(np.int64))
             at += arrays[-1].size * int(kind[2])
-        stops = (at + np.cumsum(arrays[0])).tolist()
-        spoken = [raw[a:b] for a, b in zip([at, *stops], stops)]
+        stops = np.concatenate([[0], np.cumsum(arrays[0])])
+        spoken = pa.Array.from_buffers(pa.large_binary(), words, [None, pa.py_buffer(stops), pa.py_buffer(raw[at:])])
         return cls(spoken, np.concatenate([[0], np.cumsum(arrays[1])]), *arrays[2:])
 
 
@@ -209,34 +231,58 @@ class _Register:
 
     def __init__(self, depth: int):
         self.depth = depth
-        self.known = _Numbers(1)
+        self.next = 1
+        self.known = _Numbers(1)  # of states by the bytes of their arcs
+        # states with one arc, by its label, target and weight in one number
+        self.keys, self.numbers = np.empty(0, np.int64), np.empty(0, np.int64)
         self.arcs: list[np.ndarray] = []  # of each new state in turn: label, weight, target
         self.counts: list[np.ndarray] = [np.zeros(1, np.int64)]
         self.top: list[np.ndarray] = []  # arcs of states that may still grow: two labels and a weight, target
 
+    def _close_single(self, arcs: np.ndarray) -> np.ndarray:
+        """State numbers of states with one arc each, whose values fit in one number."""
+        keys = arcs[:, 0] << 40 | arcs[:, 2] << 17 | arcs[:, 1]
+        by = np.argsort(keys)
+        heads = np.diff(keys[by], prepend=-1) != 0
+        different = keys[by][heads]
+        place = np.searchsorted(self.keys, different)
+        fresh = np.ones(len(different), bool)
+        inside = place < len(self.keys)
+        fresh[inside] = self.keys[place[inside]] != different[inside]
+        n = int(fresh.sum())
+        new = np.arange(self.next, self.next + n)
+        self.next += n
+        self.arcs.append(arcs[by[heads]][fresh])
+        self.counts.append(np.ones(n, np.int64))
+        of = np.empty(len(different), np.int64)
+        of[fresh] = new
+        of[~fresh] = self.numbers[place[~fresh]]
+        self.numbers = np.insert(self.numbers, place[fresh], new)
+        self.keys = np.insert(self.keys, place[fresh], different[fresh])
+        number = np.empty(len(keys), np.int64)
+        number[by] = of[np.cumsum(heads) - 1]
+        return number
+
     def close(self, owner: np.ndarray, arcs: np.ndarray) -> np.ndarray:
         """State numbers of the arcs' owners (0, 1, 2, ... in order)."""
         first = np.flatnonzero(np.diff(owner, prepend=-1))
         count = np.diff(np.append(first, len(owner)))
-        # of states with one arc, equal ones are looked up together
-        single = np.flatnonzero(count == 1)
-        keys = packed(arcs[first[single]])
-        same = np.arange(len(first))
-        if len(keys) == 1:
-            by = np.argsort(keys[0])
-            heads = np.diff(keys[0][by], prepend=-1) != 0
-            same[single[by]] = np.minimum.reduceat(single[by], np.flatnonzero(heads))[np.cumsum(heads) - 1] if len(by) else 0
-        looked = np.flatnonzero(same == np.arange(len(first)))
+        number = np.empty(len(first), np.int64)
+        fits = (count == 1) & (arcs[first] < (1 << 23, 1 << 17, 1 << 23)).all(axis=1)
+        number[fits] = self._close_single(arcs[first[fits]])
+        # the others by the bytes of their arcs
+        looked = np.flatnonzero(~fits)
         raw, width = np.ascontiguousarray(arcs).tobytes(), arcs.shape[1] * 8
         keys_of = [raw[a:b] for a, b in zip((first[looked] * width).tolist(), ((first + count)[looked] * width).tolist())]
-        before = self.known.next
-        number = np.full(len(first), -1, np.int64)
-        number[looked] = np.fromiter(map(self.known.__getitem__, keys_of), np.int64, len(looked))
-        number = number[same]
-        highest = np.maximum.accumulate(number)
-        new = number > np.concatenate([[before - 1], np.maximum(highest[:-1], before - 1)])
-        if new.any():
-            self.arcs.append(arcs[np.repeat(new, count)])
+        before = self.known.next = self.next
+        found = np.fromiter(map(self.known.__getitem__, keys_of), np.int64, len(looked))
+        self.next = self.known.next
+        highest = np.maximum.accumulate(found)
+        new = looked[found > np.concatenate([[before - 1], np.maximum(highest[:-1], before - 1)])[:len(found)]]
+        number[looked] = found
+        if len(new):
+            begins = np.cumsum(count[new]) - count[new]
+            self.arcs.append(arcs[np.repeat(first[new] - begins, count[new]) + np.arange(count[new].sum())])
             self.counts.append(count[new])
         return number
 
@@ -369,13 +415,14 @@ class _Shard:
         labels, weights = np.concatenate([p.labels for p in parts]), np.concatenate([p.weights for p in parts])
         parts.clear()
         where = prefix_ranges(words, labels, ranges)
+        spoken = _as_arrow(words)
         keys = packed(labels, where)
         by = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
         labels, weights, where = labels[by], weights[by], where[by]
         del keys, by
         edges = np.append(np.flatnonzero(np.diff(where, prepend=-1)), len(where))
         for a, b in zip(edges[:-1], edges[1:]):
-            yield int(where[a]), Transducer.build(words, Grams(labels[a:b], weights[a:b])).dump()
+            yield int(where[a]), Transducer.build(spoken, Grams(labels[a:b], weights[a:b])).dump()
 
 
 def shard_transducers(docs: DataFrame, longest: int, ranges: int, shard_words: int) -> DataFrame:
@@ -426,7 +473,9 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> tuple[D
         sums = np.zeros(len(langs), np.int64)
         np.add.at(sums, back, grams.weights[single])
         totals = [{"lang": words[i].decode(), "n": int(n)} for i, n in zip(langs, sums)]
-        return pd.DataFrame({"range": [frame["range"].iloc[0]], "counts": [united.dump()], "totals": [totals]})
+        made = pd.DataFrame({"range": [frame["range"].iloc[0]], "counts": [united.dump()], "totals": [totals]})
+        pa.default_memory_pool().release_unused()  # the next range is no smaller
+        return made
 
     shards = shard_transducers(docs, longest, ranges, SHARD_WORDS)
     schema = "range long, counts binary, totals array<struct<lang:string,n:long>>"
