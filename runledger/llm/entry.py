@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,23 +118,29 @@ def _license_sql(least: float = 0.7) -> str:
     def text(value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
 
-    given = ", ".join(f"({i}, {text(name)}, {text(body)})" for i, (name, body) in enumerate(license_tfidf.TEMPLATES))
+    notices, fulls = license_tfidf.TEMPLATES, license_tfidf.FULL_TEXTS
+    given = ", ".join(f"({i}, {text(name)}, {text(body)}, {i >= len(notices)})" for i, (name, body) in enumerate([*notices, *fulls]))
     stop = "[" + ", ".join(map(text, license_tfidf.STOP_WORDS)) + "]"
     words = f"list_distinct(regexp_extract_all(lower({{0}}), '{license_tfidf.WORDS}'))"
-    found = {w for _, body in license_tfidf.TEMPLATES for w in re.findall(license_tfidf.WORDS, body.lower())}
-    known_words = "[" + ", ".join(map(text, sorted(found - set(license_tfidf.STOP_WORDS)))) + "]"
-    known = f"list_filter(words, lambda x: list_contains({known_words}, x))"
-    others = f"len(list_filter(words, lambda x: NOT list_contains({known_words}, x) AND NOT list_contains({stop}, x)))"
+
+    def measured(templates: Sequence[tuple[str, str]]) -> tuple[str, str]:
+        found = {w for _, body in templates for w in re.findall(license_tfidf.WORDS, body.lower())}
+        known = "[" + ", ".join(map(text, sorted(found - set(license_tfidf.STOP_WORDS)))) + "]"
+        return (f"list_filter(words, lambda x: list_contains({known}, x))",
+                f"len(list_filter(words, lambda x: NOT list_contains({known}, x) AND NOT list_contains({stop}, x)))")
+
+    (known, others), (full_known, full_others) = measured(notices), measured(fulls)
     return f"""
-WITH given(template, license, body) AS (VALUES {given}),
+WITH given(template, license, body, is_full) AS (VALUES {given}),
 terms AS (
-  SELECT template, license, term FROM (SELECT template, license, unnest({words.format('body')}) AS term FROM given)
+  SELECT template, license, is_full, term FROM (SELECT template, license, is_full, unnest({words.format('body')}) AS term FROM given)
   WHERE NOT list_contains({stop}, term)
 ), vocabulary AS (SELECT DISTINCT term FROM terms),
 files AS (
   SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, coalesce(text, '') AS body FROM documents
 ), wholes AS (
-  SELECT path, {known} AS terms, {others} AS others FROM (SELECT path, {words.format('body')} AS words FROM files)
+  SELECT path, {known} AS terms, {others} AS others, {full_known} AS full_terms, {full_others} AS full_others
+  FROM (SELECT path, {words.format('body')} AS words FROM files)
 ), lines AS (
   SELECT * FROM (
     SELECT path, line, {known} AS terms, {others} AS others FROM (
@@ -150,8 +157,10 @@ files AS (
   SELECT path, 'block', block, list_distinct(flatten(list(terms))), sum(others) FROM blocks GROUP BY path, block HAVING count(*) > 1
   UNION ALL
   SELECT path, 'whole', 0, terms, others FROM wholes WHERE len(terms) > 0
+  UNION ALL
+  SELECT path, 'full', 0, full_terms, full_others FROM wholes WHERE len(full_terms) > 0
 ), df AS (
-  SELECT term, count(*) AS n FROM (SELECT unnest(terms) AS term FROM wholes) GROUP BY term
+  SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(list_concat(terms, full_terms))) AS term FROM wholes) GROUP BY term
 ), idf AS (
   SELECT term, ln(((SELECT count(*) FROM files) + 1) / (coalesce(n, 0) + 1)) + 1 AS idf FROM vocabulary LEFT JOIN df USING (term)
 ), rare AS (SELECT ln(CAST((SELECT count(*) FROM files) + 1 AS DOUBLE)) + 1 AS idf),
@@ -163,11 +172,11 @@ weighed AS (
   SELECT template, license, sum(idf * idf) AS square FROM terms JOIN idf USING (term) GROUP BY ALL
 ), close AS (
   SELECT d.path, d.kind, n.license, round(d.dot / sqrt(s.square * n.square), 6) AS cosine
-  FROM (SELECT path, kind, unit, template, sum(idf * idf) AS dot FROM weighed JOIN terms USING (term) GROUP BY ALL) d
+  FROM (SELECT path, kind, unit, template, sum(idf * idf) AS dot FROM weighed JOIN terms USING (term) WHERE is_full = (kind = 'full') GROUP BY ALL) d
   JOIN squares s USING (path, kind, unit) JOIN norms n USING (template)
 ), best AS (
-  SELECT path, kind = 'whole' AS whole, license, cosine,
-    row_number() OVER (PARTITION BY path, kind = 'whole' ORDER BY cosine DESC, license) AS place
+  SELECT path, kind IN ('whole', 'full') AS whole, license, cosine,
+    row_number() OVER (PARTITION BY path, kind IN ('whole', 'full') ORDER BY cosine DESC, license) AS place
   FROM close WHERE cosine >= {least}
 ), own AS (
   SELECT f.doc_id, f.path, regexp_replace(f.path, '(^|/)[^/]*$', '') AS folder, coalesce(w.license, h.license) AS license,

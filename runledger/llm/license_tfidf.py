@@ -4,10 +4,11 @@ A unit is a line of a text, a block of neighbouring lines that hold template wor
 the whole text.  Its terms are its distinct words but for stop words; a template word
 weighs by its inverse document frequency over all texts, any other word as one never
 seen.  The cosine with each template is summed by joining terms, so that only units with
-template words take part.
+template words take part.  Whole texts are also measured against full license texts, over the
+words of those.
 
 A text with a line or block close to a template has that license (``header``).  A text
-that is close to a template as a whole is a licence file, and so is one named LICENSE,
+that is close to a template or a full text as a whole is a licence file, and so is one named LICENSE,
 LICENCE or COPYING with a header; it also covers its directory.  Texts without a license
 of their own take that of the nearest directory above them (``inherited``).
 
@@ -21,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from runledger.llm.batches import join_counted
+from runledger.llm.license_texts import FULL_TEXTS
 from runledger.session import write_scratch
 
 # The notices by which these licenses are usually named.
@@ -61,27 +64,34 @@ def _texts(values: Sequence[str]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-def _template_terms(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> DataFrame:
-    """(template, license, term): as many rows as the given templates have words."""
-    given = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, body string")
-    return given.select("template", "license", F.explode(F.array_except(_words(F.col("body")), _texts(STOP_WORDS))).alias("term"))
+def _template_terms(spark: SparkSession, notices: Sequence[tuple[str, str]], full_texts: Sequence[tuple[str, str]]) -> DataFrame:
+    """(template, license, full, term): as many rows as the given templates have words."""
+    rows = [(i, *t, i >= len(notices)) for i, t in enumerate([*notices, *full_texts])]
+    given = spark.createDataFrame(rows, "template int, license string, body string, full boolean")
+    return given.select("template", "license", "full", F.explode(
+        F.array_except(_words(F.col("body")), _texts(STOP_WORDS))).alias("term"))
 
 
-def own_licenses(files: DataFrame, templates: Sequence[tuple[str, str]], least: float) -> DataFrame:
+def own_licenses(
+    files: DataFrame, templates: Sequence[tuple[str, str]], full_texts: Sequence[tuple[str, str]], least: float,
+) -> DataFrame:
     """(path, text_hash, header, whole): the best template of a line or block, and of the
     whole text, as (cosine, license) with a cosine of ``least`` or more, else null."""
     spark = files.sparkSession
-    terms = F.broadcast(write_scratch(_template_terms(spark, templates)))
-    vocabulary = [r.term for r in terms.select("term").distinct().orderBy("term").collect()]
-    known, ignored = _texts(vocabulary), _texts([*vocabulary, *STOP_WORDS])
+    terms = F.broadcast(write_scratch(_template_terms(spark, templates, full_texts)))
+    words_of: dict[bool, list[str]] = {False: [], True: []}
+    for r in terms.select("full", "term").distinct().orderBy("term").collect():
+        words_of[r.full].append(r.term)
 
-    def measured(words: Column) -> list[Column]:
-        return [F.array_intersect(words, known).alias("terms"), F.size(F.array_except(words, ignored)).alias("others")]
+    def measured(words: Column, full: bool = False) -> list[Column]:
+        known, ignored = _texts(words_of[full]), _texts([*words_of[full], *STOP_WORDS])
+        names = ("full_terms", "full_others") if full else ("terms", "others")
+        return [F.array_intersect(words, known).alias(names[0]), F.size(F.array_except(words, ignored)).alias(names[1])]
 
     key = ["path", "text_hash"]
     wholes = write_scratch(
         files.select("path", F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("words"))
-        .select(*key, *measured(F.col("words"))))
+        .select(*key, *measured(F.col("words")), *measured(F.col("words"), full=True)))
     lines = write_scratch(
         files.select("path", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
         .select(*key, "line", _words(F.col("body")).alias("words")).select(*key, "line", *measured(F.col("words")))
@@ -98,9 +108,14 @@ def own_licenses(files: DataFrame, templates: Sequence[tuple[str, str]], least:
         .unionByName(blocks)
         .unionByName(wholes.filter(F.size("terms") > 0).dropDuplicates(key).select(
             *key, F.lit("whole").alias("kind"), F.lit(0).cast("bigint").alias("unit"), "terms", "others"))
+        # a cosine is below the root of the share of known words, since none weighs more than an unknown one
+        .unionByName(wholes.filter(F.size("full_terms") > 0).filter(
+            F.size("full_terms") >= (least - 1e-6) ** 2 * (F.size("full_terms") + F.col("full_others"))).dropDuplicates(key).select(
+            *key, F.lit("full").alias("kind"), F.lit(0).cast("bigint").alias("unit"), F.col("full_terms").alias("terms"),
+            F.col("full_others").alias("others")))
     )
     n = files.count()
-    seen = wholes.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    seen = wholes.select(F.explode(F.array_union("terms", "full_terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # one row for each template word
     idf = F.broadcast(write_scratch(terms.select("term").distinct().join(seen, "term", "left").select(
         "term", (F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))))
@@ -110,7 +125,7 @@ def own_licenses(files: DataFrame, templates: Sequence[tuple[str, str]], least:
         units.select(*key, "kind", "unit", "others", F.posexplode("terms").alias("spot", "term")).join(idf, "term"))
     at = [*key, "kind", "unit"]
     squares = weighed.groupBy(*at).agg((F.sum(F.col("idf") ** 2) + F.max("others") * rare ** 2).alias("square"))
-    dots = weighed.join(terms, "term").groupBy(*at, "template").agg(F.sum(F.col("idf") ** 2).alias("dot"))
+    dots = weighed.join(terms, "term").filter(F.col("full") == (F.col("kind") == "full")).groupBy(*at, "template").agg(F.sum(F.col("idf") ** 2).alias("dot"))
     close = (
         dots.join(squares, at).join(F.broadcast(template_norms), "template")
         .withColumn("cosine", F.round(F.col("dot") / F.sqrt(F.col("square") * F.col("template_square")), 6))
@@ -122,7 +137,7 @@ def own_licenses(files: DataFrame, templates: Sequence[tuple[str, str]], least:
     def pick(of: str) -> Column:
         return F.when(F.col(of).isNotNull(), F.struct((-F.col(f"{of}.minus")).alias("cosine"), F.col(f"{of}.license")))
 
-    found = close.groupBy(*key, F.when(F.col("kind") == "whole", "whole").otherwise("header").alias("kind")).agg(best.alias("best"))
+    found = close.groupBy(*key, F.when(F.col("kind").isin("whole", "full"), "whole").otherwise("header").alias("kind")).agg(best.alias("best"))
     return found.groupBy(*key).agg(
         F.max(F.when(F.col("kind") == "header", F.col("best"))).alias("h"),
         F.max(F.when(F.col("kind") == "whole", F.col("best"))).alias("w"),
@@ -131,6 +146,7 @@ def own_licenses(files: DataFrame, templates: Sequence[tuple[str, str]], least:
 
 def scan_licenses(
     files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = 0.7,
+    full_texts: Sequence[tuple[str, str]] = FULL_TEXTS,
 ) -> DataFrame:
     """(path, license, cosine, origin, license_path) for every row of ``files`` (path, text).
 
@@ -142,7 +158,7 @@ def scan_licenses(
     """
     plain = files.select("path", F.coalesce("text", F.lit("")).alias("text"))
     named = plain.withColumn("path", F.coalesce(F.concat(F.lit("="), "path"), F.lit("")))  # never null
-    own = own_licenses(named, templates, least)
+    own = own_licenses(named, templates, full_texts, least)
     joined = write_scratch(
         named.select("path", F.xxhash64("text").alias("text_hash")).join(own, ["path", "text_hash"], "left")
         .select("path", F.when(F.col("path") != "", F.regexp_replace(F.expr("substring(path, 2)"), "(^|/)[^/]*$", "")).alias("folder"),
@@ -152,16 +168,19 @@ def scan_licenses(
     covers = joined.filter((F.col("origin") == "file") & F.col("folder").isNotNull()).groupBy("folder").agg(
         F.min(F.struct((-F.col("found.cosine")).alias("minus"), "path", F.col("found.license").alias("license"),
                        F.col("found.cosine").alias("cosine"))).alias("by"))
-    asked = joined.filter("origin IS NULL AND folder IS NOT NULL").select("folder").distinct()
+    heirs = joined.filter("origin IS NULL AND folder IS NOT NULL")
+    asked = heirs.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
     parts = F.split("folder", "/")
     # the folder, those above it, and the root
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    lines = asked.select("folder", F.explode(F.array_distinct(above)).alias("up"))
-    nearest = (
-        lines.join(covers.select(F.col("folder").alias("up"), "by"), "up").groupBy("folder")
-        .agg(F.max_by("by", F.length("up")).alias("by"))
-    )
-    result = joined.join(nearest, "folder", "left")
+    lines = asked.select("folder", "n", F.explode(F.array_distinct(above)).alias("up"))
+    nearest = write_scratch(
+        lines.join(covers.select(F.col("folder").alias("up"), "by"), "up", "left").groupBy("folder")
+        .agg(F.max_by("by", F.when(F.col("by").isNotNull(), F.length("up"))).alias("by"), F.first("n").alias("n"))
+        .withColumn("folder_hash", F.xxhash64("folder")))
+    met = join_counted(heirs.withColumn("folder_hash", F.xxhash64("folder")), nearest, ["folder_hash", "folder"], joined.count())
+    result = joined.filter("origin IS NOT NULL OR folder IS NULL").withColumn("by", F.lit(None).cast(nearest.schema["by"].dataType)).unionByName(
+        met.drop("folder_hash"))
     inherited = F.col("origin").isNull() & F.col("by").isNotNull()
     return result.select(
         F.when(F.col("path") != "", F.expr("substring(path, 2)")).alias("path"),

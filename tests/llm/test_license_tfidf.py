@@ -1,6 +1,7 @@
 import math
 import re
 
+from runledger.llm.license_texts import FULL_TEXTS
 from runledger.llm.license_tfidf import STOP_WORDS, TEMPLATES, WORDS, scan_licenses
 
 
@@ -84,3 +85,35 @@ def test_edge_rows(spark):
         (None, None, None, None), (None, "MIT", "file", None), ("", None, None, None), ("a", None, None, None),
         ("d/b", "Proprietary", "file", "d/b"), ("d/b", "Proprietary", "file", "d/b"), ("d/c", "Proprietary", "inherited", "d/b")], key=repr)
     assert scan_licenses(df.limit(0)).count() == 0
+
+
+def full_cosine(text, body, rows):
+    """The cosine of a text with a full license text, over the words of all of those."""
+    known = set().union(*(words(b) for _, b in FULL_TEXTS))
+    idf = {w: math.log((len(rows) + 1) / (sum(w in words(t) for t in rows) + 1)) + 1 for w in known}
+    unit, others = words(text) & known, len(words(text) - known)
+    square = sum(idf[w] ** 2 for w in unit) + others * (math.log(len(rows) + 1) + 1) ** 2
+    return round(sum(idf[w] ** 2 for w in unit & words(body)) / math.sqrt(square * sum(idf[w] ** 2 for w in words(body))), 6)
+
+
+def test_full_texts_cover_their_directory(spark):
+    rows = {}
+    for name, body in FULL_TEXTS:
+        rows[f"{name}/terms.txt"] = f"Copyright (c) 2021 Ada Example\n\n{body}"
+        rows[f"{name}/src/deep/code.c"] = "plain words of a program"
+    rows["mixed/code.c"] = FULL_TEXTS[0][1] + "\n" + " ".join(f"name{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(12))
+    rows["mixed/other.c"] = "plain words"
+    rows |= {f"MIT/many/{i}.c": "plain words" for i in range(3000)}
+    df = spark.createDataFrame(list(rows.items()), "path string, text string")
+    got = {r.path: r for r in scan_licenses(df).collect()}
+    assert got.keys() == rows.keys()
+    for name, _ in FULL_TEXTS:
+        at = f"{name}/terms.txt"
+        assert (got[at].license, got[at].origin, got[at].license_path) == (name, "file", at)
+        assert got[at].cosine == max(full_cosine(rows[at], body, rows.values()) for _, body in FULL_TEXTS)
+        below = got[f"{name}/src/deep/code.c"]
+        assert (below.license, below.origin, below.license_path) == (name, "inherited", at)
+    # a program with the text on top has the license, but no directory
+    assert (got["mixed/code.c"].license, got["mixed/code.c"].origin, got["mixed/other.c"].license) == ("MIT", "header", None)
+    assert all(got[f"MIT/many/{i}.c"].license_path == "MIT/terms.txt" for i in range(3000))
+    assert scan_licenses(df.limit(0)).count() == 0
