@@ -61,7 +61,8 @@ def _words(text: Column) -> Column:
 
 
 def _texts(values: Sequence[str]) -> Column:
-    return F.array(*map(F.lit, values)).cast("array<string>")
+    """Words as one constant: a literal for each would make the plan as large as the templates."""
+    return F.split(F.lit(" ".join(values)), " ")
 
 
 def _template_terms(spark: SparkSession, notices: Sequence[tuple[str, str]], full_texts: Sequence[tuple[str, str]]) -> DataFrame:
@@ -83,19 +84,27 @@ def own_licenses(
     for r in terms.select("full", "term").distinct().orderBy("term").collect():
         words_of[r.full].append(r.term)
 
-    def measured(words: Column, full: bool = False) -> list[Column]:
-        known, ignored = _texts(words_of[full]), _texts([*words_of[full], *STOP_WORDS])
-        names = ("full_terms", "full_others") if full else ("terms", "others")
-        return [F.array_intersect(words, known).alias(names[0]), F.size(F.array_except(words, ignored)).alias(names[1])]
+    stops, known, known_full = _texts(STOP_WORDS), _texts(words_of[False]), _texts(words_of[True])
+    either = _texts(sorted({*words_of[False], *words_of[True], *STOP_WORDS}))
+
+    def measured(known: Column, terms: str = "terms", others: str = "others") -> list[Column]:
+        """Of ``words``, ``hits`` (those of ``either``) and ``n`` distinct words."""
+        of = F.array_intersect("hits", known)
+        return [of.alias(terms), (F.col("n") - F.size(of) - F.size(F.array_intersect("hits", stops))).alias(others)]
+
+    def with_hits(units: DataFrame, words: Column) -> DataFrame:
+        """Texts are compared with the templates' words once; most have few of them."""
+        distinct = units.withColumn("words", F.array_distinct(words))
+        return distinct.withColumns({"hits": F.array_intersect("words", either), "n": F.size("words")}).drop("words")
 
     key = ["path", "text_hash"]
     wholes = write_scratch(
-        files.select("path", F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("words"))
-        .select(*key, *measured(F.col("words")), *measured(F.col("words"), full=True)))
+        with_hits(files.select("path", F.xxhash64("text").alias("text_hash"), "text"), _words(F.col("text")))
+        .select(*key, *measured(known), *measured(known_full, "full_terms", "full_others")))
     lines = write_scratch(
-        files.select("path", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
-        .select(*key, "line", _words(F.col("body")).alias("words")).select(*key, "line", *measured(F.col("words")))
-        .filter(F.size("terms") > 0).dropDuplicates([*key, "line"]))
+        with_hits(files.select("path", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "body")),
+                  _words(F.col("body"))).filter(F.size("hits") > 0)
+        .select(*key, "line", *measured(known)).filter(F.size("terms") > 0).dropDuplicates([*key, "line"]))
     in_text = Window.partitionBy(*key).orderBy("line")
     blocks = (
         lines.withColumn("new", (F.col("line") != F.coalesce(F.lag("line").over(in_text), F.lit(-9)) + 1).cast("int"))
