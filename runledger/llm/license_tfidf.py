@@ -85,26 +85,24 @@ def own_licenses(
         words_of[r.full].append(r.term)
 
     stops, known, known_full = _texts(STOP_WORDS), _texts(words_of[False]), _texts(words_of[True])
-    either = _texts(sorted({*words_of[False], *words_of[True], *STOP_WORDS}))
+    either = _texts(sorted({*words_of[False], *words_of[True]}))
 
-    def measured(known: Column, terms: str = "terms", others: str = "others") -> list[Column]:
-        """Of ``words``, ``hits`` (those of ``either``) and ``n`` distinct words."""
-        of = F.array_intersect("hits", known)
-        return [of.alias(terms), (F.col("n") - F.size(of) - F.size(F.array_intersect("hits", stops))).alias(others)]
+    def others(terms: str) -> Column:
+        return F.size("words") - F.size(terms) - F.size(F.array_intersect("words", stops))
 
-    def with_hits(units: DataFrame, words: Column) -> DataFrame:
-        """Texts are compared with the templates' words once; most have few of them."""
-        distinct = units.withColumn("words", F.array_distinct(words))
-        return distinct.withColumns({"hits": F.array_intersect("words", either), "n": F.size("words")}).drop("words")
+    def distinct_words(units: DataFrame, text: str) -> DataFrame:
+        return units.withColumn("words", F.array_distinct(_words(F.col(text))))
 
     key = ["path", "text_hash"]
     wholes = write_scratch(
-        with_hits(files.select("path", F.xxhash64("text").alias("text_hash"), "text"), _words(F.col("text")))
-        .select(*key, *measured(known), *measured(known_full, "full_terms", "full_others")))
+        distinct_words(files.select("path", F.xxhash64("text").alias("text_hash"), "text"), "text")
+        .withColumn("hits", F.array_intersect("words", either))
+        .withColumns({"terms": F.array_intersect("hits", known), "full_terms": F.array_intersect("hits", known_full)})
+        .select(*key, "terms", others("terms").alias("others"), "full_terms", others("full_terms").alias("full_others")))
     lines = write_scratch(
-        with_hits(files.select("path", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "body")),
-                  _words(F.col("body"))).filter(F.size("hits") > 0)
-        .select(*key, "line", *measured(known)).filter(F.size("terms") > 0).dropDuplicates([*key, "line"]))
+        distinct_words(files.select("path", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "body")), "body")
+        .withColumn("terms", F.array_intersect("words", known)).filter(F.size("terms") > 0)
+        .select(*key, "line", "terms", others("terms").alias("others")).dropDuplicates([*key, "line"]))
     in_text = Window.partitionBy(*key).orderBy("line")
     blocks = (
         lines.withColumn("new", (F.col("line") != F.coalesce(F.lag("line").over(in_text), F.lit(-9)) + 1).cast("int"))

@@ -88,9 +88,9 @@ def test_edge_rows(spark):
 
 
 def full_cosine(text, body, rows):
-    """The cosine of a text with a full license text, over the words of all of those."""
+    """The cosine of a text with a full license text, over the words of all of those; ``rows``: the words of each text."""
     known = set().union(*(words(b) for _, b in FULL_TEXTS))
-    idf = {w: math.log((len(rows) + 1) / (sum(w in words(t) for t in rows) + 1)) + 1 for w in known}
+    idf = {w: math.log((len(rows) + 1) / (sum(w in r for r in rows) + 1)) + 1 for w in known}
     unit, others = words(text) & known, len(words(text) - known)
     square = sum(idf[w] ** 2 for w in unit) + others * (math.log(len(rows) + 1) + 1) ** 2
     return round(sum(idf[w] ** 2 for w in unit & words(body)) / math.sqrt(square * sum(idf[w] ** 2 for w in words(body))), 6)
@@ -107,10 +107,11 @@ def test_full_texts_cover_their_directory(spark):
     df = spark.createDataFrame(list(rows.items()), "path string, text string")
     got = {r.path: r for r in scan_licenses(df).collect()}
     assert got.keys() == rows.keys()
+    known = [words(text) for text in rows.values()]
     for name, _ in FULL_TEXTS:
         at = f"{name}/terms.txt"
         assert (got[at].license, got[at].origin, got[at].license_path) == (name, "file", at)
-        assert got[at].cosine == max(full_cosine(rows[at], body, rows.values()) for _, body in FULL_TEXTS)
+        assert got[at].cosine == max(full_cosine(rows[at], body, known) for _, body in FULL_TEXTS)
         below = got[f"{name}/src/deep/code.c"]
         assert (below.license, below.origin, below.license_path) == (name, "inherited", at)
     # a program with the text on top has the license, but no directory
