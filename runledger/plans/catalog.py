@@ -20,6 +20,7 @@ from runledger.operators import (
 from runledger.plans import derived
 from runledger.plans.bindings import DAY_US, STRATEGIES, Tables, with_tables
 from runledger.plans.summary import run_bounds, run_summary
+from runledger.sources.bucketed import JOB_KEYS, REQUEST_KEYS
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -803,6 +804,22 @@ def _(t):
     return derived.written_job_details(t)
 
 
+@query("bucketed_outcomes", "SELECT * FROM outcome", ("outcome",))
+def _(t):
+    expected, seen = derived.bucketed(t.expected(), t.seen_jobs(), keys=JOB_KEYS)
+    return jobs.expected_vs_actual_jobs(expected, seen).select(
+        "run_id", "job_id", "status", "start_us", "end_us", "current_step")
+
+
+@query("bucketed_requests", """
+SELECT q.run_id, q.request_id, r.output, r.error, CASE WHEN r.request_id IS NULL THEN 'UNANSWERED'
+  WHEN r.error IS NULL AND r.output IS NOT NULL THEN 'OK' ELSE 'FAILED' END AS state
+FROM requests q LEFT JOIN results r USING (run_id, request_id)""", ("requests", "results"))
+def _(t):
+    asked, answered = derived.bucketed(t.requests(), t.results(), keys=REQUEST_KEYS)
+    return requests.correlate_requests(asked, answered).select("run_id", "request_id", "output", "error", "state")
+
+
 @query("read_run_reports", """
 SELECT run_id, request_id, submission_us, processing_start_us, processing_end_us, output, error
 FROM strategy_results""", ("strategy_results",))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from runledger.plans.bindings import Tables
 from runledger.plans.summary import run_bounds, run_summary
 from runledger.session import scratch_dir, write_scratch
 from runledger.sources import adapters
+from runledger.sources.bucketed import buckets_for, scratch_bucketed
 from runledger.sources.listing import list_files, missing_files
 from runledger.sources.reports import Reports, read_run_reports, write_run_reports
 from runledger.streaming import ingest, job_state, outcomes, progress
@@ -38,6 +39,12 @@ def _write(t: Tables, nested: bool) -> str:
     return path
 
 
+def bucketed(*tables: DataFrame, keys: Sequence[str]) -> list[DataFrame]:
+    """The tables written in as many buckets as the largest needs, to be joined on ``keys`` without a shuffle."""
+    buckets = buckets_for(tables[0].sparkSession, max(table.count() for table in tables))
+    return [scratch_bucketed(table, keys, buckets) for table in tables]
+
+
 def written_job_details(t: Tables) -> DataFrame:
     path = _write(t, nested=False)
     return t.spark.read.parquet(f"{path}/job_details").select(
