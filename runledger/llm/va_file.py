@@ -13,8 +13,10 @@ cells, plus constants of the query, bounds its score from both sides.
 3. The blocks' results are merged, k rows for each query.
 
 Blocks meet by an equi-join on a tile number, so that neither side passes through the
-driver or one task whole.  Work is rows x queries, as the set of queries demands, but
-only on one byte for a component; exact vectors are read for the survivors alone.
+driver or one task whole.  A tile holds several vector blocks, by their bytes, and a copy of
+every query block; the copies are shuffled, never broadcast.  Work is rows x queries, as the set of
+queries demands, but only on one byte for a component; exact vectors are read for the
+survivors alone.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from runledger.session import write_scratch
 
 _BLOCK = "block_key bigint, dim int, n int, ids binary, low binary, step binary, cells binary, vectors binary"
 _FOUND = "query_id bigint, vec_id bigint, score bigint"
-_MOST_TILES = 10_000
+#: Bytes of vector blocks in a tile.  Each tile gets a copy of all queries, so that more tiles than tasks are a waste.
+_TILE_BYTES = 32 << 20
 _EXACT = 2.0 ** 53
 
 
@@ -87,11 +90,17 @@ def _pack(rows: int, bits: int):
     return pack
 
 
+def _narrow(packed: bytes, n: int, dim: int) -> np.ndarray:
+    width = len(packed) // max(1, n * dim)
+    return np.frombuffer(packed, {2: np.int16, 4: np.int32}.get(width, np.int64)).reshape(n, dim)
+
+
 def _unpack(row) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row.ids, np.int64)
-    width = len(row.vectors) // max(1, row.n * row.dim)
-    kind = {2: np.int16, 4: np.int32}.get(width, np.int64)
-    return ids, np.frombuffer(row.vectors, kind).reshape(row.n, row.dim)
+    return np.frombuffer(row.ids, np.int64), _narrow(row.vectors, row.n, row.dim)
+
+
+def _unpack_queries(row) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row.q_ids, np.int64), _narrow(row.q_vectors, row.q_n, row.dim).astype(np.int64)
 
 
 def _bounds(row, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
@@ -115,8 +124,7 @@ def _scan(k: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                queries = np.frombuffer(row.q_vectors, np.int64).reshape(row.q_n, row.dim)
-                query_ids = np.frombuffer(row.q_ids, np.int64)
+                query_ids, queries = _unpack_queries(row)
                 ids, _ = _unpack(row)
                 product, under, _, _ = _bounds(row, queries)
                 lower = product + under
@@ -155,8 +163,7 @@ def _read(k: int, chunk: int = 256):
         top, bottom = 2 ** 63 - 1, -2 ** 63
         for batch in batches:
             for row in batch.itertuples(index=False):
-                queries = np.frombuffer(row.q_vectors, np.int64).reshape(row.q_n, row.dim)
-                query_ids = np.frombuffer(row.q_ids, np.int64)
+                query_ids, queries = _unpack_queries(row)
                 ids, vectors = _unpack(row)
                 product, _, over, exact = _bounds(row, queries)
                 rows = []
@@ -203,15 +210,19 @@ def top_k(
     asked = vectors.filter(is_query)
     query_parts = -(-asked.count() // block_rows) or 1
     packed = asked.select(as_rows).repartition(query_parts).mapInPandas(_pack(block_rows, bits), _BLOCK)
-    as_long = F.col("block_key").alias("q_key")
-    queries = write_scratch(packed.mapInPandas(_widen, "block_key bigint, dim int, q_n int, q_ids binary, q_vectors binary")
-                            .select(as_long, "dim", "q_n", "q_ids", "q_vectors"))
-    tiles = max(1, min(_MOST_TILES, blocks.count()))
-    placed = blocks.withColumn("tile", F.pmod(F.xxhash64("block_key"), F.lit(tiles)))
+    queries = write_scratch(packed.select(
+        F.col("block_key").alias("q_key"), "dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"),
+        F.col("vectors").alias("q_vectors")))
+    size = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("cells") + F.length("vectors")).alias("bytes")).first()
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    tiles = max(1, min(size.n, max(tasks, -(-(size.bytes or 0) // _TILE_BYTES))))
+    # the upper bits number the tasks that packed the blocks, so that tiles are even
+    placed = blocks.withColumn("tile", F.pmod(F.shiftright("block_key", 32), F.lit(tiles)))
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint")))
 
     def tiled(side: DataFrame) -> DataFrame:
-        return side.withColumn("tile", copies).join(placed, ["tile", "dim"])
+        # Spark takes the copies for as small as what is copied: without the hint it would broadcast them all
+        return side.withColumn("tile", copies).hint("merge").join(placed, ["tile", "dim"])
 
     reached = (
         tiled(queries).mapInPandas(_scan(k), "q_key bigint, place int, reached double")
@@ -232,11 +243,3 @@ def top_k(
         .join(ids("query_id"), "query_id_row").join(ids("vec_id"), "vec_id_row")
         .select("query_id", "rank", "vec_id", "score")
     )
-
-
-def _widen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            _, vectors = _unpack(row)
-            yield pd.DataFrame([(row.block_key, row.dim, row.n, row.ids, vectors.astype(np.int64).tobytes())],
-                               columns=["block_key", "dim", "q_n", "q_ids", "q_vectors"])

@@ -55,3 +55,11 @@ def test_rows_that_share_an_id(spark):
     assert len(got) == 9 and [r for r in got if r.vec_id is None and r.rank == 1].__len__() == 3
     assert by_query == [(20, 2, 20, 3 * 64 * 64), (20, 2, 20, 10 * 64 * 64), (20, 2, 20, 10 * 64 * 64),
                         (20, 3, 5, 6 * 64 * 64), (20, 3, 5, 6 * 64 * 64), (20, 3, 20, 3 * 64 * 64)]
+
+
+def test_copies_of_the_queries_are_not_broadcast(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(0, 0.2, 8).tolist()) for i in range(400)], "vec_id bigint, embedding array<float>")
+    plan = top_k(df, F.col("vec_id") % 20 == 0, 5, block_rows=16)._jdf.queryExecution().executedPlan().toString()
+    tiled = [line for line in plan.splitlines() if "Join" in line and "tile#" in line]
+    assert len(tiled) == 2 and all("SortMergeJoin" in line for line in tiled), tiled
