@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runledger import schemas
 from runledger.functions.timing import elapsed_s, present
 from runledger.operators.ordered import null_safe_join
+from runledger.session import write_scratch
 
 # Metric names of the report, and the run_summary columns they hold.
 REPORT_METRICS = {
@@ -34,6 +35,7 @@ REPORT_METRICS = {
 }
 
 _CORRUPT = "_corrupt_record"
+_AT, _PART, _PARTS = "__at", "__part", "__parts"
 
 
 class Reports(NamedTuple):
@@ -60,7 +62,8 @@ def read_run_reports(spark: SparkSession, directory: str, multiline: bool = True
     """Read every ``*.json`` report below a directory.  ``config_used`` comes as JSON text.
 
     ``multiline``: one document per file; otherwise one per line, as
-    ``write_run_reports`` writes them.  Malformed documents are listed in
+    ``write_run_reports`` writes them.  Documents of one run_id are parts of one report, each with
+    its header.  Malformed documents are listed in
     ``rejected`` and the others still load.  A report without a run_id takes its
     file name.
     """
@@ -112,7 +115,7 @@ def _job_details(jobs: DataFrame) -> DataFrame:
 
 def write_run_reports(
     path: str, runs: DataFrame, summary: DataFrame, jobs: DataFrame, results: DataFrame,
-    nested: bool = False,
+    nested: bool = False, most_details: int = 10_000,
 ) -> None:
     """Write runs with their summary, job details and request details.
 
@@ -120,14 +123,15 @@ def write_run_reports(
     config_used as JSON text.  ``jobs``: the rows of expected_vs_actual_jobs.
 
     By default three parquet tables below ``path``, partitioned by strategy, however
-    large a run is.  ``nested`` writes one JSON document per run instead, which has to
-    fit one row with all its details.
+    large a run is.  ``nested`` writes JSON documents instead: one per run, or for a run with more
+    jobs or requests than ``most_details`` several, each with the run's header and some
+    ``most_details`` of either, which ``read_run_reports`` puts together again.
     """
     headers = _headers(runs, summary)
     strategies = runs.select("run_id", "strategy")
     details = _job_details(jobs)
     if nested:
-        _documents(headers, details, results).write.partitionBy("strategy").json(path)
+        _documents(headers, details, results, most_details).write.partitionBy("strategy").json(path)
         return
     headers.withColumn("config_used", F.to_json("config_used")).write.partitionBy("strategy").parquet(f"{path}/runs")
     null_safe_join(details, strategies, ["run_id"]).write.partitionBy("strategy").parquet(
@@ -151,15 +155,39 @@ def _headers(runs: DataFrame, summary: DataFrame) -> DataFrame:
     )
 
 
-def _documents(headers: DataFrame, jobs: DataFrame, results: DataFrame) -> DataFrame:
+def _dealt(details: DataFrame, by: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows, written once, with the number of their part of the run, and the runs with their number of parts.
+
+    Parts are dealt out by the hash of ``by``, which may be the written row's own number (``__at``).
+    """
+    written = write_scratch(details.withColumn(_AT, F.monotonically_increasing_id()))
+    counted = written.groupBy("run_id").agg(F.ceil(F.count(F.lit(1)) / most).alias(_PARTS))
+    parts = write_scratch(counted)  # as a written table Spark knows that it is small, and broadcasts it
+    dealt = null_safe_join(written, parts, ["run_id"]).withColumn(_PART, F.pmod(F.xxhash64(by), _PARTS))
+    return dealt, parts
+
+
+def _documents(headers: DataFrame, jobs: DataFrame, results: DataFrame, most: int) -> DataFrame:
     job_detail = F.struct(
         "status", _seconds(F.col("start_us")).alias("start_time"), _seconds(F.col("end_us")).alias("end_time"),
         "duration_seconds", "final_step", F.col("error_message").alias("error"))
-    job_docs = jobs.groupBy("run_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("job_id", job_detail))).alias("training_job_details"))
     request_detail = F.struct(
         "request_id", _seconds(F.col("submission_us")).alias("submission_time"),
         _seconds(F.col("processing_start_us")).alias("processing_start_time"),
         _seconds(F.col("processing_end_us")).alias("processing_end_time"), "output", "error")
-    request_docs = results.groupBy("run_id").agg(F.collect_list(request_detail).alias("inference_request_details"))
-    return null_safe_join(null_safe_join(headers, job_docs, ["run_id"]), request_docs, ["run_id"])
+    # a job's id is a key of the document's map; requests may be alike in every column
+    dealt_jobs, job_parts = _dealt(jobs, "job_id", most)
+    dealt_results, result_parts = _dealt(results, _AT, most)
+    rows = dealt_jobs.select("run_id", _PART, F.struct("job_id", job_detail.alias("detail")).alias("job")).unionByName(
+        dealt_results.select("run_id", _PART, request_detail.alias("request")), allowMissingColumns=True)
+
+    def listed(column: str) -> Column:  # null for none; collect_list leaves out nulls
+        return F.when(F.count(column) > 0, F.collect_list(column))
+
+    details = rows.groupBy("run_id", _PART).agg(
+        F.map_from_entries(listed("job")).alias("training_job_details"),
+        listed("request").alias("inference_request_details")).drop(_PART)
+    headers = write_scratch(headers)
+    held = job_parts.select("run_id").union(result_parts.select("run_id"))
+    bare = null_safe_join(headers, held, ["run_id"], "left_anti")
+    return null_safe_join(details, headers, ["run_id"], "inner").unionByName(bare, allowMissingColumns=True)

@@ -86,6 +86,29 @@ def test_nested_reports_come_back_whole(spark, tmp_path, run):
     assert read.rejected.count() == 0
 
 
+def test_large_nested_reports_come_in_parts(spark, tmp_path, run):
+    runs, summary, _, _ = run
+    path = str(tmp_path / "out")
+    # most requests are alike in every column; no header tells of run x
+    results = spark.range(25_000).select(
+        F.when(F.col("id") < 24_000, "r1").when(F.col("id") < 24_990, "r2").otherwise("x").alias("run_id"),
+        F.greatest(F.lit(20_000), "id").cast("string").alias("request_id"), F.lit(1_000_000).cast("bigint").alias("submission_us"),
+        F.lit(2_000_000).cast("bigint").alias("processing_start_us"), F.lit(3_000_000).cast("bigint").alias("processing_end_us"),
+        F.lit("out").alias("output"), F.lit(None).cast("string").alias("error"))
+    outcome = spark.range(12_000).select(
+        F.lit("r1").alias("run_id"), F.col("id").cast("string").alias("job_id"), F.lit("COMPLETED").alias("status"),
+        F.lit(1_000_000).cast("bigint").alias("start_us"), F.lit(2_000_000).cast("bigint").alias("end_us"),
+        F.col("id").alias("current_step"), F.lit(None).cast("string").alias("error_message"))
+    reports.write_run_reports(path, runs, summary, outcome, results, nested=True)
+    documents = spark.read.schema(schemas.REPORT).json(path)
+    assert documents.agg(F.max(F.size("inference_request_details")), F.max(F.size("training_job_details"))).first() <= (11_000, 11_000)
+    assert {r.run_id: r["count"] for r in documents.groupBy("run_id").count().collect()} == {"r1": 3, "r2": 1, "r3": 1}
+    read = reports.read_run_reports(spark, path, multiline=False)
+    assert rows(read.request_details.drop("strategy")) == rows(results.filter("run_id <> 'x'"))
+    assert rows(read.job_details.select("run_id", "job_id", "final_step")) == rows(outcome.select("run_id", "job_id", "current_step"))
+    assert rows(read.runs.select("run_id", "strategy")) == [("r1", "RoundRobin"), ("r2", "Least Progress"), ("r3", "RoundRobin")]
+
+
 def test_flat_reports(spark, tmp_path, run):
     runs, summary, outcome, results = run
     path = str(tmp_path / "flat")
