@@ -217,3 +217,14 @@ def test_admission_cap(spark, small_groups, rows_limit, cap):
         want += [(seq, "accepted" if cap == 0 or i < cap else "rejected") for i, (_, seq) in enumerate(inside)]
     out = submissions.admission_cap(df, "hour", cap)
     assert rows(out.select("seq", "admission")) == sorted(want, key=repr)
+
+
+def test_sorts_compare_the_job_before_the_run(spark):
+    seen = spark.createDataFrame([job("a", "COMPLETED", 1, 2), job("b")], JOBS)
+    expected = seen.select("run_id", "job_id")
+    joins = [jobs.expected_vs_actual_jobs(expected, seen), jobs.prepared_runnable(seen, expected),
+             jobs.runnable_unprepared(seen, expected), jobs.pending_jobs(expected, seen)]
+    for df in joins:
+        assert df.columns[:2] == ["run_id", "job_id"]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join [job_id#" in plan and "Join [run_id#" not in plan
