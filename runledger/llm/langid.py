@@ -145,12 +145,8 @@ def train(
         .dropDuplicates(["label", "hash"]).select("label", "hash", "text"), grams,
         "label string, hash bigint, grams binary"))
     spark = sample.sparkSession
-    picked: dict[str, list[int]] = {}
-    for r in chosen.filter(F.col("no") <= landmarks_per_label).orderBy("label", "hash").collect():  # most_landmarks at most
-        picked.setdefault(r.label, []).append(r.hash)
-    wanted = {(name, h) for name, hashes in picked.items() for h in hashes}
-    wanted_df = spark.createDataFrame(sorted(wanted), "label string, hash bigint")
-    landmarks = sample.join(wanted_df, ["label", "hash"]).orderBy("label", "hash").collect()
+    wanted = chosen.filter(F.col("no") <= landmarks_per_label).select("label", "hash")  # most_landmarks at most
+    landmarks = sample.join(wanted, ["label", "hash"]).orderBy("label", "hash").collect()
     marks = [np.frombuffer(r.grams, np.int32) for r in landmarks]
     table = np.zeros((BUCKETS, len(marks)), np.uint8)
     for i, g in enumerate(marks):

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +81,9 @@ def leaf_budgets(
     whole = leaves
     for i in range(levels):
         mine = [(*["" if v is None else f"={v}" for v in path], int(w)) for path, w in weights.items() if len(path) == i + 1]
-        given = spark.createDataFrame(mine, ", ".join(f"{p} string" for p in paths[:i + 1]) + f", w{i} bigint")
+        kind = pa.schema([*[(p, pa.string()) for p in paths[:i + 1]], (f"w{i}", pa.int64())])
+        # as an Arrow table, which the JVM reads; rows would go through Python workers of their own
+        given = spark.createDataFrame(pa.Table.from_pylist([dict(zip(kind.names, row)) for row in mine], kind))
         whole = whole.join(given, paths[:i + 1], "left").fillna(1, [f"w{i}"])
     out = F.greatest(F.lit(0), F.least(*[f"w{i}" for i in range(levels)], F.lit(1))) if levels > 1 else F.least("w0", F.lit(1))
     whole = write_scratch(whole.withColumn("capacity", (F.col("tokens").cast(_WHOLE) * max_epochs * out).cast(_WHOLE)))

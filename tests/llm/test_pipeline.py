@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+from pyspark import SparkContext
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -74,3 +75,20 @@ def test_language_id_rejects_what_no_label_teaches(spark, documents, tmp_path):
     assert {200: "en", 201: "de"}.items() <= kept.items()
     assert not [name for i, name in enumerate(unlearned) if 300 + i in kept]
     assert len(kept) >= 160  # of 162
+
+
+def test_a_task_keeps_one_python_worker(spark, documents, tmp_path, monkeypatch):
+    """Idle workers keep their memory, an executor's as well."""
+    rng = random.Random(5)
+    df = documents(*[(i, prose(rng, ["en", "de"][i % 2], 20), ["en", "de", None][i % 3]) for i in range(60)])
+    df.write.parquet(path := f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(path)
+
+    def refuse(*args):
+        raise AssertionError("rows that go through Python workers of another kind")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refuse)
+    found = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert found.filter("lang = 'de'").count() > 0
+    assert corpus_pipeline.mixing(spark, docs, str(tmp_path)).count() > 0
